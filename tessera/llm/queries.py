@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op4_packing
 from .token_files import op10_token_ids
+from .topk import OP2_SQL, op2_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_topk": op2_exact_topk,
     "op4_packing": op4_packing,
     "op10_token_ids": op10_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": OP2_SQL,
+}
