@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontamination
 from .packing import op4_packing
 from .token_files import op10_token_ids
 from .topk import OP2_SQL, op2_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_exact_topk": op2_exact_topk,
     "op4_packing": op4_packing,
     "op10_token_ids": op10_token_ids,
