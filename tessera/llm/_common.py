@@ -86,7 +86,7 @@ def flat_words(arr: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 def word_hashes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words, and where each text's begin (one more entry than texts)."""
     words, counts = flat_words(arr)
-    table = np.fromiter(map(word_hash, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    table = np.fromiter(map(word_hash, words.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(words.dictionary))
     hashes = table[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
     keep = hashes != 0
     ends = np.concatenate([[0], np.cumsum(counts)])

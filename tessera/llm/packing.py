@@ -40,7 +40,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
         seen = np.zeros(seq_len + 1, np.int64)
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(batch, "text", 4 << 20):
                 ids, ends = with_end(*enc.encode(step.column("text")), end_id)
                 total = np.diff(ends)
                 n = -(-total // seq_len)

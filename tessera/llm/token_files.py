@@ -135,7 +135,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, *, id_co
             return row
 
         for batch in batches:
-            for step in steps(batch, "text"):
+            for step in steps(batch, "text", 4 << 20):
                 ids, ends = with_end(*enc.encode(step.column("text")), end_id)
                 key = step.column("doc_id")
                 held.append((ids, ends, key.fill_null(0).to_numpy(zero_copy_only=False), key.is_null().to_numpy(zero_copy_only=False)))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from ._common import as_strings
 
 #: A worker forgets its words beyond this many.
-MOST_WORDS = 400_000
+MOST_WORDS = 700_000
 #: ASCII signs that aren't letters, digits or white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -55,69 +55,90 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-        self.cut: dict[str, tuple[str, str]] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_letters(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of letters only, encoded as one text and cut after each word's last token."""
+        self.code: dict[str, int] = {}  # of a chunk; its ids are flat[at[code] : at[code] + size[code]]
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.size, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember chunks whose ids are given in a row."""
+        n, m = self.count + len(sizes), self.used + len(ids)
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * m - self.used, np.uint32)])
+        if n > len(self.at):
+            more = np.zeros(2 * n - self.count, np.int64)
+            self.at, self.size = (np.concatenate([x[: self.count], more]) for x in (self.at, self.size))
+        self.flat[self.used : m] = ids
+        self.size[self.count : n] = sizes
+        self.at[self.count : n] = self.used + np.cumsum(sizes) - sizes
+        self.code.update(zip(chunks, range(self.count, n)))
+        self.count, self.used = n, m
+
+    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered chunks in a row, and each one's number."""
+        n = self.size[codes]
+        ends = np.cumsum(n)
+        where = np.repeat(self.at[codes] - ends + n, n)
+        where += np.arange(len(where))
+        return self.flat[where], n
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only, encoded as one text and cut after each word's last token."""
         ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
         # a letter can be normalised to several characters, not all of them letters
-        return np.split(ids, cuts[:-1]) if len(cuts) == len(words) else self._encode(words)
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self._encode(words)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode what isn't known: letters apart from the ASCII signs after them, where the split into words cuts anyway."""
-        new: dict[str, None] = {}
-        odd: dict[str, None] = {}
-        for c in chunks:
-            if not c.isalpha():
+        """Encode new chunks: letters apart from the ASCII signs after them, where the split into words cuts anyway."""
+        code = self.code
+        plain = [c for c in chunks if c.isalpha()]
+        words, odd, both = dict.fromkeys(plain), {}, []
+        if len(plain) < len(chunks):
+            for c in chunks:
+                if c.isalpha():
+                    continue
                 stem = c.rstrip(SIGNS)
                 rest = c[len(stem) :]
-                if not (stem and rest and stem.isalpha()):
+                if rest and stem.isalpha():
+                    both.append((c, stem, rest))
+                    if rest not in code:
+                        odd[rest] = None
+                    if stem not in code:
+                        words[stem] = None
+                else:
                     odd[c] = None
-                    continue
-                self.cut[c] = (stem, rest)
-                if rest not in self.known:
-                    odd[rest] = None
-                c = stem
-            if c not in self.known:
-                new[c] = None
-        odd_words, words = list(odd), list(new)
-        self.known.update(zip(odd_words, self._encode(odd_words)))
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            self.known.update(zip(part, self._encode_letters(part)))
-        for c in chunks:
-            if c in self.cut:
-                stem, rest = self.cut.pop(c)
-                self.known[c] = np.concatenate([self.known[stem], self.known[rest]])
+        new = list(odd)
+        self._keep(new, *self._encode(new))
+        new = list(words)
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            self._keep(part, *self._encode_letters(part))
+        if both:
+            ids, n = self._gather(np.array([code[x] for _, stem, rest in both for x in (stem, rest)]))
+            self._keep([c for c, _, _ in both], ids, n.reshape(-1, 2).sum(axis=1))
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry than texts). Null is an empty text."""
         arr = as_strings(arr)
         if not self.by_word:
-            each = self._encode(arr.to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)]).astype(np.int64)
-            return (np.concatenate(each) if each else np.zeros(0, np.uint32)), ends
+            ids, sizes = self._encode(arr.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(sizes)])
         lists = pc.split_pattern(pc.replace_substring(arr, "\n", " "), " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         words = lists.flatten().dictionary_encode()
-        if len(self.known) > MOST_WORDS:
+        if len(self.code) > MOST_WORDS:
             self._forget()
-        distinct = words.dictionary.to_pylist()
-        self._learn([w for w in distinct if w not in self.known])
-        own = [self.known[w] for w in distinct]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        at = np.cumsum(sizes) - sizes
-        code = words.indices.to_numpy(zero_copy_only=False)
-        n = sizes[code]
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = self.code
+        self._learn([w for w in distinct if w not in code])
+        codes = np.fromiter(map(code.__getitem__, distinct), np.int64, len(distinct))
+        ids, n = self._gather(codes[words.indices.to_numpy(zero_copy_only=False)])
         ends = np.concatenate([[0], np.cumsum(n)])
-        out = flat[np.repeat(at[code] - ends[:-1], n) + np.arange(ends[-1])]
-        return out, ends[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
