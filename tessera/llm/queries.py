@@ -10,6 +10,7 @@ from .decontaminate import op1_decontamination
 from .langid import op7_language_id
 from .near_dedup import op9_near_dedup
 from .packing import op4_packing
+from .pii import op6_pii
 from .token_files import op10_token_ids
 from .topk import OP2_SQL, op2_exact_topk
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_topk": op2_exact_topk,
     "op4_packing": op4_packing,
+    "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_ids": op10_token_ids,
