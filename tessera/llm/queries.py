@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontamination
+from .html_text import op5_html_text
 from .langid import op7_language_id
 from .near_dedup import op9_near_dedup
 from .packing import op4_packing
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_exact_topk": op2_exact_topk,
     "op4_packing": op4_packing,
+    "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
     "op9_near_dedup": op9_near_dedup,
