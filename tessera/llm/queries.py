@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op1_decontamination
 from .html_text import op5_html_text
 from .langid import op7_language_id
+from .licenses import op8_license_scan
 from .near_dedup import op9_near_dedup
 from .packing import op4_packing
 from .pii import op6_pii
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_text": op5_html_text,
     "op6_pii": op6_pii,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_token_ids": op10_token_ids,
 }
