@@ -37,6 +37,7 @@ WORDS = 5
 MIN_SIMILARITY = 0.8
 PICKS, ROWS, BANDS = 3, 2, 32
 PAIR_BUCKET = 64
+FILTER_BITS = 1 << 23
 
 _FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -128,17 +129,30 @@ def _sketches(src: DataFrame) -> DataFrame:
     return src.mapInArrow(sketch, "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def _sequences(src: DataFrame) -> DataFrame:
-    """doc_id and its labelled shingles as bytes."""
+def _sequences(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and its labelled shingles, 32 bits each, for the documents in ``ids``.
+
+    A bitmap of hashed ids, of ``FILTER_BITS`` bits at most, goes to the scan of the texts, so
+    that no text is shuffled; the ids are then joined exactly.
+    """
+    bits = min(FILTER_BITS, 1 << max(16, int(16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b")).collect()  # FILTER_BITS / 64 rows at most
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[[r["w"] for r in words]] = np.array([r["b"] for r in words], np.int64).view(np.uint64)
+    held = src.sparkSession.sparkContext.broadcast(bitmap)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            s = batch.column("slot").to_numpy(zero_copy_only=False).astype(np.uint64)
+            batch = batch.filter(pa.array((held.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)))
             for step in steps(batch, "text"):
                 words, ends = word_hashes(step.column("text"))
-                seq = [labelled(shingles(words[a:b], WORDS)).tobytes() for a, b in zip(ends, ends[1:])]
+                seq = [(labelled(shingles(words[a:b], WORDS)) >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(seq, pa.binary())], ["doc_id", "seq"])
 
-    return src.mapInArrow(make, "doc_id long, seq binary")
+    found = src.select("doc_id", "text", slot.alias("slot")).mapInArrow(make, "doc_id long, seq binary")
+    return written(found.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("seq").alias("seq")), "sequences")
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, min_similarity: float) -> DataFrame:
@@ -147,7 +161,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, min_similarity: float) ->
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = [batch.column(c).to_pylist() for c in ("seq_a", "seq_b")]
-            ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), min_similarity) >= min_similarity for x, y in zip(*get)]
+            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), min_similarity) >= min_similarity for x, y in zip(*get)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "similar"])
 
     pairs = written(pairs, "pairs")
@@ -169,13 +183,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # one of each text: partial minima before the shuffle, whatever the number of copies
     nodes = written(worded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count("*").alias("copies")).select("h1", "h2", "copies", "m.*"), "nodes")
 
-    rows = nodes.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    rows = nodes.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = written(rows.join(sizes, "bucket"), "members")
-    popular = members.groupBy("doc_id").agg(F.sum("size").alias("meets"))
+    popular = written(members.groupBy("doc_id").agg(F.sum("size").alias("meets")), "popular")
     leaders = members.join(popular, "doc_id").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("neg"))).alias("m")).select("bucket", (-F.col("m.neg")).alias("leader"))
     led = written(members.join(leaders, "bucket"), "led")
-    sequences = written(_sequences(known.join(popular.select("doc_id"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("seq").alias("seq")), "sequences")
+    sequences = _sequences(known, popular.select("doc_id"))
 
     first = led.filter("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     tried = written(_verified(first, sequences, min_similarity), "tried")
