@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, mix, steps, table, word_hashes
+from ._common import bounded_batches, mix, steps, table, tidy, word_hashes
 
 #: Each tolerates substitutions at its zeros; together any single one in a run of ten tokens.
 MASKS = ("11101011", "1101100111", "1110010101001", "111111")
@@ -165,7 +165,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                         cols = [step.column("doc_id").take(pa.array([g[0] for g in got])), pa.array([index.item_ids[g[1]] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.int64()) for k in (2, 3, 4, 5))]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", *names])
 
-        part = src.mapInArrow(scan, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+        part = src.mapInArrow(tidy(scan), "doc_id long, " + ", ".join(f"{n} long" for n in names))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -185,7 +185,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                     ok[[g[0] for g in held.value.overlaps(step.column(text_col))]] = False
                     yield step.filter(pa.array(ok))
 
-        out = out.mapInArrow(keep, docs.schema)
+        out = out.mapInArrow(tidy(keep), docs.schema)
     return out
 
 

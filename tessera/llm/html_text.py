@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, steps, table
+from ._common import bounded_batches, steps, table, tidy
 
 DEEPEST = 200
 WIDEST_SPAN = 100
@@ -431,7 +431,7 @@ def visible_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
                 yield pa.RecordBatch.from_arrays([step.column("page_id"), pa.array(text, pa.string())], ["page_id", "text"])
 
     src = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{html_col}`").alias("html"))
-    return src.mapInArrow(extract, "page_id long, text string")
+    return src.mapInArrow(tidy(extract), "page_id long, text string")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

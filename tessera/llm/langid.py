@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, steps, table, written
+from ._common import bounded_batches, steps, table, tidy, written
 
 FEATURES = 1 << 13
 #: The bound on training documents of each language.
@@ -141,7 +141,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1)), pa.array(np.append(df, n))], ["f", "n"])
 
     df = np.zeros(FEATURES + 1)
-    for r in src.select("text").mapInArrow(frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows
+    for r in src.select("text").mapInArrow(tidy(frequencies), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect():  # FEATURES + 1 rows
         df[r["f"]] = r["n"]
     if not df[-1]:
         return None
@@ -167,7 +167,7 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["y", "n", "f", "c"])
 
-    got = chosen.mapInArrow(features, "y string, n long, f binary, c binary").collect()  # the bounded sample
+    got = chosen.mapInArrow(tidy(features), "y string, n long, f binary, c binary").collect()  # the bounded sample
     got.sort(key=lambda r: (r["y"], r["n"], r["f"]))
     languages = sorted({r["y"] for r in got})
     if not languages:
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
-    return src.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def trained_on(docs: DataFrame, **kw) -> Model | None:
@@ -243,7 +243,7 @@ def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "te
                 lang, score = scored(step.column(text_col), held.value)
                 yield step.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= min_score)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

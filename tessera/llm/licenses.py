@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, steps, table
+from ._common import bounded_batches, steps, table, tidy
 
 MOST_EDITS = 0.15
 #: Templates that are held against a block word by word, best ranked first.
@@ -191,7 +191,7 @@ def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "license", "start", "end_", "saved_bytes", "edits", "differences", "matched"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    return src.mapInArrow(scan, "doc_id long, license string, start long, end_ long, saved_bytes long, edits long, differences string, matched string")
+    return src.mapInArrow(tidy(scan), "doc_id long, license string, start long, end_ long, saved_bytes long, edits long, differences string, matched string")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, mix, shingles, steps, table, word_hashes, written
+from ._common import bounded_batches, mix, shingles, steps, table, tidy, word_hashes, written
 from .graph import components
 
 WORDS = 5
@@ -126,7 +126,7 @@ def _sketches(src: DataFrame) -> DataFrame:
                 flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), step.column("h1"), step.column("h2"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "h1", "h2", "bands"])
 
-    return src.mapInArrow(sketch, "doc_id long, h1 long, h2 long, bands array<long>")
+    return src.mapInArrow(tidy(sketch), "doc_id long, h1 long, h2 long, bands array<long>")
 
 
 def _sequences(src: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def _sequences(src: DataFrame, ids: DataFrame) -> DataFrame:
                 seq = [(labelled(shingles(words[a:b], WORDS)) >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(seq, pa.binary())], ["doc_id", "seq"])
 
-    found = src.select("doc_id", "text", slot.alias("slot")).mapInArrow(make, "doc_id long, seq binary")
+    found = src.select("doc_id", "text", slot.alias("slot")).mapInArrow(tidy(make), "doc_id long, seq binary")
     return written(found.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("seq").alias("seq")), "sequences")
 
 
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, sequences: DataFrame, min_similarity: float) ->
     both = one.join(sequences.select(F.col("doc_id").alias("a"), F.col("seq").alias("seq_a")), "a")
     # the shorter can't be less than that share of the longer
     both = both.filter(F.least(F.length("seq_a"), F.length("seq_b")) >= F.lit(min_similarity) * F.greatest(F.length("seq_a"), F.length("seq_b")) - 1)
-    return pairs.join(both.select("a", "b", "seq_a", "seq_b").mapInArrow(verify, "a long, b long, similar boolean").filter("similar"), ["a", "b"], "left").select("a", "b", F.coalesce("similar", F.lit(False)).alias("similar"))
+    return pairs.join(both.select("a", "b", "seq_a", "seq_b").mapInArrow(tidy(verify), "a long, b long, similar boolean").filter("similar"), ["a", "b"], "left").select("a", "b", F.coalesce("similar", F.lit(False)).alias("similar"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:

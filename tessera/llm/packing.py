@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, steps, table, written
+from ._common import bounded_batches, steps, table, tidy, written
 from .tokens import encoder, with_end
 
 PIECES = "part int, rank_ long, doc_id long, start long, length int, doc_tokens long, ids_crc32 long"
@@ -60,9 +60,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end
                 if keep_ids:
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
+        enc.forget()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return written(src.mapInArrow(encode, PIECES + ", ids array<int>" * keep_ids), "pieces")
+    return written(src.mapInArrow(tidy(encode), PIECES + ", ids array<int>" * keep_ids), "pieces")
 
 
 def shortest_pack_first(histogram: dict[int, int], seq_len: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -151,7 +152,7 @@ def pack_pieces(pieces: DataFrame, *, seq_len: int = 4096) -> DataFrame:
 
     joined = pieces.join(before, ["part", "length"])
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("before_", "rank_", "part")]
-    return joined.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long", "padded_length long"]))
+    return joined.mapInArrow(tidy(place), ", ".join([*kept, "sequence_id long", "offset long", "padded_length long"]))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end_id: int = 2, keep_ids: bool = True) -> DataFrame:

@@ -9,8 +9,8 @@ hashes of the ``GRAM``-byte grams in it; equal windows select equal grams at equ
    than one chunk, or lie in more than one document of a chunk, are marked.
 3. Around each marked anchor a chunk takes the stretch of text whose windows select it, and sends
    each distinct stretch once, with the smallest doc_id that holds it, dealt by the anchor's hash.
-4. Stretches with the same gram form a group. Blocks of groups are ordered by a suffix array
-   (``suffix.suffix_array``), in which the shared gram is one symbol; suffixes that agree over a whole window are one
+4. Stretches with the same gram form a group; a group of one text needs no order. Blocks of all other groups are ordered
+   by a suffix array (``suffix.suffix_array``), in which the shared gram is one symbol; suffixes that agree over a whole window are one
    string, and the smallest doc_id of each such run decides.
 5. The answers go back to the chunks, where windows of larger doc_ids are covered.
 
@@ -24,6 +24,7 @@ shorter than ``LENGTH`` bytes lose nothing. Columns other than id and text are n
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, table, written
+from ._common import bounded_batches, table, tidy, written
 from .suffix import suffix_array
 
 LENGTH = 50
@@ -41,7 +42,10 @@ GRAM = 25
 CHUNK_BYTES = 8 << 20
 #: Symbols that one suffix array orders, about.
 BLOCK_SYMBOLS = 30_000
-STEP = 1 << 20
+#: Bytes whose windows are found at once, so that arrays stay in the cache; a longer document is taken whole.
+STEP = 1 << 17
+#: Bits of a window's key that hold the place; the others hold the gram's hash.
+PLACE_BITS = 24
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NO_ID = np.iinfo(np.int64).max
@@ -70,6 +74,20 @@ def gram_hashes(text: np.ndarray, k: int) -> np.ndarray:
     return whole * _M2
 
 
+def _first_smallest(h: np.ndarray, w: int) -> np.ndarray:
+    """Where each run of ``w`` hashes has its smallest, the first of equal ones."""
+    if len(h) >> PLACE_BITS:  # a very long document: parts that overlap
+        cut = (1 << PLACE_BITS) - w
+        return np.concatenate([_first_smallest(h[i : i + cut + w - 1], w) + i for i in range(0, len(h) - w + 1, cut)])
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    v, s = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while s < w:
+        t = min(s, w - s)
+        v = np.minimum(v[t:], v[:-t])
+        s += t
+    return (v & low).astype(np.int64)
+
+
 def runs(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Stretches of windows that select one anchor: (first window, last window, anchor, hash), in text order.
 
@@ -83,12 +101,7 @@ def runs(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = G
         lo, hi = int(ends[a]), int(ends[b])
         if hi - lo >= length:
             h = gram_hashes(text[lo:hi], gram)
-            v, q, s, w = h, np.arange(len(h), dtype=np.int32), 1, length - gram + 1
-            while s < w:
-                t = min(s, w - s)
-                right = v[t:] < v[:-t]
-                v, q = np.where(right, v[t:], v[:-t]), np.where(right, q[t:], q[:-t])
-                s += t
+            q = _first_smallest(h, length - gram + 1)
             n = len(q)
             inside = np.zeros(n + 1, bool)
             first = ends[a:b] - lo
@@ -163,26 +176,26 @@ def settle(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np.ndarray]]
     """For groups of distinct stretches (text, place of the shared gram, smallest doc_id): for each window of each stretch the smallest doc_id that has it."""
     symbols: list[int] = []
     start, doc, sizes = [], [], []
+    between = 256 + len(groups)
     for k, group in enumerate(groups):
         for text, at, low in group:
-            base = len(symbols)
-            symbols += [c + 2 for c in text[:at]]
-            symbols.append(258 + k)
-            symbols += [c + 2 for c in text[at + GRAM :]]
-            symbols.append(1)
             n = len(text) - LENGTH + 1
-            start.append(np.arange(base, base + n))
-            doc.append(low)
+            start.append(len(symbols))
             sizes.append(n)
-    symbols.append(0)
-    width = LENGTH - GRAM + 1
-    starts = np.concatenate(start)
+            doc.append(low)
+            symbols += text[:at]
+            symbols.append(256 + k)
+            symbols += text[at + GRAM :]
+            symbols.append(between)
+    symbols.append(-1)
     n = np.array(sizes)
+    starts = np.repeat(np.array(start) - np.cumsum(n) + n, n) + np.arange(n.sum())
+    width = LENGTH - GRAM + 1
     valid = np.full(len(symbols), -1, np.int64)
     valid[starts] = np.arange(len(starts))
     order = valid[np.array(suffix_array(symbols))]
     order = order[order >= 0]
-    rows = np.lib.stride_tricks.sliding_window_view(np.array(symbols + [0] * width, np.int32), width)[starts[order]]
+    rows = np.lib.stride_tricks.sliding_window_view(np.array(symbols + [-1] * width, np.int32), width)[starts[order]]
     new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
     owner = np.repeat(np.array(doc, np.int64), n)
     least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
@@ -240,7 +253,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield close()
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    return written(src.mapInArrow(pack, CHUNKS), "chunks")
+    return written(src.mapInArrow(tidy(pack), CHUNKS), "chunks")
 
 
 def _met(chunks: DataFrame, *messages: DataFrame) -> DataFrame:
@@ -310,7 +323,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield _rows([(f, b, np.packbits(shared[at : at + len(d) // 5], bitorder="little").tobytes())])
                 at += len(d) // 5
 
-    masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(send_hashes, MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(find_shared, MESSAGE_DDL), "masks")
+    masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(tidy(send_hashes), MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(tidy(find_shared), MESSAGE_DDL), "masks")
 
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush, c, (mask,) in _gathered(batches, 1):
@@ -329,6 +342,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield _rows([(flush, bucket, b"".join([head, size[pick].astype("<u2").tobytes(), at[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(distinct[i] for i in pick.tolist())]))])
 
     def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of small objects, none of them in a cycle; on again when the task ends
         groups: dict[tuple[int, bytes], dict[bytes, list]] = {}
         for batch in batches:
             for f, b, d in zip(*(batch.column(c).to_pylist() for c in ("flush", "bucket", "data"))):
@@ -351,28 +365,41 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         e[3].append((f, i))
         answers: dict[tuple[int, int], list] = {}
         block, symbols = [], 0
-        todo = [(b, g) for (b, _), g in groups.items() if len(g) > 1 or next(iter(g.values()))[2]]
+        several_texts = []
+        for (b, _), g in groups.items():
+            if len(g) > 1:
+                several_texts.append((b, g))
+                continue
+            # a group of one stretch is in order already
+            (s, (_, low, several, refs)), = g.items()
+            if several:
+                for f, i in refs:
+                    answers.setdefault((f, b), []).append((i, 0, len(s) - LENGTH + 1, low))
         groups.clear()
-        for k, (b, g) in enumerate(todo):
+        for k, (b, g) in enumerate(several_texts):
             block.append((b, g))
-            symbols += sum(len(s) for s in g) - (GRAM - 2) * len(g)
-            if symbols < BLOCK_SYMBOLS and k + 1 < len(todo):
+            symbols += sum(map(len, g)) - (GRAM - 2) * len(g)
+            if symbols < BLOCK_SYMBOLS and k + 1 < len(several_texts):
                 continue
             got = settle([[(s, e[0], e[1]) for s, e in g.items()] for _, g in block])
             for (b, g), found in zip(block, got):
                 for (_, low, several, refs), least in zip(g.values(), found):
-                    cut = np.flatnonzero(np.diff(least)) + 1 if len(least) > 1 else least[:0]
-                    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(least)]):
-                        if several or least[a] < low:
-                            for f, i in refs:
-                                answers.setdefault((f, b), []).append((i, a, z, least[a]))
+                    least = least.tolist()
+                    a = 0
+                    for z in range(1, len(least) + 1):
+                        if z == len(least) or least[z] != least[a]:
+                            if several or least[a] < low:
+                                for f, i in refs:
+                                    answers.setdefault((f, b), []).append((i, a, z, least[a]))
+                            a = z
             block, symbols = [], 0
         for (f, b), rows in answers.items():
             i, a, z, low = map(np.array, zip(*rows))
             yield _rows([(f, b, b"".join([np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()]))])
+        gc.enable()
 
     marked = _met(chunks, masks).repartition(n_chunks, "flush").sortWithinPartitions("flush", "kind")
-    answers = marked.mapInArrow(send_stretches, MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(order_groups, MESSAGE_DDL)
+    answers = marked.mapInArrow(tidy(send_stretches), MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(tidy(order_groups), MESSAGE_DDL)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))] + [("kept", pa.binary())] * keep_text
 
@@ -414,7 +441,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(rows, fields)], schema=pa.schema(fields))
 
     covered = _met(chunks, masks, answers).repartition(n_chunks, "flush").sortWithinPartitions("flush", "kind")
-    return covered.mapInArrow(cover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + ", kept binary" * keep_text)
+    return covered.mapInArrow(tidy(cover), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + ", kept binary" * keep_text)
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,25 +60,36 @@ def suffix_array(text: list[int]) -> list[int]:
             if p >= 0:
                 count[p] = count.get(p, 0) + 1
         if count:
-            by: dict[int, list[int]] = {}
-            for p, c in count.items():
-                by.setdefault(c, []).append(p)
-            for c in sorted(by, reverse=True):
+            most = max(count.values())
+            if most == 1:
+                levels = [list(count)]
+            else:
+                by: dict[int, list[int]] = {}
+                for p, c in count.items():
+                    by.setdefault(c, []).append(p)
+                levels = [by[c] for c in sorted(by, reverse=True)]
+            for level in levels:
                 moved: dict[int, list[int]] = {}
-                for p in by[c]:
-                    moved.setdefault(group[p], []).append(p)
+                for p in level:
+                    g = group[p]
+                    if size[g] > 1:
+                        if g in moved:
+                            moved[g].append(p)
+                        else:
+                            moved[g] = [p]
                 for g, members in moved.items():
                     k, m = size[g], len(members)
                     if m == k:
                         continue
-                    new = g + k - m
-                    tail = g + k
+                    new = tail = g + k
+                    new -= m
                     for p in members:
                         tail -= 1
-                        at, other = where[p], order[tail]
-                        order[at], order[tail] = other, p
-                        where[other], where[p] = at, tail
-                    for p in members:
+                        at = where[p]
+                        if at != tail:
+                            other = order[tail]
+                            order[at], order[tail] = other, p
+                            where[other], where[p] = at, tail
                         group[p] = new
                     size[g] = k - m
                     size[new] = m

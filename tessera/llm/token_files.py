@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, steps, table, work_path
+from ._common import bounded_batches, steps, table, tidy, work_path
 from .tokens import encoder, with_end
 
 MAGIC = b"TPK1"
@@ -144,12 +144,13 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, *, id_co
                     yield close()
         if held:
             yield close()
+        enc.forget()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the hash splits a doc_id that many rows share
     tie = F.xxhash64("text")
     ordered = src.withColumn("tie_", tie).repartitionByRange("doc_id", "tie_").sortWithinPartitions("doc_id", "tie_", "text").drop("tie_")
-    ordered.mapInArrow(encode, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(tidy(encode), SHARDS).write.option("compression", "zstd").parquet(path)
     return read_token_shards(spark, path)
 
 
@@ -180,7 +181,7 @@ def shard_documents(shards: DataFrame, ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(fields))
 
     bounded_batches(spark)
-    return shards.select("part", "start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return shards.select("part", "start", "data").mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

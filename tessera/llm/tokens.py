@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from ._common import as_strings
 
 #: A worker forgets its words beyond this many.
-MOST_WORDS = 700_000
+MOST_WORDS = 350_000
 #: ASCII signs that aren't letters, digits or white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -52,9 +52,10 @@ class Encoder:
             self.ends_word = np.zeros(self.vocab_size, bool)
             for token, i in self.lib.get_vocab(with_added_tokens=True).items():
                 self.ends_word[i] = token.endswith(suffix)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop all remembered words; done after each task, as workers live on."""
         self.code: dict[str, int] = {}  # of a chunk; its ids are flat[at[code] : at[code] + size[code]]
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
@@ -131,7 +132,7 @@ class Encoder:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         words = lists.flatten().dictionary_encode()
         if len(self.code) > MOST_WORDS:
-            self._forget()
+            self.forget()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = self.code
         self._learn([w for w in distinct if w not in code])

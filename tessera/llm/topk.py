@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, table, written
+from ._common import bounded_batches, table, tidy, written
 
 LEAF = 128
 #: Vectors in a shard, about; a shard of 64 dimensions and 32-bit components has 17 MB.
@@ -226,7 +226,7 @@ def exact_top_k(vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "
                     yield _send(PACKED, shard=[shard], kind=[1], dim=[dim], kth=[None], ids=[ids[part].tobytes()], bytes_=[one.itemsize], vecs=[one[part].tobytes()])
 
     dealt = src.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).repartition(n_shards, "shard")
-    packs = written(dealt.mapInArrow(index, PACKED_DDL), "vector-shards")
+    packs = written(dealt.mapInArrow(tidy(index), PACKED_DDL), "vector-shards")
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict = {}
@@ -244,7 +244,7 @@ def exact_top_k(vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "
 
     HOME = [*PACKED, *((c, pa.list_(t)) for c, t in FOUND)]
     sort = ("shard", "dim", "kind")
-    home = written(packs.repartition(n_shards, "shard").sortWithinPartitions(*sort).mapInArrow(at_home, PACKED_DDL + ", query_id array<long>, vec_id array<long>, score array<long>"), "vector-home")
+    home = written(packs.repartition(n_shards, "shard").sortWithinPartitions(*sort).mapInArrow(tidy(at_home), PACKED_DDL + ", query_id array<long>, vec_id array<long>, score array<long>"), "vector-home")
 
     def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree = None, None
@@ -264,7 +264,7 @@ def exact_top_k(vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "
     visits = blocks.withColumn("group_", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int")).withColumn("to_", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).filter(F.col("to_") != F.col("shard")).withColumn("shard", F.col("to_")).drop("to_")
     hosts = packs.filter("kind = 0").withColumn("group_", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     met = hosts.unionByName(visits).repartition(n_shards * n_groups, "shard", "group_").sortWithinPartitions("shard", "group_", "dim", "kind")
-    far = met.mapInArrow(away, "query_id long, vec_id long, score long")
+    far = met.mapInArrow(tidy(away), "query_id long, vec_id long, score long")
     near = home.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("z")).select("z.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.unionByName(far).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
