@@ -127,7 +127,11 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     """The same function for mapInArrow, after which the worker gives its free memory back; workers live on for the next task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
+        gc.disable()  # the work makes many small objects but no cycles
+        try:
+            yield from work(batches)
+        finally:
+            gc.enable()
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):

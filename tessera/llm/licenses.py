@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, steps, table, tidy
 
 MOST_EDITS = 0.15
-#: Templates that are held against a block word by word, best ranked first.
+#: Templates that are held against a block at a time, best ranked first; the next follow if none of them is confirmed.
 CONFIRMED = 5
 #: Lines without license language that a block may hold in a row.
 GAP_LINES = 3
@@ -122,9 +122,10 @@ def best_license(words: list[str]) -> tuple[str, int, int, int, int, list[str]]
     data = (" ".join(words) + " ").encode()
     plain = len(_alone().compress(data))
     ranked = sorted(((plain - len(c.compress(data)), -k) for k, (_, _, c) in enumerate(_library())), reverse=True)
+    ranked = ranked[: next((i for i, (saved, _) in enumerate(ranked) if saved <= 0), len(ranked))]
     best = None
-    for rank, (saved, k) in enumerate(ranked[:CONFIRMED]):
-        if saved <= 0:
+    for rank, (saved, k) in enumerate(ranked):
+        if best and rank % CONFIRMED == 0:
             break
         name, template, _ = _library()[-k]
         edits, a, b, diff = fewest_edits(template, words)

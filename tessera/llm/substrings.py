@@ -9,7 +9,8 @@ hashes of the ``GRAM``-byte grams in it; equal windows select equal grams at equ
    than one chunk, or lie in more than one document of a chunk, are marked.
 3. Around each marked anchor a chunk takes the stretch of text whose windows select it, and sends
    each distinct stretch once, with the smallest doc_id that holds it, dealt by the anchor's hash.
-4. Stretches with the same gram form a group; a group of one text needs no order. Blocks of all other groups are ordered
+4. Stretches with the same gram form a group; a group of one text needs no order, one of two is compared outwards from
+   the gram. Blocks of all other groups are ordered
    by a suffix array (``suffix.suffix_array``), in which the shared gram is one symbol; suffixes that agree over a whole window are one
    string, and the smallest doc_id of each such run decides.
 5. The answers go back to the chunks, where windows of larger doc_ids are covered.
@@ -24,7 +25,6 @@ shorter than ``LENGTH`` bytes lose nothing. Columns other than id and text are n
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -172,6 +172,25 @@ class Chunk:
         return runs_, distinct, which, sample
 
 
+def settle_two(one: tuple[bytes, int, int], two: tuple[bytes, int, int]) -> list[list[int]]:
+    """What ``settle`` gives for a group of two stretches: they are compared outwards from the gram."""
+    (s, i, low), (t, j, other) = one, two
+    left = right = 0
+    for x, y in zip(reversed(s[:i]), reversed(t[:j])):
+        if x != y:
+            break
+        left += 1
+    for x, y in zip(s[i + GRAM :], t[j + GRAM :]):
+        if x != y:
+            break
+        right += 1
+    n, m = len(s) - LENGTH + 1, len(t) - LENGTH + 1
+    # windows that begin so many bytes before the gram are in both
+    least, most = max(0, LENGTH - GRAM - right, i - n + 1, j - m + 1), min(LENGTH - GRAM, left, i, j)
+    both = min(low, other)
+    return [[both if least <= i - a <= most else low for a in range(n)], [both if least <= j - a <= most else other for a in range(m)]]
+
+
 def settle(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np.ndarray]]:
     """For groups of distinct stretches (text, place of the shared gram, smallest doc_id): for each window of each stretch the smallest doc_id that has it."""
     symbols: list[int] = []
@@ -342,7 +361,6 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 yield _rows([(flush, bucket, b"".join([head, size[pick].astype("<u2").tobytes(), at[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(distinct[i] for i in pick.tolist())]))])
 
     def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small objects, none of them in a cycle; on again when the task ends
         groups: dict[tuple[int, bytes], dict[bytes, list]] = {}
         for batch in batches:
             for f, b, d in zip(*(batch.column(c).to_pylist() for c in ("flush", "bucket", "data"))):
@@ -376,27 +394,29 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 for f, i in refs:
                     answers.setdefault((f, b), []).append((i, 0, len(s) - LENGTH + 1, low))
         groups.clear()
+        def answer(b: int, g: dict[bytes, list], found: list) -> None:
+            for (_, low, several, refs), least in zip(g.values(), found):
+                a = 0
+                for z in range(1, len(least) + 1):
+                    if z == len(least) or least[z] != least[a]:
+                        if several or least[a] < low:
+                            for f, i in refs:
+                                answers.setdefault((f, b), []).append((i, a, z, least[a]))
+                        a = z
+
         for k, (b, g) in enumerate(several_texts):
-            block.append((b, g))
-            symbols += sum(map(len, g)) - (GRAM - 2) * len(g)
-            if symbols < BLOCK_SYMBOLS and k + 1 < len(several_texts):
-                continue
-            got = settle([[(s, e[0], e[1]) for s, e in g.items()] for _, g in block])
-            for (b, g), found in zip(block, got):
-                for (_, low, several, refs), least in zip(g.values(), found):
-                    least = least.tolist()
-                    a = 0
-                    for z in range(1, len(least) + 1):
-                        if z == len(least) or least[z] != least[a]:
-                            if several or least[a] < low:
-                                for f, i in refs:
-                                    answers.setdefault((f, b), []).append((i, a, z, least[a]))
-                            a = z
-            block, symbols = [], 0
+            if len(g) == 2:
+                answer(b, g, settle_two(*((s, e[0], e[1]) for s, e in g.items())))
+            else:
+                block.append((b, g))
+                symbols += sum(map(len, g)) - (GRAM - 2) * len(g)
+            if symbols >= BLOCK_SYMBOLS or block and k + 1 == len(several_texts):
+                for (b, g), found in zip(block, settle([[(s, e[0], e[1]) for s, e in g.items()] for _, g in block])):
+                    answer(b, g, [x.tolist() for x in found])
+                block, symbols = [], 0
         for (f, b), rows in answers.items():
             i, a, z, low = map(np.array, zip(*rows))
             yield _rows([(f, b, b"".join([np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()]))])
-        gc.enable()
 
     marked = _met(chunks, masks).repartition(n_chunks, "flush").sortWithinPartitions("flush", "kind")
     answers = marked.mapInArrow(tidy(send_stretches), MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(tidy(order_groups), MESSAGE_DDL)
