@@ -48,7 +48,10 @@ def calibration(df: DataFrame, confidence: Column, correct: Column, bins: int =
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0)).alias("pearson"))
+    """The population form over rows that have both; 0 where either doesn't vary."""
+    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    m = both.agg(F.covar_pop(a, b).alias("c"), (F.stddev_pop(a) * F.stddev_pop(b)).alias("s"))
+    return m.select(F.when(F.col("s") > 0, F.col("c") / F.col("s")).otherwise(0.0).alias("pearson"))
 
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:

@@ -486,7 +486,7 @@ def export_manifest(spark, sf):
 # -- measures ----------------------------------------------------------------------------
 
 
-@query("SELECT a.event_id AS a, b.event_id AS b, CASE WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600e6 THEN 1.0 WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 86400e6 THEN 0.8 ELSE 0.6 END::DOUBLE AS score FROM events a JOIN events b ON a.event_id + 200 = b.event_id")
+@query("SELECT a.event_id AS a, b.event_id AS b, CASE WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600e6 THEN 1.0 WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 86400e6 THEN 0.8 WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 604800e6 THEN 0.6 WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 2592000e6 THEN 0.4 WHEN abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 31536000e6 THEN 0.2 ELSE 0.0 END::DOUBLE AS score FROM events a JOIN events b ON a.event_id + 200 = b.event_id")
 def time_nearness(spark, sf):
     e = t(spark, sf, "events")
     a, b = e.select(F.col("event_id").alias("a"), F.col("ts").alias("ta")), e.select(F.col("event_id").alias("b"), F.col("ts").alias("tb"))
