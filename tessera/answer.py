@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .operators.relational import compact
+from .provider import Provider
 
 NAMES = {"count": "Count", "avg": "Average", "sum": "Total", "min": "Minimum", "max": "Maximum", "result": "Result"}
 
@@ -16,9 +17,17 @@ def shown(value: object) -> str:
     return str(value)
 
 
-def answer(question: str, df: DataFrame, rows: int = 10, columns: int = 4) -> str:
-    """A sentence for one row, else the first rows; at most ``rows`` + 1 rows reach the driver, and a count if there are more."""
+def answer(question: str, df: DataFrame, rows: int = 10, columns: int = 4, provider: Provider | None = None) -> str:
+    """A sentence for one row, else the first rows; at most ``rows`` + 1 rows reach the driver, and a count if there are more.
+
+    A provider that writes text is given the question and twenty rows; the template stays if it fails.
+    """
     df = compact(df)
+    if provider is not None:
+        try:
+            return provider.complete(f"Answer from these rows alone.\nQuestion: {question}\nRows: {[r.asDict() for r in df.limit(20).collect()]}")
+        except Exception:  # noqa: BLE001  the template needs no model
+            pass
     got = [r.asDict() for r in df.limit(rows + 1).collect()]
     if not got:
         return f"No results found for: {question}"

@@ -96,3 +96,57 @@ def answered(answer: str, data: list[dict], expected: str, tolerance: float = 1e
         return str(expected).lower() in shown.lower()
     got = [float(x.replace(",", "")) for x in re.findall(r"-?\d[\d,]*(?:\.\d+)?", shown)]
     return any(abs(g - want) <= tolerance * max(1.0, abs(want)) for g in got) or len(data) == want
+
+
+def plan_metrics(plans: list[set[str]], qualities: list[float], objectives: list[tuple[float, float, float]]) -> dict[str, float]:
+    """Diversity, relative spread of quality, the volume that the front's means dominate, and its extent in each objective."""
+    import statistics
+
+    mean = statistics.fmean(qualities) if qualities else 0.0
+    out = {"diversity": diversity(plans), "quality_cv": statistics.pstdev(qualities) / mean if mean else 0.0}
+    if objectives:
+        lat, res, conf = zip(*objectives)
+        out |= {"mean_confidence": statistics.fmean(conf), "mean_risk": 1 - statistics.fmean(conf), "hypervolume": statistics.fmean(c / ((1 + a) * (1 + r)) for a, r, c in objectives)}
+        out |= {"spread_latency": max(lat) - min(lat), "spread_resources": max(res) - min(res), "spread_confidence": max(conf) - min(conf)}
+    return out
+
+
+def grounding_score(columns: DataFrame, literals: DataFrame, schema: DataFrame, stored: DataFrame) -> DataFrame:
+    """Shares of a plan's columns (column) that exist, and of its literals (value) that are stored, exactly or as a part of a value."""
+    c = columns.select(F.lower("column").alias("column")).distinct()
+    known = c.join(schema.select(F.lower("column").alias("column")).distinct(), "column", "left_semi")
+    v = literals.select(F.lower("value").alias("value")).distinct()
+    s = stored.select(F.lower("value").alias("stored")).distinct()
+    exact = v.join(s, F.col("value") == F.col("stored"), "left_semi")
+    part = v.join(F.broadcast(v).join(s, F.col("stored").contains(F.col("value"))).select("value").distinct(), "value", "left_semi")  # a plan has a handful of literals
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    one = n(c, "c").crossJoin(n(known, "k")).crossJoin(n(v, "v")).crossJoin(n(exact, "e")).crossJoin(n(part, "p"))  # five single rows
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    return one.select(share("k", "c").alias("column_validity"), share("e", "v").alias("value_exact"), share("p", "v").alias("value_partial"))
+
+
+def resolution(got: DataFrame, gold: DataFrame, wrong: DataFrame, key: str) -> float | None:
+    """1 if a result is nearer to the gold than to the wrong reading, 0.5 if as near, else 0; None where both readings are the same."""
+    if not gold.select(key).distinct().exceptAll(wrong.select(key).distinct()).count() and not wrong.select(key).distinct().exceptAll(gold.select(key).distinct()).count():
+        return None
+    a, b = (set_scores(got, x, key).first()["f1"] for x in (gold, wrong))
+    return 1.0 if a > b else 0.5 if a == b else 0.0
+
+
+def judge_score(answer: str) -> float | None:
+    """A rating from 0 to 10 in a judge's answer, such as <rating>7</rating>, as a share."""
+    import re
+
+    m = re.search(r"<rating>\s*(\d+(?:\.\d+)?)\s*</rating>", answer) or re.search(r"\b(\d+(?:\.\d+)?)\s*(?:/\s*10)?\b", answer)
+    return min(1.0, float(m[1]) / 10) if m else None
+
+
+def method_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy, mean latency, tokens and throughput of runs (validated, seconds, tokens) for every level of ``by`` in one pass."""
+    g = runs.rollup(*by).agg(F.count("*").alias("n"), F.avg(F.col("validated").cast("double")).alias("accuracy"), F.avg("seconds").alias("mean_seconds"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("s_"))
+    return g.withColumn("per_minute", F.when(F.col("s_") > 0, F.col("n") / F.col("s_") * 60).otherwise(0.0)).drop("s_")
+
+
+def failure_class(parsed: Column, planned: Column, ran: Column, validated: Column) -> Column:
+    """Where a question failed: the first stage that did."""
+    return F.when(~parsed, "parse").when(~planned, "plan").when(~ran, "execution").when(~validated, "answer").otherwise("none")

@@ -2,3 +2,4 @@
 
 from .relational import *  # noqa: F401,F403
 from .semantic import *  # noqa: F401,F403
+from .vision import *  # noqa: F401,F403

@@ -127,3 +127,16 @@ def score(provider: Provider, text: Column, question: str) -> Column:
         return pd.Series(provider.score([None if pd.isna(x) else x for x in s], question), dtype="float64")
 
     return run(text)
+
+
+def read_json(text: str) -> object:
+    """The first JSON value in a model's answer, fences and words around it aside; ValueError without one."""
+    import json
+
+    text = re.sub(r"```\w*", "", text)
+    for m in re.finditer(r"[\[{]", text):
+        try:
+            return json.JSONDecoder().raw_decode(text[m.start() :])[0]
+        except ValueError:
+            continue
+    raise ValueError("no JSON in the answer")

@@ -241,3 +241,48 @@ def test_stream(spark, movies, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["id"] for r in spark.sql("select * from got").collect()} == {3, 4, 5}
+
+
+def test_history_of_runs(planner, spark, tmp_path):
+    got = planner.ask("How many movies have rating above 7?")
+    ops, edges = planner.records(got, "q")
+    assert [(o[0], o[3]) for o in ops] == [("SCAN", 5), ("FILTER", 3), ("AGGREGATE", 1)] and {e[:2] for e in edges} == {("AGGREGATE", "FILTER"), ("FILTER", "SCAN")}
+    h = History(spark, f"file://{tmp_path}/runs")
+    h.record(ops, edges)
+    again = Planner(planner.catalog, history=executions(h.operators()))
+    assert again.ask("How many movies have rating above 7?").text == "Count: 3" and any(e.source == "historical" for e in again.plan("How many movies have rating above 7?").estimates.values())
+
+
+def test_vision(spark):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + (3).to_bytes(4, "big") + (2).to_bytes(4, "big")
+    df = spark.createDataFrame([(1, png), (2, b"GIF89a\1\0\2\0"), (3, None), (4, b"x")], "id int, image binary")
+    assert [r["id"] for r in O.image_filter(df, "image", "a png file").collect()] == [1]
+    assert [r["category"] for r in O.image_labels(df, "image", ("png", "gif")).orderBy("id").collect()] == ["png", "gif", None, None]
+    assert [r["embedding"] for r in O.image_vectors(df, "image").orderBy("id").collect()] == [[3.0, 2.0], [1.0, 2.0], None, None]
+    assert [r["objects"] for r in O.image_objects(df, "image").orderBy("id").collect()] == [[], [], None, []]
+    boxed = df.select("id", F.struct(F.col("image").alias("bytes"), F.lit("p").alias("path")).alias("image"))
+    assert O.image_filter(boxed, "image", "gif").count() == 1 and isinstance(O.available()["torch"], bool)
+
+
+def test_parse_and_answer_by_provider(movies):
+    from tessera.plans.parse import parse_with
+    from tessera.provider import read_json
+
+    ask = CallableProvider(lambda p: 'Sure: ```json\n{"required": ["FILTER", "NOPE"], "root": "FILTER"}\n```')
+    assert parse_with(ask, "x").required == {"SCAN", "FILTER"} and parse_with(OfflineProvider(), "count rows").root == "AGGREGATE"
+    assert answer("q", movies, provider=CallableProvider(lambda p: "five")) == "five" and answer("q", movies, provider=OfflineProvider()).startswith("Found 5")
+    with pytest.raises(ValueError):
+        read_json("nothing")
+
+
+def test_more_metrics(spark):
+    c = lambda n, *v: spark.createDataFrame([(x,) for x in v], f"{n} string")
+    r = M.grounding_score(c("column", "a", "zz"), c("value", "Rock", "pop"), c("column", "A", "b"), c("value", "rock", "pop music")).first()
+    assert list(r) == [0.5, 0.5, 1.0]
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id int")
+    assert M.resolution(ids(1, 2), ids(1, 2), ids(3), "id") == 1.0 and M.resolution(ids(3), ids(1), ids(3), "id") == 0.0 and M.resolution(ids(1), ids(1), ids(1), "id") is None
+    assert M.judge_score("<rating>7</rating>") == 0.7 and M.judge_score("none") is None
+    assert M.plan_metrics([{"a"}, {"a"}], [0.5, 0.5], [(1, 1, 0.5)])["quality_cv"] == 0.0
+    runs = spark.createDataFrame([("m", "d", True, 1.0, 5), ("m", "e", False, 3.0, 5)], "method string, data string, validated boolean, seconds double, tokens int")
+    assert M.method_summary(runs, ["method", "data"]).filter("method is null").first()["per_minute"] == 30.0
+    assert spark.range(1).select(M.failure_class(F.lit(True), F.lit(False), F.lit(True), F.lit(True))).first()[0] == "plan"
