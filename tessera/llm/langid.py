@@ -29,6 +29,8 @@ from ._common import bounded_batches, steps, table, tidy, written
 FEATURES = 1 << 13
 #: The bound on training documents of each language.
 PER_LANGUAGE = 800
+#: A sample of ids up to this many goes to all tasks, a larger one, of very many languages, is shuffled.
+MOST_BROADCAST = 200_000
 UNKNOWN = "und"
 #: Below this the pipeline's stage rejects a document.
 MIN_SCORE = 0.3
@@ -151,9 +153,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     key = src.select("i", "y", F.xxhash64("i", F.lit(17)).alias("h"))
     sizes = key.groupBy("y").agg(F.count("*").alias("all_"))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 200) / F.col("all_"))
-    near = key.join(F.broadcast(sizes), "y").filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("i", "y", "h")
+    near = key.join(sizes, "y").filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("i", "y", "h")
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "i"))).filter(F.col("n") <= per_language).select("i", "y", "n")
-    chosen = src.join(F.broadcast(written(first, "language-sample")), ["i", "y"])  # per_language rows of each language at most
+    sample = written(first, "language-sample")  # per_language rows of each language at most
+    small = sample.count() <= MOST_BROADCAST
+    chosen = src.join(F.broadcast(sample) if small else sample, ["i", "y"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

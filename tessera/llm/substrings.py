@@ -40,8 +40,16 @@ from .suffix import suffix_array
 LENGTH = 50
 GRAM = 25
 CHUNK_BYTES = 8 << 20
+#: Hashes that are sorted at once.
+RANGE_HASHES = 1 << 22
 #: Symbols that one suffix array orders, about.
 BLOCK_SYMBOLS = 30_000
+#: Hashes and stretches are dealt to one bucket for each CHUNK_BYTES of text, but no more than this: a chunk's message to a
+#: bucket then holds about 32 hashes or more. A bucket of stretches is read by itself, in order, so that there can be more of them.
+MOST_HASH_BUCKETS = 1 << 14
+MOST_STRETCH_BUCKETS = 1 << 20
+#: Partitions of any shuffle; each reads its chunks and buckets one after the other.
+MOST_PARTITIONS = 20_000
 #: Bytes whose windows are found at once, so that arrays stay in the cache; a longer document is taken whole.
 STEP = 1 << 17
 #: Bits of a window's key that hold the place; the others hold the gram's hash.
@@ -275,6 +283,20 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(src.mapInArrow(tidy(pack), CHUNKS), "chunks")
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(bucket, [(flush, data), ...]) from messages sorted by bucket."""
+    bucket, held = None, []
+    for batch in batches:
+        for f, b, d in zip(*(batch.column(c).to_pylist() for c in ("flush", "bucket", "data"))):
+            if b != bucket:
+                if held:
+                    yield bucket, held
+                bucket, held = b, []
+            held.append((f, d))
+    if held:
+        yield bucket, held
+
+
 def _met(chunks: DataFrame, *messages: DataFrame) -> DataFrame:
     """Each chunk followed by the messages for it (kind 1, 2, ...)."""
     out = chunks.select("flush", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "sizes", "ids", "data")
@@ -306,47 +328,48 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bounded_batches(spark)
     chunks = _chunks(docs, id_col, text_col)
     total = chunks.agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).first()
-    n_chunks = max(1, total["n"])
-    buckets = max(8, int((total["b"] or 0) // CHUNK_BYTES) + 1)
+    parts = max(1, min(total["n"], MOST_PARTITIONS))
+    many = max(8, int((total["b"] or 0) // CHUNK_BYTES) + 1)
+    hash_buckets, stretch_buckets = min(many, MOST_HASH_BUCKETS), min(many, MOST_STRETCH_BUCKETS)
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 c = Chunk(*(batch.column(n)[r].as_py() for n in ("data", "sizes", "ids")))
                 rows = []
-                for bucket, at in c.dealt(c.distinct, buckets):
+                for bucket, at in c.dealt(c.distinct, hash_buckets):
                     h = (c.distinct[at] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
                     rows.append((batch.column("flush")[r].as_py(), bucket, h.tobytes()))
                 if rows:
                     yield _rows(rows)
 
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for f, b, d in zip(*(batch.column(c).to_pylist() for c in ("flush", "bucket", "data"))):
-                held.setdefault(b, []).append((f, d))
-        for b, messages in held.items():
+        for b, messages in _by_bucket(batches):
             raw = np.frombuffer(b"".join(d for _, d in messages), np.uint8).reshape(-1, 5)
-            h = np.zeros((len(raw), 8), np.uint8)
-            h[:, :5] = raw
-            h = h.view("<u8").ravel()
-            order = np.argsort(h)
-            s = h[order]
-            twice = np.zeros(len(s), bool)
-            twice[1:] = s[1:] == s[:-1]
-            twice[:-1] |= twice[1:]
-            shared = np.zeros(len(s), bool)
-            shared[order] = twice
+            shared = np.zeros(len(raw), bool)
+            # a large bucket by ranges of the highest byte
+            step = max(1, 256 * RANGE_HASHES // max(1, len(raw)))
+            for lo in range(0, 256, step):
+                at = np.flatnonzero((raw[:, 4] >= lo) & (raw[:, 4] < lo + step)) if step < 256 else np.arange(len(raw))
+                h = np.zeros((len(at), 8), np.uint8)
+                h[:, :5] = raw[at]
+                h = h.view("<u8").ravel()
+                order = np.argsort(h)
+                same = h[order][1:] == h[order][:-1]
+                twice = np.zeros(len(h), bool)
+                twice[1:] = same
+                twice[:-1] |= same
+                shared[at[order]] = twice
             at = 0
             for f, d in messages:
                 yield _rows([(f, b, np.packbits(shared[at : at + len(d) // 5], bitorder="little").tobytes())])
                 at += len(d) // 5
 
-    masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(tidy(send_hashes), MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(tidy(find_shared), MESSAGE_DDL), "masks")
+    masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(tidy(send_hashes), MESSAGE_DDL).repartition(min(hash_buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(find_shared), MESSAGE_DDL), "masks")
 
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush, c, (mask,) in _gathered(batches, 1):
-            c.mark(buckets, mask)
+            c.mark(hash_buckets, mask)
             runs_, distinct, which, sample = c.stretches()
             if not distinct:
                 continue
@@ -356,82 +379,85 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             np.maximum.at(high, which, owner)
             at = c.anchor[sample] - c.first[sample]
             size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-            for bucket, pick in c.dealt(c.hash[sample], buckets):
+            for bucket, pick in c.dealt(c.hash[sample], stretch_buckets):
                 head = np.array([len(pick)], "<u4").tobytes()
                 yield _rows([(flush, bucket, b"".join([head, size[pick].astype("<u2").tobytes(), at[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(distinct[i] for i in pick.tolist())]))])
 
     def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[int, bytes], dict[bytes, list]] = {}
-        for batch in batches:
-            for f, b, d in zip(*(batch.column(c).to_pylist() for c in ("flush", "bucket", "data"))):
-                n = int.from_bytes(d[:4], "little")
-                size = np.frombuffer(d, "<u2", n, 4).tolist()
-                at = d[4 + 2 * n : 4 + 3 * n]
-                several = d[4 + 3 * n : 4 + 4 * n]
-                low = np.frombuffer(d, "<i8", n, 4 + 4 * n).tolist()
-                p = 4 + 12 * n
-                for i in range(n):
-                    s = d[p : p + size[i]]
-                    p += size[i]
-                    g = groups.setdefault((b, s[at[i] : at[i] + GRAM]), {})
-                    e = g.get(s)
-                    if e is None:
-                        g[s] = [at[i], low[i], several[i], [(f, i)]]
-                    else:
-                        e[2] = e[2] or low[i] != e[1]
-                        e[1] = min(e[1], low[i])
-                        e[3].append((f, i))
-        answers: dict[tuple[int, int], list] = {}
+        for b, messages in _by_bucket(batches):
+            yield from order_bucket(b, messages)
+
+    def order_bucket(b: int, messages: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        groups: dict[bytes, dict[bytes, list]] = {}
+        for f, d in messages:
+            n = int.from_bytes(d[:4], "little")
+            size = np.frombuffer(d, "<u2", n, 4).tolist()
+            at = d[4 + 2 * n : 4 + 3 * n]
+            several = d[4 + 3 * n : 4 + 4 * n]
+            low = np.frombuffer(d, "<i8", n, 4 + 4 * n).tolist()
+            p = 4 + 12 * n
+            for i in range(n):
+                s = d[p : p + size[i]]
+                p += size[i]
+                g = groups.setdefault(s[at[i] : at[i] + GRAM], {})
+                e = g.get(s)
+                if e is None:
+                    g[s] = [at[i], low[i], several[i], [(f, i)]]
+                else:
+                    e[2] = e[2] or low[i] != e[1]
+                    e[1] = min(e[1], low[i])
+                    e[3].append((f, i))
+        answers: dict[int, list] = {}
         block, symbols = [], 0
         several_texts = []
-        for (b, _), g in groups.items():
+        for g in groups.values():
             if len(g) > 1:
-                several_texts.append((b, g))
+                several_texts.append(g)
                 continue
             # a group of one stretch is in order already
             (s, (_, low, several, refs)), = g.items()
             if several:
                 for f, i in refs:
-                    answers.setdefault((f, b), []).append((i, 0, len(s) - LENGTH + 1, low))
+                    answers.setdefault(f, []).append((i, 0, len(s) - LENGTH + 1, low))
         groups.clear()
-        def answer(b: int, g: dict[bytes, list], found: list) -> None:
+        def answer(g: dict[bytes, list], found: list) -> None:
             for (_, low, several, refs), least in zip(g.values(), found):
                 a = 0
                 for z in range(1, len(least) + 1):
                     if z == len(least) or least[z] != least[a]:
                         if several or least[a] < low:
                             for f, i in refs:
-                                answers.setdefault((f, b), []).append((i, a, z, least[a]))
+                                answers.setdefault(f, []).append((i, a, z, least[a]))
                         a = z
 
-        for k, (b, g) in enumerate(several_texts):
+        for k, g in enumerate(several_texts):
             if len(g) == 2:
-                answer(b, g, settle_two(*((s, e[0], e[1]) for s, e in g.items())))
+                answer(g, settle_two(*((s, e[0], e[1]) for s, e in g.items())))
             else:
-                block.append((b, g))
+                block.append(g)
                 symbols += sum(map(len, g)) - (GRAM - 2) * len(g)
             if symbols >= BLOCK_SYMBOLS or block and k + 1 == len(several_texts):
-                for (b, g), found in zip(block, settle([[(s, e[0], e[1]) for s, e in g.items()] for _, g in block])):
-                    answer(b, g, [x.tolist() for x in found])
+                for g, found in zip(block, settle([[(s, e[0], e[1]) for s, e in g.items()] for g in block])):
+                    answer(g, [x.tolist() for x in found])
                 block, symbols = [], 0
-        for (f, b), rows in answers.items():
+        for f, rows in answers.items():
             i, a, z, low = map(np.array, zip(*rows))
             yield _rows([(f, b, b"".join([np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()]))])
 
-    marked = _met(chunks, masks).repartition(n_chunks, "flush").sortWithinPartitions("flush", "kind")
-    answers = marked.mapInArrow(tidy(send_stretches), MESSAGE_DDL).repartition(buckets, "bucket").mapInArrow(tidy(order_groups), MESSAGE_DDL)
+    marked = _met(chunks, masks).repartition(parts, "flush").sortWithinPartitions("flush", "kind")
+    answers = marked.mapInArrow(tidy(send_stretches), MESSAGE_DDL).repartition(min(stretch_buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(order_groups), MESSAGE_DDL)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))] + [("kept", pa.binary())] * keep_text
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c, (mask, answer) in _gathered(batches, 2):
-            c.mark(buckets, mask)
+            c.mark(hash_buckets, mask)
             edge = np.zeros(len(c.text) + 1, np.int64)
             if answer:
                 runs_, distinct, which, sample = c.stretches()
                 by = np.argsort(which, kind="stable")
                 first = np.searchsorted(which[by], np.arange(len(distinct) + 1))
-                for bucket, pick in c.dealt(c.hash[sample], buckets):
+                for bucket, pick in c.dealt(c.hash[sample], stretch_buckets):
                     d = answer.get(bucket)
                     if d is None:
                         continue
@@ -460,7 +486,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(rows, fields)], schema=pa.schema(fields))
 
-    covered = _met(chunks, masks, answers).repartition(n_chunks, "flush").sortWithinPartitions("flush", "kind")
+    covered = _met(chunks, masks, answers).repartition(parts, "flush").sortWithinPartitions("flush", "kind")
     return covered.mapInArrow(tidy(cover), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + ", kept binary" * keep_text)
 
 

@@ -260,7 +260,8 @@ def exact_top_k(vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "
                     yield _results(best, ids)
 
     blocks = home.select(*(c for c, _ in PACKED))
-    n_groups = max(1, math.ceil(n / 50 / (BLOCK_QUERIES * GROUP_BLOCKS)))
+    asked = blocks.agg(F.sum(F.length("ids") / 8).alias("n")).first()["n"] or 0
+    n_groups = max(1, math.ceil(asked / (BLOCK_QUERIES * GROUP_BLOCKS)))
     visits = blocks.withColumn("group_", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int")).withColumn("to_", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))).filter(F.col("to_") != F.col("shard")).withColumn("shard", F.col("to_")).drop("to_")
     hosts = packs.filter("kind = 0").withColumn("group_", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
     met = hosts.unionByName(visits).repartition(n_shards * n_groups, "shard", "group_").sortWithinPartitions("shard", "group_", "dim", "kind")
