@@ -72,7 +72,7 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def complexity_bin(n: Column) -> Column:
     """Questions by the number of operators that they need."""
-    return F.when(n <= 2, "simple").when(n <= 4, "medium").otherwise("complex")
+    return F.when(n <= 2, "simple").when(n == 3, "medium").when(n == 4, "complex").otherwise("very complex")
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: float, price_out: float) -> Column:

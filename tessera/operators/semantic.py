@@ -16,7 +16,7 @@ from ..functions.measures import cosine
 from ..functions.text import ngrams, tokens
 
 #: Column names that hold the text of a row, the best first.
-TEXT_NAMES = ("review", "text", "description", "plot", "notes", "details", "content")
+TEXT_NAMES = ("reviewText", "text", "review", "content", "description", "body", "comment")
 
 
 def text_column(df: DataFrame) -> str | None:
@@ -26,7 +26,7 @@ def text_column(df: DataFrame) -> str | None:
     names = text_columns(df)
     for n in TEXT_NAMES:
         for c in names:
-            if c.lower() == n:
+            if c.lower() == n.lower():
                 return c
     if not names:
         return None

@@ -193,10 +193,10 @@ def entity_restriction(spark, sf):
 # -- joins ----------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON nullif(o_custkey % 50, 0) IS NOT DISTINCT FROM nullif(c_custkey, 0) WHERE c_custkey < 50")
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON nullif(o_custkey, 7) IS NOT DISTINCT FROM nullif(c_custkey, 7)")
 def join_nullsafe(spark, sf):
-    o = t(spark, sf, "orders").select("o_orderkey", F.nullif(F.col("o_custkey") % 50, F.lit(0)).alias("k"))
-    c = t(spark, sf, "customer").filter("c_custkey < 50").select("c_name", F.nullif("c_custkey", F.lit(0)).alias("k"))
+    o = t(spark, sf, "orders").select("o_orderkey", F.nullif("o_custkey", F.lit(7)).alias("k"))
+    c = t(spark, sf, "customer").select("c_name", F.nullif("c_custkey", F.lit(7)).alias("k"))
     return O.join(o, c).select("o_orderkey", "c_name")
 
 
@@ -254,6 +254,11 @@ def _turns(spark, sf):
     return t(spark, sf, "conversations").withColumn("l", F.when(r == 0, "positive").when(r == 1, "negative").otherwise("neutral"))
 
 
+@query(f"SELECT conv_id, turn FROM {SENTIMENT_SQL} WHERE s < 0")
+def sentiment_retrieval(spark, sf):
+    return t(spark, sf, "conversations").filter(O.sentiment(F.col("text")) == "negative").select("conv_id", "turn")
+
+
 TURN_PAIRS = "WITH p AS (SELECT conv_id AS g, turn, CASE WHEN length(text) % 3 = 0 THEN 'positive' WHEN length(text) % 3 = 1 THEN 'negative' ELSE 'neutral' END AS l FROM conversations) SELECT a.g AS \"group\", a.turn AS a, b.turn AS b FROM p a JOIN p b ON a.g = b.g AND a.turn < b.turn AND a.l {} b.l AND a.l <> 'neutral' AND b.l <> 'neutral'"
 
 
@@ -354,7 +359,7 @@ def rollup_summary(spark, sf):
     return t(spark, sf, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"))
 
 
-@query("SELECT CASE WHEN p_size <= 2 THEN 'simple' WHEN p_size <= 4 THEN 'medium' ELSE 'complex' END AS bin, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT CASE WHEN p_size <= 2 THEN 'simple' WHEN p_size = 3 THEN 'medium' WHEN p_size = 4 THEN 'complex' ELSE 'very complex' END AS bin, count(*) AS n FROM part GROUP BY 1")
 def complexity_bins(spark, sf):
     return t(spark, sf, "part").groupBy(M.complexity_bin(F.col("p_size")).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -415,9 +420,9 @@ def vector_search(spark, sf):
     return O.vector_search(t(spark, sf, "embeddings"), "embedding", _query_vector(spark, sf), 12, "vec_id").select("vec_id")
 
 
-@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) AS INTEGER) AS \"rank\" FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 40 = 0) SELECT query_id, \"rank\", id FROM r WHERE \"rank\" <= 4")
+@query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) AS INTEGER) AS \"rank\" FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, \"rank\", id FROM r WHERE \"rank\" <= 4")
 def knn_join(spark, sf):
-    return O.nearest(t(spark, sf, "embeddings"), "vec_id", "embedding", 4, F.col("vec_id") % 40 == 0)
+    return O.nearest(t(spark, sf, "embeddings"), "vec_id", "embedding", 4, F.col("vec_id") % 50 == 0)
 
 
 @query("SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['license', 'creative'])")
