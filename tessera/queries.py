@@ -254,9 +254,9 @@ def _turns(spark, sf):
     return t(spark, sf, "conversations").withColumn("l", F.when(r == 0, "positive").when(r == 1, "negative").otherwise("neutral"))
 
 
-@query(f"SELECT conv_id, turn FROM {SENTIMENT_SQL} WHERE s < 0")
+@query("SELECT doc_id FROM (SELECT doc_id, len(list_filter(w, lambda x: x IN ('good','great','excellent','love','best','happy','positive','wonderful','enjoy'))) - len(list_filter(w, lambda x: x IN ('bad','terrible','awful','hate','worst','sad','negative','poor','stupid','loser','pathetic','scum'))) AS s FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents)) WHERE s < 0")
 def sentiment_retrieval(spark, sf):
-    return t(spark, sf, "conversations").filter(O.sentiment(F.col("text")) == "negative").select("conv_id", "turn")
+    return t(spark, sf, "documents").filter(O.sentiment(F.col("text")) == "negative").select("doc_id")
 
 
 TURN_PAIRS = "WITH p AS (SELECT conv_id AS g, turn, CASE WHEN length(text) % 3 = 0 THEN 'positive' WHEN length(text) % 3 = 1 THEN 'negative' ELSE 'neutral' END AS l FROM conversations) SELECT a.g AS \"group\", a.turn AS a, b.turn AS b FROM p a JOIN p b ON a.g = b.g AND a.turn < b.turn AND a.l {} b.l AND a.l <> 'neutral' AND b.l <> 'neutral'"
