@@ -169,6 +169,28 @@ def test_near_duplicates_of_odd_tables(spark, odd, none):
     assert classes(none) == {} and near_dedup.drop_near_duplicates(none).collect() == []
 
 
+def test_components_of_random_graphs(spark):
+    from tessera.llm.graph import components
+
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000, 1001 + i) for i in range(300)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (7, 5), (5, 7)]
+    rng.shuffle(edges)
+    top = {}
+
+    def root(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()]
+    assert len(got) == len(linked) and dict(got) == {x: root(x) for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
 # -- decontamination ------------------------------------------------------------------------------
 
 
