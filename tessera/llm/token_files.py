@@ -144,7 +144,6 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, *, id_co
                     yield close()
         if held:
             yield close()
-        enc.forget()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the hash splits a doc_id that many rows share

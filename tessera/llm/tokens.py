@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 from ._common import as_strings
 
-#: A worker forgets its words beyond this many.
+#: Beyond this many a worker forgets the words that it has seen least.
 MOST_WORDS = 350_000
 #: ASCII signs that aren't letters, digits or white space.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -52,13 +52,27 @@ class Encoder:
             self.ends_word = np.zeros(self.vocab_size, bool)
             for token, i in self.lib.get_vocab(with_added_tokens=True).items():
                 self.ends_word[i] = token.endswith(suffix)
-        self.forget()
+        self._clear()
 
-    def forget(self) -> None:
-        """Drop all remembered words; done after each task, as workers live on."""
+    def _clear(self) -> None:
         self.code: dict[str, int] = {}  # of a chunk; its ids are flat[at[code] : at[code] + size[code]]
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
+        self.seen = np.zeros(1 << 18, np.int32)  # in how many steps
+
+    def _prune(self) -> None:
+        """Forget the chunks seen in the fewest steps, half of them or more."""
+        seen = self.seen[: self.count]
+        least = 2
+        while (seen >= least).sum() > MOST_WORDS // 2:
+            least += 1
+        kept = {w: c for w, c in self.code.items() if seen[c] >= least}
+        codes = np.fromiter(kept.values(), np.int64, len(kept))
+        ids, sizes = self._gather(codes)
+        counts = seen[codes] // 2
+        self._clear()
+        self._keep(list(kept), ids, sizes)
+        self.seen[: self.count] = counts
 
     def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember chunks whose ids are given in a row."""
@@ -68,6 +82,7 @@ class Encoder:
         if n > len(self.at):
             more = np.zeros(2 * n - self.count, np.int64)
             self.at, self.size = (np.concatenate([x[: self.count], more]) for x in (self.at, self.size))
+            self.seen = np.concatenate([self.seen[: self.count], more.astype(np.int32)])
         self.flat[self.used : m] = ids
         self.size[self.count : n] = sizes
         self.at[self.count : n] = self.used + np.cumsum(sizes) - sizes
@@ -132,11 +147,12 @@ class Encoder:
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         words = lists.flatten().dictionary_encode()
         if len(self.code) > MOST_WORDS:
-            self.forget()
+            self._prune()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         code = self.code
         self._learn([w for w in distinct if w not in code])
         codes = np.fromiter(map(code.__getitem__, distinct), np.int64, len(distinct))
+        self.seen[codes] += 1
         ids, n = self._gather(codes[words.indices.to_numpy(zero_copy_only=False)])
         ends = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
