@@ -241,6 +241,18 @@ MESSAGE = [("flush", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]
 MESSAGE_DDL = "flush long, bucket int, data binary"
 
 
+def _zip(*parts: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unzip(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), MESSAGE)], schema=pa.schema(MESSAGE))
 
@@ -381,7 +393,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             size = np.fromiter(map(len, distinct), np.int64, len(distinct))
             for bucket, pick in c.dealt(c.hash[sample], stretch_buckets):
                 head = np.array([len(pick)], "<u4").tobytes()
-                yield _rows([(flush, bucket, b"".join([head, size[pick].astype("<u2").tobytes(), at[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(distinct[i] for i in pick.tolist())]))])
+                yield _rows([(flush, bucket, _zip(head, size[pick].astype("<u2").tobytes(), at[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(distinct[i] for i in pick.tolist())))])
 
     def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, messages in _by_bucket(batches):
@@ -390,6 +402,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def order_bucket(b: int, messages: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         groups: dict[bytes, dict[bytes, list]] = {}
         for f, d in messages:
+            d = _unzip(d)
             n = int.from_bytes(d[:4], "little")
             size = np.frombuffer(d, "<u2", n, 4).tolist()
             at = d[4 + 2 * n : 4 + 3 * n]
@@ -442,7 +455,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 block, symbols = [], 0
         for f, rows in answers.items():
             i, a, z, low = map(np.array, zip(*rows))
-            yield _rows([(f, b, b"".join([np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()]))])
+            yield _rows([(f, b, _zip(np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()))])
 
     marked = _met(chunks, masks).repartition(parts, "flush").sortWithinPartitions("flush", "kind")
     answers = marked.mapInArrow(tidy(send_stretches), MESSAGE_DDL).repartition(min(stretch_buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(order_groups), MESSAGE_DDL)
@@ -461,6 +474,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     d = answer.get(bucket)
                     if d is None:
                         continue
+                    d = _unzip(d)
                     n = int.from_bytes(d[:4], "little")
                     i, a, z, low = (np.frombuffer(d, t, n, 4 + o * n).astype(np.int64) for t, o in (("<u4", 0), ("<u1", 4), ("<u1", 5), ("<i8", 6)))
                     s = pick[i]
