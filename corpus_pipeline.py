@@ -45,7 +45,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    # small steps: workers still hold what the stages before needed
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=False, step_bytes=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

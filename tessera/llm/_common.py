@@ -129,7 +129,9 @@ def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the work makes many small objects but no cycles
         try:
-            yield from work(batches)
+            for out in work(batches):
+                yield out
+                pa.default_memory_pool().release_unused()
         finally:
             gc.enable()
         gc.collect()

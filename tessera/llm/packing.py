@@ -27,7 +27,7 @@ from .tokens import encoder, with_end
 PIECES = "part int, rank_ long, doc_id long, start long, length int, doc_tokens long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end_id: int = 2, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end_id: int = 2, keep_ids: bool = True, step_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents, written to the shared folder: PIECES, and with ``keep_ids`` the ids (array of int).
 
     ``rank_`` counts the pieces of one length in one part, from 0.
@@ -40,7 +40,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
         seen = np.zeros(seq_len + 1, np.int64)
         for batch in batches:
-            for step in steps(batch, "text", 4 << 20):
+            for step in steps(batch, "text", step_bytes):
                 ids, ends = with_end(*enc.encode(step.column("text")), end_id)
                 total = np.diff(ends)
                 n = -(-total // seq_len)
@@ -154,9 +154,9 @@ def pack_pieces(pieces: DataFrame, *, seq_len: int = 4096) -> DataFrame:
     return joined.mapInArrow(tidy(place), ", ".join([*kept, "sequence_id long", "offset long", "padded_length long"]))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end_id: int = 2, keep_ids: bool = True, step_bytes: int = 4 << 20) -> DataFrame:
     """One row for each piece: doc_id, start, length, doc_tokens, ids_crc32, sequence_id, offset, padded_length, and with ``keep_ids`` its ids."""
-    return pack_pieces(cut_pieces(docs, tokenizer_path, seq_len=seq_len, end_id=end_id, keep_ids=keep_ids), seq_len=seq_len)
+    return pack_pieces(cut_pieces(docs, tokenizer_path, seq_len=seq_len, end_id=end_id, keep_ids=keep_ids, step_bytes=step_bytes), seq_len=seq_len)
 
 
 def sequences(packed: DataFrame, pad_id: int = 0) -> DataFrame:
