@@ -2,8 +2,8 @@
 
 Lines with a word of license language, and the few lines between two such lines, are
 candidate blocks. A block is compressed alone and with each template as raw zstandard
-dictionary; templates are ranked by the bytes they save. The best ranked are then held against the
-block word by word: the stretch of the block with the fewest edits to the whole template is found, and
+dictionary; templates are ranked by the bytes they save, also where a long block leaves none. The best
+ranked are then held against the block word by word, the others after them until one is confirmed: the stretch of the block with the fewest edits to the whole template is found, and
 the winner has the smallest share of edits, at most ``MOST_EDITS`` and none at a word with a digit. A
 confirmed stretch is cut out and the rest of the block is searched again, so that a block can hold several licenses.
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,12 +123,15 @@ def best_license(words: list[str]) -> tuple[str, int, int, int, int, list[str]]
     data = (" ".join(words) + " ").encode()
     plain = len(_alone().compress(data))
     ranked = sorted(((plain - len(c.compress(data)), -k) for k, (_, _, c) in enumerate(_library())), reverse=True)
-    ranked = ranked[: next((i for i, (saved, _) in enumerate(ranked) if saved <= 0), len(ranked))]
+    held = Counter(words)
     best = None
     for rank, (saved, k) in enumerate(ranked):
         if best and rank % CONFIRMED == 0:
             break
         name, template, _ = _library()[-k]
+        # each word of the template that the block lacks is an edit at least
+        if (Counter(template) - held).total() > MOST_EDITS * len(template):
+            continue
         edits, a, b, diff = fewest_edits(template, words)
         if edits > MOST_EDITS * len(template) or any(any(c.isdigit() for c in d) for d in diff):
             continue

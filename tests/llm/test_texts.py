@@ -432,6 +432,15 @@ def test_licenses_in_text():
     assert licenses.find_licenses("a license to drive is not a license here\n" + noise()) == []
 
 
+def test_a_short_notice_in_a_long_line_is_found():
+    for notice, name in (("All rights reserved.", "all-rights-reserved"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the MIT License.", "MIT")):
+        for seed in range(8):
+            rng = random.Random(seed)
+            before, after = ("".join(rng.choice(string.ascii_lowercase) for _ in range(7)) + " " for _ in range(2))
+            line = before + sentence(rng, 600) + " " + notice + " " + after + sentence(rng, 20)
+            assert [(f[0], line[f[1] : f[2]]) for f in licenses.find_licenses(line)] == [(name, notice.rstrip("."))], (notice, seed)
+
+
 def test_licenses_of_odd_tables(spark, odd, none):
     assert licenses.license_scan(odd).collect() == [] and licenses.license_scan(none).collect() == []
     rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "All rights reserved.")]
