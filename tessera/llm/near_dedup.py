@@ -8,9 +8,9 @@ and documents that agree in one of ``BANDS`` bands share a bucket.
 - Equal texts are one node from the start; only one of them is compared.
 - In every bucket all members are compared with its leader, the member that meets most
   others over all bands. A member that isn't similar to its leader is then compared with
-  every other member of its buckets of up to ``PAIR_BUCKET`` members. Larger buckets are left at
-  their leader: two members alike in what sets them apart from the leader meet, without it, in
-  smaller buckets of other bands. The tests measure recall against brute force.
+  every other member of its buckets of up to ``PAIR_BUCKET`` members. In larger buckets the
+  classes so far are taken as given: all pairs of members of different classes are compared, so that
+  the size decides on the order of the work only. The tests measure recall against brute force.
 - Similarity: aligned equal shingles m of the two sequences, m / (|a| + |b| - m). The longest
   common subsequence is found bit-parallel within the band of diagonals that the threshold allows.
 - Classes are the components of links with a similarity of at least ``MIN_SIMILARITY``.
@@ -88,7 +88,9 @@ def aligned(a: np.ndarray, b: np.ndarray, min_similarity: float = MIN_SIMILARITY
     left, right = len(a) - need, len(b) - need  # what either may leave out
     if right < 0:
         return 0
-    _, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    kinds, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if len(a) + len(b) - len(kinds) < need - 1e-6:  # more than they can have in common
+        return 0
     ca, cb = codes[: len(a)].tolist(), codes[len(a) :].tolist()
     masks: dict[int, int] = {}
     for j, c in enumerate(cb):
@@ -197,8 +199,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     mates = members.filter(F.col("size") <= PAIR_BUCKET).select("bucket", F.col("doc_id").alias("mate"))
     more = failed.select("bucket", "doc_id").join(mates, "bucket").filter("doc_id <> mate").select(F.least("doc_id", "mate").alias("a"), F.greatest("doc_id", "mate").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = _verified(more.join(done, ["a", "b"], "left_anti"), sequences, min_similarity)
-    links = tried.filter("similar").select("a", "b").unionByName(again.filter("similar").select("a", "b"))
+    again = written(_verified(more.join(done, ["a", "b"], "left_anti"), sequences, min_similarity), "again")
+    links = written(tried.filter("similar").select("a", "b").unionByName(again.filter("similar").select("a", "b")), "links")
+    # larger buckets: what one class holds needs no further link, all else is compared
+    large = members.filter(F.col("size") > PAIR_BUCKET).select("bucket", "doc_id")
+    sorted_ = large.join(components(links, "a", "b").withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
+    mixed = sorted_.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("bucket")
+    open_ = written(sorted_.join(mixed, "bucket"), "open")
+    apart = open_.join(open_.select("bucket", F.col("doc_id").alias("mate"), F.col("class").alias("mate_class")), "bucket").filter("class < mate_class")
+    apart = apart.select(F.least("doc_id", "mate").alias("a"), F.greatest("doc_id", "mate").alias("b")).distinct()
+    last = _verified(apart.join(done.unionByName(again.select("a", "b")), ["a", "b"], "left_anti"), sequences, min_similarity)
+    links = links.unionByName(last.filter("similar").select("a", "b"))
     # rows that share a doc_id are one document, also with different texts
     same = worded.select("h1", "h2", F.col("doc_id").alias("b")).join(nodes.filter("copies > 1").select("h1", "h2", F.col("doc_id").alias("a")), ["h1", "h2"]).filter("a <> b").select("a", "b")
     classes = components(links.unionByName(same), "a", "b")

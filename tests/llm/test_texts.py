@@ -159,6 +159,27 @@ def test_large_group_of_near_copies_is_one_class(spark):
     assert {v for k, v in got.items() if k < 2000} == {0} and got[2000] == 2000
 
 
+def test_no_link_is_lost_in_large_buckets(spark):
+    rng = random.Random(0)
+    base = sentence(rng, 100).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for k in rng.sample(range(5, 95), rng.choice((1, 2, 3))):
+            w[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    words, ends = near_dedup.word_hashes(pa.array([t for _, t in rows]))
+    seq = [near_dedup.labelled(near_dedup.shingles(words[a:b], 5)) for a, b in zip(ends, ends[1:])]
+    top = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if top[x] != top[y] and near_dedup.similarity(seq[x], seq[y]) >= 0.8:
+                a, b = sorted((top[x], top[y]))
+                top = [a if t == b else t for t in top]
+    assert got == dict(enumerate(top))
+
+
 def test_near_duplicates_of_odd_tables(spark, odd, none):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
