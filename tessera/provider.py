@@ -72,7 +72,7 @@ class OfflineProvider:
 
 
 class CallableProvider(OfflineProvider):
-    """A function from prompt to text as provider; each text is asked for alone, a failure is None."""
+    """A function from prompt to text as provider; each text is asked for alone and whole, a failure is None."""
 
     def __init__(self, ask: Callable[[str], str], tries: int = 3):
         self.ask, self.tries = ask, tries
@@ -96,13 +96,13 @@ class CallableProvider(OfflineProvider):
         return out
 
     def holds(self, texts, condition):
-        return self._each(texts, lambda t: f"Does this satisfy: {condition}? Answer YES or NO.\n{t[:1500]}", lambda a: a.strip().upper().startswith("Y"))
+        return self._each(texts, lambda t: f"Does this satisfy: {condition}? Answer YES or NO.\n{t}", lambda a: a.strip().upper().startswith("Y"))
 
     def label(self, texts, labels):
-        return self._each(texts, lambda t: f"Choose one of {', '.join(labels)} for this text; answer with it alone.\n{t[:300]}", lambda a: next((x for x in labels if x.lower() in a.lower()), None))
+        return self._each(texts, lambda t: f"Choose one of {', '.join(labels)} for this text; answer with it alone.\n{t}", lambda a: next((x for x in labels if x.lower() in a.lower()), None))
 
     def score(self, texts, question):
-        return self._each(texts, lambda t: f"How relevant is this to: {question}? Answer with a number from 0 to 1.\n{t[:1500]}", lambda a: float(re.search(r"\d*\.?\d+", a)[0]))
+        return self._each(texts, lambda t: f"How relevant is this to: {question}? Answer with a number from 0 to 1.\n{t}", lambda a: float(re.search(r"\d*\.?\d+", a)[0]))
 
 
 def holds(provider: Provider, text: Column, condition: str) -> Column:

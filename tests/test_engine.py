@@ -125,6 +125,12 @@ def test_providers():
     assert OfflineProvider().holds(["anything"], "of the") == [False]
 
 
+def test_providers_are_asked_about_whole_texts():
+    late = "word " * 20_000 + "needle"
+    p = CallableProvider(lambda prompt: ("YES" if "Answer YES" in prompt else "red" if "Choose" in prompt else "1") if "needle" in prompt else "NO blue 0")
+    assert p.holds([late], "q") == [True] and p.label([late], ["blue", "red"]) == ["red"] and p.score([late], "q") == [1.0]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("One two. Three four five. Six.", "a 1,234.5 and -7"), (None, None), ("", "")], "t string, n string")
     got = df.select(X.word_windows(F.col("t"), 4).alias("w"), X.word_count(F.col("t")).alias("c"), X.numbers(F.col("n")).alias("n"), X.ngrams(X.tokens(F.col("t")), 2).alias("g")).collect()
