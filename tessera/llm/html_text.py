@@ -2,7 +2,7 @@
 
 The renderer keeps block spacing (a blank line around paragraphs, headings, lists, tables),
 list markers with nesting, preformatted text, and table cells padded to columns.
-Not visible: head, script, style, template, noscript and media fallbacks, comments, ``hidden``, hidden inputs,
+Not visible: head, script, what SVG and MathML only describe or define, style, template, noscript and media fallbacks, comments, ``hidden``, hidden inputs,
 inline or simple style-sheet rules with ``display: none`` or ``visibility: hidden``, and what a closed ``details`` holds
 beside its summary.
 
@@ -39,7 +39,9 @@ def _set(names: str) -> frozenset[str]:
 
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
 RAW = _set("script style textarea title xmp iframe noembed noframes")
-UNSEEN = _set("head script style template noscript iframe noembed noframes object video audio canvas svg math title datalist")
+UNSEEN = _set("head script style template noscript iframe noembed noframes object video audio canvas title datalist")
+#: Not shown inside svg and math.
+UNDRAWN = {"svg": _set("desc defs metadata symbol clippath mask marker pattern"), "math": _set("annotation annotation-xml")}
 HEAD = _set("title meta link style script base template noscript")
 BLOCK = _set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table caption tbody thead tfoot tr td th ul textarea select")
 SPACED = _set("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl blockquote pre table figure fieldset hr form details")
@@ -108,6 +110,8 @@ class Builder:
     def _seen(self, tag: str, attrs: dict[str, str] | None) -> bool:
         if tag in UNSEEN:
             return False
+        if any(tag in tags and self._depth((outer,), frozenset()) for outer, tags in UNDRAWN.items()):
+            return False
         if self.hidden_names and (tag in self.hidden_names or attrs and ("#" + attrs.get("id", "") in self.hidden_names or any("." + c in self.hidden_names for c in attrs.get("class", "").split()))):
             return False
         return not attrs or not ("hidden" in attrs or "style" in attrs and _NONE.search(attrs["style"]) or tag == "input" and attrs.get("type", "").lower() == "hidden")
@@ -143,6 +147,8 @@ class Builder:
             s = _html.unescape(s)
         if not s.isspace():
             self._into_body()
+            if self.stack[-1].tag == "colgroup":
+                self.stack.pop()
         self._add(s)
 
     def _into_body(self) -> None:
@@ -168,6 +174,8 @@ class Builder:
             self._into_body()
         if tag in CLOSES_P:
             self._pop_to(self._depth(("p",), SCOPE))
+        if tag != "col" and tag not in ("script", "style", "template") and stack[-1].tag == "colgroup":
+            stack.pop()
         if tag == "li":
             self._pop_to(self._depth(("li",), SCOPE | LISTS))
         elif tag in ("dd", "dt"):

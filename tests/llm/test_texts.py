@@ -422,6 +422,14 @@ def test_pages_of_odd_tables(spark):
     assert html_text.visible_text(df.limit(0)).collect() == []
 
 
+def test_tables_after_an_open_colgroup_and_drawn_text_are_visible():
+    table = "<table><colgroup><col><col>{}<tr><td>A<td>B<tr><td>C<td>D</table>"
+    assert html_text.render(table.format("")) == html_text.render(table.format("</colgroup>")) == "A  B\nC  D"
+    assert html_text.render("<table><colgroup><col><tbody><tr><td>A</table>") == html_text.render("<table><colgroup><col><td>A</table>") == "A"
+    assert html_text.render("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math></p>") == "x y=2"
+    assert html_text.render("<p><svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>label</text></svg></p>") == "label"
+
+
 # -- licenses ---------------------------------------------------------------------------------
 
 
