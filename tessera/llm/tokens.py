@@ -52,6 +52,8 @@ class Encoder:
             self.ends_word = np.zeros(self.vocab_size, bool)
             for token, i in self.lib.get_vocab(with_added_tokens=True).items():
                 self.ends_word[i] = token.endswith(suffix)
+        self.known: set[str] = set()  # letters that _splits was asked about
+        self.unsafe: set[str] = set()
         self._clear()
 
     def _clear(self) -> None:
@@ -101,32 +103,46 @@ class Encoder:
         each = [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
         return np.array([i for x in each for i in x], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
 
+    def _splits(self, c: str) -> bool:
+        """Whether the library itself keeps this letter in one piece with a letter next to it, cuts it from a sign behind it, and ends that piece in one token."""
+        n = self.lib.normalizer.normalize_str(c) if self.lib.normalizer else c
+        pieces = [x for _, x in self.lib.pre_tokenizer.pre_tokenize_str(n + n + ".")]
+        if pieces != [(0, 2 * len(n)), (2 * len(n), 2 * len(n) + 1)]:
+            return False
+        ends = self.ends_word[self.lib.encode(c + c, add_special_tokens=False).ids]
+        return bool(len(ends)) and int(ends.sum()) == 1 and bool(ends[-1])
+
+    def _unsafe(self, letters: set[str]) -> set[str]:
+        """Those of ``letters`` that can be normalised to something other than letters, or aren't letters to the library."""
+        for c in letters - self.known:
+            if not self._splits(c):
+                self.unsafe.add(c)
+        self.known |= letters
+        return letters & self.unsafe
+
     def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters only, encoded as one text and cut after each word's last token."""
+        """Words of safe letters only, each one piece, encoded as one text and cut after each word's last token."""
         ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
-        # a letter can be normalised to several characters, not all of them letters
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self._encode(words)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: letters apart from the ASCII signs after them, where the split into words cuts anyway."""
+        """Encode new chunks: letters apart from the ASCII signs after them, where the library cuts anyway; all else whole."""
         code = self.code
-        plain = [c for c in chunks if c.isalpha()]
-        words, odd, both = dict.fromkeys(plain), {}, []
-        if len(plain) < len(chunks):
-            for c in chunks:
-                if c.isalpha():
-                    continue
-                stem = c.rstrip(SIGNS)
+        stems = [c if c.isalpha() else c.rstrip(SIGNS) for c in chunks]
+        bad = self._unsafe(set("".join(s for s in stems if s.isalpha())))
+        words, odd, both = {}, {}, []
+        for c, stem in zip(chunks, stems):
+            if not stem.isalpha() or bad and not bad.isdisjoint(stem):
+                odd[c] = None
+                continue
+            if stem not in code:
+                words[stem] = None
+            if len(stem) < len(c):
                 rest = c[len(stem) :]
-                if rest and stem.isalpha():
-                    both.append((c, stem, rest))
-                    if rest not in code:
-                        odd[rest] = None
-                    if stem not in code:
-                        words[stem] = None
-                else:
-                    odd[c] = None
+                both.append((c, stem, rest))
+                if rest not in code:
+                    odd[rest] = None
         new = list(odd)
         self._keep(new, *self._encode(new))
         new = list(words)
