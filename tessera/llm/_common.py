@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset, an own one where all run on one machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_tessera_dir", None)
         if base is None:
             base = spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -35,17 +37,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder; ``clear_work`` removes that part."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all that this application's operators wrote to the shared folder, results that are not yet read too."""
+    remove(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}")
+
+
+def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that outlives lost executors."""
     spark = df.sparkSession
-    path = work_path(spark, what)
+    path = path or work_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are removed when the block ends; what it returns must be written outside."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path, self.n = spark, work_path(spark, what), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.spark, self.path)
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        self.n += 1
+        return written(df, what, f"{self.path}/{self.n}-{what}")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches that go to Python small, also where texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -118,11 +148,6 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def packed_row(df: DataFrame, name: str = "row_") -> DataFrame:
-    """All columns of ``df`` as one struct, so that names of ours cannot clash with names in it."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name))
-
-
 def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same function for mapInArrow, after which the worker gives its free memory back; workers live on for the next task."""
 

@@ -6,22 +6,24 @@ order, so that it is sensitive to order as edit similarity is; ``ROWS`` sketches
 and documents that agree in one of ``BANDS`` bands share a bucket.
 
 - Equal texts are one node from the start; only one of them is compared.
-- In every bucket all members are compared with its leader, the member that meets most
-  others over all bands. A member that isn't similar to its leader is then compared with
-  every other member of its buckets of up to ``PAIR_BUCKET`` members. In larger buckets the
-  classes so far are taken as given: all pairs of members of different classes are compared, so that
-  the size decides on the order of the work only. The tests measure recall against brute force.
-- Similarity: aligned equal shingles m of the two sequences, m / (|a| + |b| - m). The longest
-  common subsequence is found bit-parallel within the band of diagonals that the threshold allows.
+- In every bucket, whatever its size, all members are compared with its leader, the member that meets most
+  others over all bands. What the links so far hold together needs no other; of all members of one bucket that
+  are still in different classes every pair is compared, but for those whose distances to the leader
+  differ by more than the threshold allows: one minus the share of common shingles is a metric, so
+  that such a pair can't be similar. No link between two members of a bucket is lost, and no cap decides.
+- Similarity: aligned equal shingles m of the two sequences, m / (|a| + |b| - m), shingles by 64-bit hashes. The longest
+  common subsequence is found within the band of diagonals that the threshold allows; labelled shingles occur
+  once, so that it is a longest increasing run of places, in memory linear in the texts.
 - Classes are the components of links with a similarity of at least ``MIN_SIMILARITY``.
 
-Defined results: one row per input row; rows that share a doc_id are one document. A null doc_id has
+Defined results: one row per input row; rows that share a doc_id are one document, so that each of their texts links it. A null doc_id has
 a null class. Null texts and texts without a word are classes of their own. Fewer
 than five words make one shingle. The class is the smallest doc_id in it. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import bounded_batches, mix, shingles, steps, table, tidy, word_hashes, written
+from ._common import Scratch, bounded_batches, mix, shingles, steps, table, tidy, word_hashes, written
 from .graph import components
 
 WORDS = 5
 MIN_SIMILARITY = 0.8
 PICKS, ROWS, BANDS = 3, 2, 32
-PAIR_BUCKET = 64
 FILTER_BITS = 1 << 23
 
 _FACTORS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -80,39 +81,45 @@ def order_minhash(h: np.ndarray) -> np.ndarray:
     return band
 
 
-def aligned(a: np.ndarray, b: np.ndarray, min_similarity: float = MIN_SIMILARITY) -> int:
-    """Equal shingles in the best alignment of two sequences inside the band that the threshold leaves, or fewer if that isn't reached."""
+def common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where in the order of ``b`` each shingle of ``a`` begins and how many equal ones there are, and that order."""
+    order = np.argsort(b, kind="stable")
+    run = b[order]
+    lo = np.searchsorted(run, a)
+    return lo, np.searchsorted(run, a, side="right") - lo, order
+
+
+def aligned(a: np.ndarray, b: np.ndarray, min_similarity: float = MIN_SIMILARITY) -> tuple[int, int]:
+    """(equal shingles in the best alignment of two sequences inside the band that the threshold leaves, or 0 if that can't be reached; shingles of the longer that the other has too)."""
     if len(a) < len(b):
         a, b = b, a
     need = min_similarity / (1 + min_similarity) * (len(a) + len(b))
     left, right = len(a) - need, len(b) - need  # what either may leave out
-    if right < 0:
-        return 0
-    kinds, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if len(a) + len(b) - len(kinds) < need - 1e-6:  # more than they can have in common
-        return 0
-    ca, cb = codes[: len(a)].tolist(), codes[len(a) :].tolist()
-    masks: dict[int, int] = {}
-    for j, c in enumerate(cb):
-        masks[c] = masks.get(c, 0) | 1 << j
-    up, down = int(left) + 1, int(right) + 1
-    width = (1 << (up + down + 1)) - 1
-    full = (1 << len(b)) - 1
-    v = full
-    for i, c in enumerate(ca):
-        m = masks.get(c)
-        if m:
-            low = i - up
-            m &= width << low if low >= 0 else width >> -low
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(b) - v.bit_count()
+    lo, n, order = common(a, b)
+    shared = int((n > 0).sum())
+    if right < 0 or shared < need - 1e-6:
+        return 0, shared
+    i = np.repeat(np.arange(len(a)), n)
+    # places in b, those of one shingle from the last to the first, so that only one of them is taken
+    j = order[np.repeat(lo + n - 1, n) - (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))]
+    inside = (i - j <= int(left) + 1) & (j - i <= int(right) + 1)
+    j = j[inside]
+    if (j[1:] > j[:-1]).all():
+        return len(j), shared
+    tails: list[int] = []
+    for x in j.tolist():
+        k = bisect_left(tails, x)
+        if k == len(tails):
+            tails.append(x)
+        else:
+            tails[k] = x
+    return len(tails), shared
 
 
 def similarity(a: np.ndarray, b: np.ndarray, min_similarity: float = MIN_SIMILARITY) -> float:
     if not len(a) or not len(b):
         return 0.0
-    m = aligned(a, b, min_similarity)
+    m = aligned(a, b, min_similarity)[0]
     return m / (len(a) + len(b) - m)
 
 
@@ -131,15 +138,15 @@ def _sketches(src: DataFrame) -> DataFrame:
     return src.mapInArrow(tidy(sketch), "doc_id long, h1 long, h2 long, bands array<long>")
 
 
-def _sequences(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and its labelled shingles, 32 bits each, for the documents in ``ids``.
+def _sequences(src: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and its labelled shingles for each of ``nodes`` (node, doc_id, h1, h2).
 
     A bitmap of hashed ids, of ``FILTER_BITS`` bits at most, goes to the scan of the texts, so
-    that no text is shuffled; the ids are then joined exactly.
+    that few texts are read in vain and none is shuffled; shingles are then joined exactly by id and text.
     """
-    bits = min(FILTER_BITS, 1 << max(16, int(16 * ids.count()).bit_length()))
+    bits = min(FILTER_BITS, 1 << max(16, int(16 * nodes.count()).bit_length()))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b")).collect()  # FILTER_BITS / 64 rows at most
+    words = nodes.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b")).collect()  # FILTER_BITS / 64 rows at most
     bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[[r["w"] for r in words]] = np.array([r["b"] for r in words], np.int64).view(np.uint64)
     held = src.sparkSession.sparkContext.broadcast(bitmap)
@@ -150,28 +157,29 @@ def _sequences(src: DataFrame, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array((held.value[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)))
             for step in steps(batch, "text"):
                 words, ends = word_hashes(step.column("text"))
-                seq = [(labelled(shingles(words[a:b], WORDS)) >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(seq, pa.binary())], ["doc_id", "seq"])
+                seq = [labelled(shingles(words[a:b], WORDS)).tobytes() for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*(step.column(c) for c in ("doc_id", "h1", "h2")), pa.array(seq, pa.binary())], ["doc_id", "h1", "h2", "seq"])
 
-    found = src.select("doc_id", "text", slot.alias("slot")).mapInArrow(tidy(make), "doc_id long, seq binary")
-    return written(found.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("seq").alias("seq")), "sequences")
+    found = src.withColumn("slot", slot).mapInArrow(tidy(make), "doc_id long, h1 long, h2 long, seq binary")
+    return found.join(nodes, ["doc_id", "h1", "h2"]).groupBy("node").agg(F.min("seq").alias("seq"))
 
 
 def _verified(pairs: DataFrame, sequences: DataFrame, min_similarity: float) -> DataFrame:
-    """Pairs (a, b) with whether they are similar."""
+    """Pairs (a, b) with whether they are similar, and their distance: one minus the share of shingles in both."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = [batch.column(c).to_pylist() for c in ("seq_a", "seq_b")]
-            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), min_similarity) >= min_similarity for x, y in zip(*get)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "similar"])
+            ok, far = [], []
+            for x, y in zip(batch.column("seq_a"), batch.column("seq_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                m, shared = aligned(x, y, min_similarity)
+                ok.append(m >= min_similarity * (len(x) + len(y) - m) - 1e-9)
+                far.append(1 - shared / (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "similar", "apart"])
 
-    pairs = written(pairs, "pairs")
-    one = pairs.join(sequences.select(F.col("doc_id").alias("b"), F.col("seq").alias("seq_b")), "b")
-    both = one.join(sequences.select(F.col("doc_id").alias("a"), F.col("seq").alias("seq_a")), "a")
-    # the shorter can't be less than that share of the longer
-    both = both.filter(F.least(F.length("seq_a"), F.length("seq_b")) >= F.lit(min_similarity) * F.greatest(F.length("seq_a"), F.length("seq_b")) - 1)
-    return pairs.join(both.select("a", "b", "seq_a", "seq_b").mapInArrow(tidy(verify), "a long, b long, similar boolean").filter("similar"), ["a", "b"], "left").select("a", "b", F.coalesce("similar", F.lit(False)).alias("similar"))
+    one = pairs.join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
+    both = one.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
+    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(tidy(verify), "a long, b long, similar boolean, apart double")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -180,41 +188,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`")
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     known = src.filter("doc_id is not null")
-    sketches = written(_sketches(known.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))), "sketches")
-    worded = sketches.filter(F.size("bands") > 0)
-    # one of each text: partial minima before the shuffle, whatever the number of copies
-    nodes = written(worded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count("*").alias("copies")).select("h1", "h2", "copies", "m.*"), "nodes")
-
-    rows = nodes.select("doc_id", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(rows.join(sizes, "bucket"), "members")
-    popular = written(members.groupBy("doc_id").agg(F.sum("size").alias("meets")), "popular")
-    leaders = members.join(popular, "doc_id").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("doc_id")).alias("neg"))).alias("m")).select("bucket", (-F.col("m.neg")).alias("leader"))
-    led = written(members.join(leaders, "bucket"), "led")
-    sequences = _sequences(known, popular.select("doc_id"))
-
-    first = led.filter("leader <> doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tried = written(_verified(first, sequences, min_similarity), "tried")
-    failed = led.join(tried.filter("not similar").select(F.col("a").alias("leader"), F.col("b").alias("doc_id")), ["leader", "doc_id"], "left_semi").filter(F.col("size") <= PAIR_BUCKET)
-    mates = members.filter(F.col("size") <= PAIR_BUCKET).select("bucket", F.col("doc_id").alias("mate"))
-    more = failed.select("bucket", "doc_id").join(mates, "bucket").filter("doc_id <> mate").select(F.least("doc_id", "mate").alias("a"), F.greatest("doc_id", "mate").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = written(_verified(more.join(done, ["a", "b"], "left_anti"), sequences, min_similarity), "again")
-    links = written(tried.filter("similar").select("a", "b").unionByName(again.filter("similar").select("a", "b")), "links")
-    # larger buckets: what one class holds needs no further link, all else is compared
-    large = members.filter(F.col("size") > PAIR_BUCKET).select("bucket", "doc_id")
-    sorted_ = large.join(components(links, "a", "b").withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class", "doc_id").alias("class"))
-    mixed = sorted_.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("bucket")
-    open_ = written(sorted_.join(mixed, "bucket"), "open")
-    apart = open_.join(open_.select("bucket", F.col("doc_id").alias("mate"), F.col("class").alias("mate_class")), "bucket").filter("class < mate_class")
-    apart = apart.select(F.least("doc_id", "mate").alias("a"), F.greatest("doc_id", "mate").alias("b")).distinct()
-    last = _verified(apart.join(done.unionByName(again.select("a", "b")), ["a", "b"], "left_anti"), sequences, min_similarity)
-    links = links.unionByName(last.filter("similar").select("a", "b"))
-    # rows that share a doc_id are one document, also with different texts
-    same = worded.select("h1", "h2", F.col("doc_id").alias("b")).join(nodes.filter("copies > 1").select("h1", "h2", F.col("doc_id").alias("a")), ["h1", "h2"]).filter("a <> b").select("a", "b")
-    classes = components(links.unionByName(same), "a", "b")
-    labelled_ = known.select("doc_id").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    return labelled_.unionByName(src.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+    hashed = known.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    with Scratch(docs.sparkSession, "near") as s:
+        sketches = s.written(_sketches(hashed), "sketches")
+        worded = sketches.filter(F.size("bands") > 0)
+        # one of each text, numbered: partial minima before the shuffle, whatever the number of copies
+        texts = worded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("m"), F.count("*").alias("copies"))
+        nodes = s.written(texts.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "copies", "m.*"), "nodes")
+
+        rows = nodes.select("node", F.explode("bands").alias("bucket"))
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+        members = s.written(rows.join(sizes, "bucket"), "members")
+        popular = s.written(members.groupBy("node").agg(F.sum("size").alias("meets")), "popular")
+        leaders = members.join(popular, "node").groupBy("bucket").agg(F.max(F.struct("meets", (-F.col("node")).alias("neg"))).alias("m")).select("bucket", (-F.col("m.neg")).alias("leader"))
+        led = s.written(members.join(leaders, "bucket").select("bucket", "node", "leader"), "led")
+        sequences = s.written(_sequences(hashed, nodes.select("node", "doc_id", "h1", "h2").join(popular, "node", "left_semi")), "sequences")
+
+        first = s.written(led.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "first")
+        tried = s.written(_verified(first, sequences, min_similarity), "tried")
+        held = s.written(components(tried.filter("similar"), "a", "b"), "held")
+        # what one class holds needs no further link; all else in a bucket is compared
+        sorted_ = led.join(held, "node", "left").select("bucket", "node", "leader", F.coalesce("class", "node").alias("class"))
+        mixed = sorted_.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("bucket")
+        away = tried.select(F.col("a").alias("leader"), F.col("b").alias("node"), "apart")
+        open_ = s.written(sorted_.join(mixed, "bucket", "left_semi").join(away, ["leader", "node"], "left").select("bucket", "node", "class", F.coalesce("apart", F.lit(0.0)).alias("apart")), "open")
+        mates = open_.select("bucket", F.col("node").alias("mate"), F.col("class").alias("mate_class"), F.col("apart").alias("mate_apart"))
+        near = open_.join(mates, "bucket").filter((F.col("class") < F.col("mate_class")) & (F.abs(F.col("apart") - F.col("mate_apart")) <= 1 - min_similarity + 1e-9))
+        pairs = near.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = s.written(pairs.join(done, ["a", "b"], "left_anti"), "more")
+        found = s.written(_verified(more, sequences, min_similarity).filter("similar").select("a", "b"), "found")
+
+        # documents of each text; where copies are none, that is the node's own
+        own = nodes.filter("copies = 1").select("doc_id", "node")
+        of = s.written(own.unionByName(worded.select("doc_id", "h1", "h2").join(nodes.filter("copies > 1").select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "node").distinct()), "documents")
+        several = of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("doc_id", "a")
+        joined = found.unionByName(of.join(several, "doc_id").select("a", F.col("node").alias("b")))
+        # links between the classes held so far, then the two steps together
+        for end in ("a", "b"):
+            joined = joined.join(held.select(F.col("node").alias(end), F.col("class").alias("class_")), end, "left").withColumn(end, F.coalesce("class_", end)).drop("class_")
+        merged = s.written(components(joined, "a", "b"), "merged")
+        class_of = nodes.select("node", "doc_id").join(held, "node", "left").withColumn("class", F.coalesce("class", "node"))
+        class_of = class_of.join(merged.select(F.col("node").alias("class"), F.col("class").alias("top")), "class", "left").select("node", "doc_id", F.coalesce("top", "class").alias("class"))
+        class_of = s.written(class_of, "class_of")
+        least = class_of.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+        classes = of.join(class_of.select("node", "class"), "node").join(least, "class").filter("doc_id <> class_id").select("doc_id", "class_id").distinct()
+        labelled_ = known.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        return written(labelled_.unionByName(src.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))), "classes")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,6 +180,56 @@ def test_no_link_is_lost_in_large_buckets(spark):
     assert got == dict(enumerate(top))
 
 
+def test_documents_with_several_texts_link_them(spark):
+    rng = random.Random(12)
+    one, two = sentence(rng, 120), sentence(rng, 120)
+    changed = lambda t: " ".join([*t.split()[:60], "other", *t.split()[61:]])
+    ddl = "doc_id long, text string"
+    assert classes(spark.createDataFrame([(1, one), (1, two), (2, changed(two))], ddl)) == {1: 1, 2: 1}
+    assert classes(spark.createDataFrame([(1, one), (1, two), (2, changed(one))], ddl)) == {1: 1, 2: 1}
+    assert classes(spark.createDataFrame([(3, one), (5, one), (5, two), (4, two), (4, None), (6, "")], ddl)) == {3: 3, 4: 3, 5: 3, 6: 6}
+
+
+def test_families_of_copies_in_one_bucket(spark):
+    """Sixty families that share much of a text, so that their members meet in large buckets away from the leader."""
+    rng = random.Random(21)
+    base = sentence(rng, 140).split()
+    rows = []
+    for f in range(60):
+        family = list(base)
+        for k in rng.sample(range(0, 139, 8), rng.choice((3, 4, 5))):
+            family[k] = f"family{f}x{k}"
+        for i in range(5):
+            w = list(family)
+            for k in rng.sample(range(3, 139, 8), rng.choice((0, 1, 2))):
+                w[k] = f"edit{f}x{i}x{k}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    words, ends = near_dedup.word_hashes(pa.array([t for _, t in rows]))
+    seq = [near_dedup.labelled(near_dedup.shingles(words[a:b], 5)) for a, b in zip(ends, ends[1:])]
+    top = {i: i for i, _ in rows}
+    for x in range(len(rows)):
+        for y in range(x):
+            i, j = top[rows[x][0]], top[rows[y][0]]
+            if i != j and near_dedup.similarity(seq[x], seq[y]) >= 0.8:
+                top = {k: min(i, j) if t in (i, j) else t for k, t in top.items()}
+    assert got == top and len(set(top.values())) > 5
+
+
+def test_alignment_of_very_long_texts_takes_linear_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 300_000).astype(np.uint64)
+    b = np.concatenate([a[150_000:160_000], np.delete(a, rng.integers(0, len(a), 9000))])
+    tracemalloc.start()
+    m, shared = near_dedup.aligned(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and m >= len(a) - 9000 and shared <= len(b)
+
+
 def test_near_duplicates_of_odd_tables(spark, odd, none):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
