@@ -7,14 +7,15 @@ inline or simple style-sheet rules with ``display: none`` or ``visibility: hidde
 beside its summary.
 
 Defined results: null html gives null, empty html an empty text. Broken markup is never an error:
-unclosed tags are closed where HTML closes them, a ``<`` that begins no tag is text, nesting deeper than
-``DEEPEST`` is flattened. Rows are kept one for one; other columns are not read.
+unclosed tags are closed where HTML closes them, a ``<`` that begins no tag is text, nesting may be of any depth; a cell
+spans 1,000 columns at most, as HTML has it. Rows are kept one for one; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import bounded_batches, steps, table, tidy
 
-DEEPEST = 200
-WIDEST_SPAN = 100
+#: HTML's own limit.
+WIDEST_SPAN = 1000
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -72,6 +73,8 @@ class Builder:
     def __init__(self, source: str):
         self.root = Node("html")
         self.stack = [self.root]
+        self.deepest = 1
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.body_begun = False
         self.hidden_names: set[str] = set()  # tag, .class or #id that a style sheet hides
         at, n = 0, len(source)
@@ -118,16 +121,28 @@ class Builder:
 
     def _depth(self, tags: frozenset[str] | tuple, stop: frozenset[str]) -> int:
         """Place in the stack of the nearest open element with such a tag, not beyond one of ``stop``; 0 if none."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                return i
-            if tag in stop:
-                return 0
-        return 0
+        best = 0
+        for t in tags:
+            at = self.open.get(t)
+            if at and at[-1] > best:
+                best = at[-1]
+        if best:
+            for t in stop if len(stop) < len(self.open) else self.open:
+                if t in stop and (at := self.open.get(t)) and at[-1] > best:
+                    return 0
+        return best
+
+    def _push(self, node: Node) -> None:
+        self.open.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.deepest = max(self.deepest, len(self.stack))
 
     def _pop_to(self, i: int) -> None:
         if i:
+            for node in reversed(self.stack[i:]):
+                self.open[node.tag].pop()
+                if not self.open[node.tag]:
+                    del self.open[node.tag]
             del self.stack[i:]
 
     def _add(self, node: Node | str) -> None:
@@ -148,7 +163,7 @@ class Builder:
         if not s.isspace():
             self._into_body()
             if self.stack[-1].tag == "colgroup":
-                self.stack.pop()
+                self._pop_to(len(self.stack) - 1)
         self._add(s)
 
     def _into_body(self) -> None:
@@ -164,18 +179,18 @@ class Builder:
                 node = Node(tag, attrs, self._seen(tag, attrs))
                 if not node.seen:
                     stack[-1].kids.append(node)
-                    stack.append(node)
+                    self._push(node)
             elif tag == "head" and not self.body_begun and not self._depth(("head",), frozenset()):
                 node = Node("head", None, False)
                 stack[-1].kids.append(node)
-                stack.append(node)
+                self._push(node)
             return
         if tag not in HEAD:
             self._into_body()
         if tag in CLOSES_P:
             self._pop_to(self._depth(("p",), SCOPE))
         if tag != "col" and tag not in ("script", "style", "template") and stack[-1].tag == "colgroup":
-            stack.pop()
+            self._pop_to(len(stack) - 1)
         if tag == "li":
             self._pop_to(self._depth(("li",), SCOPE | LISTS))
         elif tag in ("dd", "dt"):
@@ -194,13 +209,13 @@ class Builder:
             i = self._depth(("table",), frozenset())
             self._pop_to(i + 1 if i else 0)
         elif tag[0] == "h" and tag in ("h1", "h2", "h3", "h4", "h5", "h6") and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            stack.pop()
+            self._pop_to(len(stack) - 1)
         elif tag == "a":
             self._pop_to(self._depth(("a",), SCOPE | BLOCK))
         node = Node(tag, attrs, self._seen(tag, attrs))
         self._add(node)
-        if tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        if tag not in VOID:
+            self._push(node)
 
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -423,8 +438,14 @@ def _render(node: Node, flow: Flow) -> None:
 
 def render(source: str) -> str:
     """The visible text of a page."""
-    flow = Flow()
-    _kids(Builder(source).root, flow)
+    flow, tree = Flow(), Builder(source)
+    # calls of Python functions take no room on the machine's stack
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 6 * tree.deepest + 1000))
+    try:
+        _kids(tree.root, flow)
+    finally:
+        sys.setrecursionlimit(limit)
     return "\n".join(flow.done())
 
 

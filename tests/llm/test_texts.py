@@ -480,6 +480,85 @@ def test_tables_after_an_open_colgroup_and_drawn_text_are_visible():
     assert html_text.render("<p><svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>label</text></svg></p>") == "label"
 
 
+@pytest.mark.parametrize("depth", (20, 205, 300, 20_000))
+def test_what_is_hidden_stays_hidden_at_any_depth(depth):
+    assert html_text.render("<div>" * depth + "<div hidden>secret</div>x" + "</div>" * depth + "y") == "x\ny"
+    assert html_text.render("<b>" * depth + "<script>var a;</script><p>p<p style='display:none'>no<p>q") == "p\n\nq"
+    assert html_text.render("<p><object></object>" + "<div>" * depth + "deep") == "deep"
+
+
+def test_wide_cells():
+    assert html_text.render("<table><tr><td colspan=500>a<td>b<tr><td>c</table>") == "a  b\nc"
+
+
+WORDS_ = st.lists(st.text("abcxyz", min_size=1, max_size=5), min_size=1, max_size=4).map(" ".join)
+BLOCKS = st.deferred(lambda: st.lists(st.one_of(
+    st.tuples(st.just("p"), WORDS_), st.tuples(st.just("div"), WORDS_), st.tuples(st.just("hidden"), WORDS_), st.tuples(st.sampled_from(["ul", "ol"]), ITEMS),
+    st.tuples(st.just("table"), st.lists(st.lists(WORDS_, min_size=1, max_size=3), min_size=1, max_size=4)), st.tuples(st.just("quote"), BLOCKS),
+), min_size=1, max_size=4))
+ITEMS = st.lists(st.tuples(WORDS_, st.one_of(st.none(), st.deferred(lambda: st.tuples(st.sampled_from(["ul", "ol"]), ITEMS)))), min_size=1, max_size=3)
+
+
+def markup(blocks, close):
+    """HTML of blocks; ``close``: whether each optional end tag is written."""
+    out = []
+    for kind, x in blocks:
+        if kind == "p":
+            out.append(f"<p>{x}" + "</p>" * next(close))
+        elif kind == "div":
+            out.append(f"<div>{x}</div>")
+        elif kind == "hidden":
+            out.append(f"<div style='display:none'>{x}<p>{x}</div>")
+        elif kind == "quote":
+            out.append(f"<blockquote>{markup(x, close)}</blockquote>")
+        elif kind == "table":
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" + "</td>" * next(close) for c in r) + "</tr>" * next(close) for r in x) + "</table>")
+        else:
+            out.append(f"<{kind}>" + "".join(f"<li>{w}" + (markup([sub], close) if sub else "") + "</li>" * next(close) for w, sub in x) + f"</{kind}>")
+    return "".join(out)
+
+
+def plain(blocks):
+    """(lines, blank line around) of each visible block, without a tree."""
+    out = []
+    for kind, x in blocks:
+        if kind in ("p", "div"):
+            out.append(([x], kind == "p"))
+        elif kind == "quote":
+            inner = laid(plain(x))
+            if inner:
+                out.append((["  " + y if y else y for y in inner], True))
+        elif kind == "table":
+            wide = [max(len(r[c]) for r in x if len(r) > c) for c in range(max(map(len, x)))]
+            out.append((["  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in x], True))
+        elif kind != "hidden":
+            lines = []
+            for n, (w, sub) in enumerate(x, 1):
+                mark = f"{n}. " if kind == "ol" else "- "
+                inner = laid([([w], False), *(plain([sub]) if sub else [])])
+                lines += [mark + inner[0], *(" " * len(mark) + y if y else y for y in inner[1:])]
+            out.append((lines, True))
+    return out
+
+
+def laid(parts):
+    lines, due = [], False
+    for block, spaced in parts:
+        if lines and (due or spaced):
+            lines.append("")
+        lines += block
+        due = spaced
+    return lines
+
+
+@settings(max_examples=300, deadline=None)
+@given(BLOCKS, st.integers(0, 1 << 32))
+def test_layout_of_whole_pages_against_a_plain_version(blocks, seed):
+    rng = random.Random(seed)
+    page = "<html><head><title>t</title></head><body>" + markup(blocks, iter(lambda: rng.random() < 0.5, None))
+    assert html_text.render(page) == "\n".join(laid(plain(blocks)))
+
+
 # -- licenses ---------------------------------------------------------------------------------
 
 
