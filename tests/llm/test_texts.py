@@ -299,6 +299,51 @@ def test_contamination_against_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_every_change_inside_a_short_item_is_found(n):
+    import itertools
+
+    item = [f"w{i}" for i in range(n)]
+    index = decontaminate.SeedIndex([7], [" ".join(item)])
+    for changes in range(n // 5 + 1):
+        for places in itertools.combinations(range(1, n - 1), changes):
+            w = list(item)
+            for k in places:
+                w[k] = "other"
+            got = index.overlaps(pa.array(["x y " + " ".join(w) + " z"]))
+            if changes <= 0.2 * n:
+                assert got == [(0, 0, n, n - changes, 2, 0)], places
+    assert index.overlaps(pa.array(["nothing of it", "", " ".join(item[1:])])) == []
+
+
+def test_long_repetitive_texts():
+    import time
+    import tracemalloc
+
+    index = decontaminate.SeedIndex([1, 2], ["la " * 20_000, "la lo li " * 3000])
+    tracemalloc.start()
+    begin = time.process_time()
+    hits = index._hits(*decontaminate.word_hashes(pa.array(["la " * 20_000, "li la lo " * 3000])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and time.process_time() - begin < 60 and len(hits) < 200_000
+    small = decontaminate.SeedIndex([1], ["la " * 40])
+    assert small.overlaps(pa.array(["la " * 60, "la lo " * 60])) == [(0, 0, 40, 40, 0, 0)]
+
+
+def test_slices_and_repeated_items(spark, monkeypatch):
+    rng = random.Random(16)
+    items = [(i, sentence(rng, 20)) for i in range(40)]
+    items += [items[3], items[3], (99, items[3][1])]
+    docs = [(i, sentence(rng, 10) + " " + items[i][1] + " " + sentence(rng, 5)) for i in range(0, 40, 3)] + [(1000, sentence(rng, 50)), (1001, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.contamination(d, b).collect()))
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(d, b).collect()}
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 20_000)
+    assert sorted(map(tuple, decontaminate.contamination(d, b).collect())) == one and len(one) == 14 + 3
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(d, b).collect()} == kept == {1000, 1001}
+
+
 def test_contamination_of_odd_tables(spark, odd, none):
     b = spark.createDataFrame([(1, "same row"), (2, None), (None, "no id here"), (3, "a")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contamination(odd, b).collect()), key=str)
