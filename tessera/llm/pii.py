@@ -4,18 +4,21 @@ Candidates are found by one regular expression and validated: Luhn for cards, mo
 IBANs, number plans for telephone (unless written with +) and social security numbers, the calendar for dates,
 octets for addresses. A valid value is replaced by its image under a keyed Feistel
 permutation of all valid values of its format, so that equal values get equal pseudonyms in every
-document, different ones different pseudonyms, and separators and check digits stay right.
+document and notation, different ones different pseudonyms, and separators, widths and check digits stay right.
 
 ==========  ===========================================================================
 card        first digit kept, the others permuted, check digit recomputed
-phone       ten digits, after +1 or with area and exchange of the number plan: all of them;
-            other numbers after +: all digits but the first two
+phone       ten digits, whatever the separators, with +1, 1 or nothing before them: area and exchange of the
+            number plan (200 to 999) go to others of it; after +1 those below 200 stay below 200;
+            other numbers after +: all digits but the first two. Ten bare digits are no phone number
 ssn         valid (area, group and serial) triples
 iban        country kept, digits and letters permuted by class, check digits recomputed
-date        days from 1900-01-01 to 2099-12-31, whatever the notation
+date        1900-01-01 to 2099-12-31 as year-month-day (also before a time), year/month/day, day.month.year,
+            month/day/year (day/month/year where the first is over 12), 3 March 1985, March 3, 1985: the same image
+            in each. Days and months of one digit go to such, those of two to such, 29 February to 29 February
 ip          all IPv4 addresses
 email       letters and digits before the @, by class
-secret      access keys and values assigned to password, token and the like, by class
+secret      access keys and values assigned to password, token and the like, of any length, by class
 ==========  ===========================================================================
 
 Only DataFrame functions are used. Defined results: null text stays null with no finding; what isn't valid is
@@ -32,23 +35,25 @@ from pyspark.sql import functions as F
 from ._common import table
 
 ROUNDS = 10
-#: Days from 1900-01-01 to 2099-12-31, 17 * 4297 of them.
-FIRST_DAY, DAY_L, DAY_R = "1900-01-01", 17, 4297
 #: The key of the registered query; pass a secret one.
 DEMO_KEY = "tessera-demo-key"
 
 _PHONE1 = r"(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|(?:1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4})"
 _CARD = r"(?:\d{4}(?:-\d{4}){3}|\d{4}(?: \d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})"
 _IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
-_SECRET = r"""(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_-]{8,128}"""
+_SECRET = r"""(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}["']?[A-Za-z0-9+/_.=-]{8,}+"""
+_MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_MONTH = "(?:" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in _MONTHS) + ")"
+_NAMED = rf"(?:\d{{1,2}} {_MONTH} \d{{4}}|{_MONTH} \d{{1,2}}, \d{{4}})"
+_NUMBERS = r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})"
 PATTERN = (
     r"(?<![A-Za-z0-9@+])(?:"
     + "|".join([
         _SECRET, r"AKIA[0-9A-Z]{16}", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+",
         r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", _PHONE1, r"\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}",
-        r"\d{4}-\d{2}-\d{2}", r"\d{1,2}\.\d{1,2}\.\d{4}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{3}-\d{2}-\d{4}", _IP, _CARD,
+        _NUMBERS, r"\d{3}-\d{2}-\d{4}", _IP, _CARD, _NAMED,
     ])
-    + r")(?![A-Za-z0-9])"
+    + r")(?:(?![A-Za-z0-9])|(?<=\d{4}-\d{2}-\d{2})(?=T\d{2}:))"
 )
 
 
@@ -149,15 +154,15 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    d = F.substr(_digits(m), F.length(_digits(m)) - 9)
-    done = feistel(_part(d, 1, 3), _part(d, 4, 7), F.lit(1000), F.lit(10_000_000), key, "phone")
-    new = F.concat(_padded(done["l"], 3), _padded(done["r"], 7))
-    return _into(m, F.concat(F.when(F.length(_digits(m)) > 10, F.lit("1")).otherwise(""), new))
-
-
-def _abroad(m: Column, key: str) -> Column:
     d = _digits(m)
-    return F.when(F.length(d).between(8, 15), _into(m, F.concat(_part(d, 1, 2), _halves(F.substr(d, F.lit(3)), key, "abroad"))))
+    ten = F.substr(d, F.length(d) - 9)
+    area, exchange, line = _part(ten, 1, 3).cast("long"), _part(ten, 4, 3).cast("long"), _part(ten, 7, 4).cast("long")
+    low, base = (F.when(x < 200, F.lit(0)).otherwise(F.lit(200)) for x in (area, exchange))
+    done = feistel(area - low, (exchange - base) * 10_000 + line, F.when(area < 200, F.lit(200)).otherwise(F.lit(800)), F.when(exchange < 200, F.lit(2_000_000)).otherwise(F.lit(8_000_000)), key, "phone")
+    new = F.concat(_padded(done["l"] + low, 3), _padded(done["r"] + base * 10_000, 7))
+    plan = _into(m, F.concat(F.when(F.length(d) > 10, F.lit("1")).otherwise(""), new))
+    abroad = _into(m, F.concat(_part(d, 1, 2), _halves(F.substr(d, F.lit(3)), key, "abroad")))
+    return F.when(d.rlike("^1?[0-9]{10}$") & ~m.rlike(r"^\+(?!1)"), plan).when(F.length(d).between(8, 15), abroad)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -182,19 +187,44 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(ok, spaced)
 
 
+def _moved(year: Column, month: Column, day: Column, key: str) -> Column:
+    """The image (y, m, d) of a date; null where it is none, or not from 1900 to 2099."""
+    date = F.try_to_date(F.concat_ws("-", _padded(year, 4), _padded(month, 2), _padded(day, 2)), "yyyy-MM-dd")
+    ok = date.isNotNull() & year.between(1900, 2099)
+    # where each month begins in a year's dates of the same widths
+    ints = lambda *x: F.array(*map(F.lit, x))
+    early, short = month < 10, day < 10
+    begins = F.when(early & short, ints(*range(0, 81, 9))).when(short, ints(0, 9, 18)).when(early, ints(0, 22, 41, 63, 84, 106, 127, 149, 171)).otherwise(ints(0, 22, 43))
+    n = F.when(early & short, F.lit(81)).when(short, F.lit(27)).when(early, F.lit(192)).otherwise(F.lit(65))
+    base, least = F.when(early, F.lit(1)).otherwise(F.lit(10)), F.when(short, F.lit(1)).otherwise(F.lit(10))
+    done = feistel(year - 1900, F.element_at(begins, (month - base + 1).cast("int")) + day - least, F.lit(200), n, key, "date")
+    k = F.size(F.filter(begins, lambda x: x <= done["r"]))
+    new = F.struct((done["l"] + 1900).alias("y"), (base + k - 1).cast("long").alias("m"), (done["r"] - F.element_at(begins, k) + least).cast("long").alias("d"))
+    i = F.floor((year - 1904) / 4)
+    leap = feistel(F.floor(i / 7), i % 7, F.lit(7), F.lit(7), key, "leap day")
+    return F.when(ok & (month == 2) & (day == 29), F.struct((leap["l"] * 28 + leap["r"] * 4 + 1904).alias("y"), F.lit(2).cast("long").alias("m"), F.lit(29).cast("long").alias("d"))).when(ok, new)
+
+
 def _date(m: Column, key: str) -> Column:
-    iso, dots = m.rlike("^[0-9]{4}-"), m.contains(".")
-    first, second = F.split(m, "[-./]")[0], F.split(m, "[-./]")[1]
-    us = ~dots & (first.cast("int") <= 12)
-    year = F.when(iso, first).otherwise(F.split(m, "[-./]")[2])
-    month = F.when(iso | ~us, second).otherwise(first)
-    day = F.when(iso, F.split(m, "[-./]")[2]).when(us, second).otherwise(first)
-    date = F.try_to_date(F.concat_ws("-", year, _padded(month, 2), _padded(day, 2)), "yyyy-MM-dd")
-    index = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
-    done = feistel(F.floor(index / DAY_R), index % DAY_R, F.lit(DAY_L), F.lit(DAY_R), key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (done["l"] * DAY_R + done["r"]).cast("int"))
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(dots, F.date_format(new, "dd.MM.yyyy")).when(us, F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    return F.when(index.between(0, DAY_L * DAY_R - 1), text)
+    parts = F.split(m, "[-./]")
+    sign = F.regexp_extract(m, "([-./])", 1)
+    ordered, dots = m.rlike("^[0-9]{4}"), m.contains(".")
+    us = ~ordered & ~dots & (parts[0].cast("int") <= 12)
+    places = F.when(ordered, F.array(*map(F.lit, (0, 1, 2)))).when(us, F.array(*map(F.lit, (2, 0, 1)))).otherwise(F.array(*map(F.lit, (2, 1, 0))))  # of year, month, day
+    new = _moved(*(F.get(parts, places[i]).cast("long") for i in range(3)), key)
+    values = F.array(new["y"], new["m"], new["d"])
+    text = F.call_function("array_join", F.transform(parts, lambda p, i: _padded(F.get(values, (F.array_position(places, i) - 1).cast("int")), F.length(p))), sign)
+    return F.when(new.isNotNull(), text)
+
+
+def _named_date(m: Column, key: str) -> Column:
+    names, brief = F.array(*map(F.lit, _MONTHS)), F.array(*(F.lit(x[:3]) for x in _MONTHS))
+    name, first = F.regexp_extract(m, "([A-Z][a-z]+)", 1), m.rlike("^[A-Z]")
+    day = F.regexp_extract(m, r"(?:^|[a-z] )([0-9]{1,2})(?:,| )", 1)
+    new = _moved(F.substr(m, F.length(m) - 3).cast("long"), F.array_position(brief, F.substr(name, F.lit(1), F.lit(3))), day.cast("long"), key)
+    to = F.element_at(F.when(F.length(name) > 3, names).otherwise(brief), new["m"].cast("int"))
+    d, y = _padded(new["d"], F.length(day)), new["y"].cast("string")
+    return F.when(new.isNotNull(), F.when(first, F.concat(to, F.lit(" "), d, F.lit(", "), y)).otherwise(F.concat_ws(" ", d, to, y)))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -212,18 +242,20 @@ def _email(m: Column, key: str) -> Column:
 def _secret(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, r"""^(AKIA|.*?[=:]\s*["']?)""", 1)
     value = F.substr(m, F.length(head) + 1)
-    letters = F.when(value.rlike("^[0-9a-f]+$"), F.lit(6)).otherwise(F.lit(26))
-    return F.when(value.rlike("[0-9]"), F.concat(head, feistel_chars(value, key, "secret", letters)))
+    letters = F.when(value.rlike(r"^[0-9a-f]+\.*$"), F.lit(6)).otherwise(F.lit(26))
+    end = F.regexp_extract(value, r"(\.*)$", 1)  # of the sentence
+    core = F.substr(value, F.lit(1), F.length(value) - F.length(end))
+    return F.when(value.rlike("[0-9]"), F.concat(head, feistel_chars(core, key, "secret", letters), end))
 
 
 #: Kind, pattern of the whole candidate, pseudonym (null where it isn't valid); the first pattern that fits decides.
 KINDS: tuple[tuple[str, str, Callable[[Column, str], Column]], ...] = (
     ("secret", r"^(?:AKIA[0-9A-Z]{16}$|[A-Za-z_-]+\s*[=:])", _secret),
     ("email", "@", _email),
-    ("iban", "^[A-Z]{2}", _iban),
-    ("phone", f"^{_PHONE1}$", _phone),
-    ("phone", r"^\+", _abroad),
-    ("date", r"^(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})$", _date),
+    ("iban", "^[A-Z]{2}[0-9]", _iban),
+    ("phone", rf"^(?:\+|{_PHONE1}$)", _phone),
+    ("date", f"^{_NUMBERS}$", _date),
+    ("date", "^[A-Z]|[a-z] ", _named_date),
     ("ssn", r"^\d{3}-\d{2}-\d{4}$", _ssn),
     ("ip", r"\.", _ip),
     ("card", "", _card),
