@@ -7,10 +7,10 @@ and documents that agree in one of ``BANDS`` bands share a bucket.
 
 - Equal texts are one node from the start; only one of them is compared.
 - In every bucket, whatever its size, all members are compared with its leader, the member that meets most
-  others over all bands. What the links so far hold together needs no other; of all members of one bucket that
-  are still in different classes every pair is compared, but for those whose distances to the leader
-  differ by more than the threshold allows: one minus the share of common shingles is a metric, so
-  that such a pair can't be similar. No link between two members of a bucket is lost, and no cap decides.
+  others over all bands. What the links so far hold together needs no other link. Of the members x, y of one leader L that
+  are still in different classes, a pair can only be similar if min(|x & L|, |y & L|) shingles would do for
+  its lengths, or if x and y share a shingle that L lacks. Both kinds of pairs are found by equality joins, for each leader, and compared; all
+  others can't be links, so that none is lost, no cap decides, and a group of thousands of copies isn't paired with itself.
 - Similarity: aligned equal shingles m of the two sequences, m / (|a| + |b| - m), shingles by 64-bit hashes. The longest
   common subsequence is found within the band of diagonals that the threshold allows; labelled shingles occur
   once, so that it is a longest increasing run of places, in memory linear in the texts.
@@ -164,22 +164,68 @@ def _sequences(src: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, ["doc_id", "h1", "h2"]).groupBy("node").agg(F.min("seq").alias("seq"))
 
 
+def _both(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the shingles of both."""
+    one = pairs.join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
+    return one.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    for batch in batches:
+        yield batch, [tuple(np.frombuffer(v.as_buffer(), np.uint64) for v in p) for p in zip(batch.column("seq_a"), batch.column("seq_b"))]
+
+
 def _verified(pairs: DataFrame, sequences: DataFrame, min_similarity: float) -> DataFrame:
-    """Pairs (a, b) with whether they are similar, and their distance: one minus the share of shingles in both."""
+    """Pairs (a, b) with whether they are similar, the number of shingles of each, and of those in both."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok, far = [], []
-            for x, y in zip(batch.column("seq_a"), batch.column("seq_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                m, shared = aligned(x, y, min_similarity)
-                ok.append(m >= min_similarity * (len(x) + len(y) - m) - 1e-9)
-                far.append(1 - shared / (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), pa.array(far, pa.float64())], ["a", "b", "similar", "apart"])
-
-    one = pairs.join(sequences.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b")
-    both = one.join(sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
-    return both.select("a", "b", "seq_a", "seq_b").mapInArrow(tidy(verify), "a long, b long, similar boolean, apart double")
+        for batch, each in _pairs(batches):
+            got = [aligned(x, y, min_similarity) for x, y in each]
+            ok = [m >= min_similarity * (len(x) + len(y) - m) - 1e-9 for (m, _), (x, y) in zip(got, each)]
+            counts = [[len(x) for x, _ in each], [len(y) for _, y in each], [n for _, n in got]]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_()), *(pa.array(c, pa.int64()) for c in counts)], ["a", "b", "similar", "n_a", "n_b", "shared"])
+
+    return _both(pairs, sequences).select("a", "b", "seq_a", "seq_b").mapInArrow(tidy(verify), "a long, b long, similar boolean, n_a long, n_b long, shared long")
+
+
+def _added(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Pairs (a, b) with each shingle of b that a lacks."""
+
+    def lacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, each in _pairs(batches):
+            new = [y[common(y, x)[1] == 0] for x, y in each]
+            ends = np.cumsum([0, *map(len, new)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *new]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "added"])
+
+    return _both(pairs, sequences).select("a", "b", "seq_a", "seq_b").mapInArrow(tidy(lacks), "a long, b long, added array<long>").select("a", "b", F.explode("added").alias("shingle"))
+
+
+def _possible(tried: DataFrame, held: DataFrame, sequences: DataFrame, min_similarity: float, s: Scratch) -> DataFrame:
+    """Pairs (a, b) of different classes that share a leader and can be similar; ``tried``: leaders (a) and their members (b) as compared."""
+    class_of = held.select("node", "class")
+    rows = tried.join(class_of.withColumnRenamed("node", "b"), "b", "left").withColumn("class", F.coalesce("class", "b"))
+    lead = rows.select("a").distinct().join(class_of.withColumnRenamed("node", "a").withColumnRenamed("class", "lead"), "a", "left").withColumn("lead", F.coalesce("lead", "a"))
+    # leaders whose members are in several classes; its own class counts
+    mixed = rows.groupBy("a").agg(F.min("class").alias("least"), F.max("class").alias("most")).join(lead, "a").filter((F.col("least") < F.col("most")) | (F.col("least") != F.col("lead"))).select("a")
+    ratio = (1 + min_similarity) / min_similarity
+    # the most shingles that another can have which shares none with b but those in a
+    longest = F.floor(F.col("shared") * ratio - F.col("n_b") + 1e-6)
+    open_ = s.written(rows.join(mixed, "a", "left_semi").select("a", "b", "class", "n_a", "n_b", "similar", longest.alias("longest")), "open")
+
+    posts = s.written(_added(open_.select("a", "b"), sequences), "added").join(open_.select("a", "b", "class"), ["a", "b"])
+    shared = posts.groupBy("a", "shingle").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("a", "shingle")
+    posts = s.written(posts.join(shared, ["a", "shingle"], "left_semi"), "posts")
+    mates = posts.select("a", "shingle", F.col("b").alias("mate"), F.col("class").alias("mate_class"))
+    meet = posts.join(mates, ["a", "shingle"]).filter("class < mate_class").select("b", "mate")
+
+    # without such a shingle: one of the two is no link of a. Where it shares too little with a, the other is shorter than a; where it shares enough
+    # but in another order, so does the other
+    strange = open_.filter("not similar").select("a", "b", "class", "n_b", "longest", (F.col("longest") >= F.col("n_a")).alias("alike"))
+    low, high = open_.filter("n_b < n_a").withColumn("alike", F.lit(False)), open_.filter("longest >= n_a").withColumn("alike", F.lit(True))
+    others = low.unionByName(high).select("a", "alike", F.col("b").alias("mate"), F.col("class").alias("mate_class"), F.col("n_b").alias("mate_n"), F.col("longest").alias("mate_longest"))
+    short = strange.join(others, ["a", "alike"]).filter("class <> mate_class and mate_n <= longest and n_b <= mate_longest").select("b", "mate")
+    return meet.unionByName(short).select(F.least("b", "mate").alias("a"), F.greatest("b", "mate").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -207,14 +253,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         first = s.written(led.filter("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "first")
         tried = s.written(_verified(first, sequences, min_similarity), "tried")
         held = s.written(components(tried.filter("similar"), "a", "b"), "held")
-        # what one class holds needs no further link; all else in a bucket is compared
-        sorted_ = led.join(held, "node", "left").select("bucket", "node", "leader", F.coalesce("class", "node").alias("class"))
-        mixed = sorted_.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("bucket")
-        away = tried.select(F.col("a").alias("leader"), F.col("b").alias("node"), "apart")
-        open_ = s.written(sorted_.join(mixed, "bucket", "left_semi").join(away, ["leader", "node"], "left").select("bucket", "node", "class", F.coalesce("apart", F.lit(0.0)).alias("apart")), "open")
-        mates = open_.select("bucket", F.col("node").alias("mate"), F.col("class").alias("mate_class"), F.col("apart").alias("mate_apart"))
-        near = open_.join(mates, "bucket").filter((F.col("class") < F.col("mate_class")) & (F.abs(F.col("apart") - F.col("mate_apart")) <= 1 - min_similarity + 1e-9))
-        pairs = near.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
+        pairs = _possible(tried, held, sequences, min_similarity, s)
         done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = s.written(pairs.join(done, ["a", "b"], "left_anti"), "more")
         found = s.written(_verified(more, sequences, min_similarity).filter("similar").select("a", "b"), "found")
