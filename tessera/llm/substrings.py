@@ -9,10 +9,12 @@ hashes of the ``GRAM``-byte grams in it; equal windows select equal grams at equ
    than one chunk, or lie in more than one document of a chunk, are marked.
 3. Around each marked anchor a chunk takes the stretch of text whose windows select it, and sends
    each distinct stretch once, with the smallest doc_id that holds it, dealt by the anchor's hash.
-4. Stretches with the same gram form a group; a group of one text needs no order, one of two is compared outwards from
-   the gram. Blocks of all other groups are ordered
+   A gram that occurs in more than ``HOT_CHUNKS`` chunks is hot: its stretches are cut by how many bytes a window has before
+   the gram, so that windows of one part agree in ``LENGTH - 4`` bytes or so, by which they are dealt instead.
+4. Stretches with the same gram form a group; a group of one stretch needs no order. Blocks of all other groups are ordered
    by a suffix array (``suffix.suffix_array``), in which the shared gram is one symbol; suffixes that agree over a whole window are one
-   string, and the smallest doc_id of each such run decides.
+   string, and the smallest doc_id of each such run decides. A group of more than ``MOST_SYMBOLS`` is cut in the same
+   way into parts whose windows agree in all bytes but one at the first or the last place.
 5. The answers go back to the chunks, where windows of larger doc_ids are covered.
 
 A passage that a third of all documents share is one stretch per chunk, not one per document. Hashes only select what
@@ -27,10 +29,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +47,10 @@ GRAM = 25
 CHUNK_BYTES = 8 << 20
 #: Hashes that are sorted at once.
 RANGE_HASHES = 1 << 22
-#: Symbols that one suffix array orders, about.
-BLOCK_SYMBOLS = 30_000
+#: Symbols that one suffix array orders, about; a group of more than the second is cut.
+BLOCK_SYMBOLS, MOST_SYMBOLS = 8_000, 1 << 18
+#: A gram in more chunks than this is dealt by longer strings.
+HOT_CHUNKS = 64
 #: Hashes and stretches are dealt to one bucket for each CHUNK_BYTES of text, but no more than this: a chunk's message to a
 #: bucket then holds about 32 hashes or more. A bucket of stretches is read by itself, in order, so that there can be more of them.
 MOST_HASH_BUCKETS = 1 << 14
@@ -163,66 +170,124 @@ class Chunk:
         return [(int(b[x[0]]), x) for x in np.split(order, cuts) if len(x)]
 
     def mark(self, buckets: int, masks: dict[int, bytes]) -> None:
+        self.hot = np.zeros(len(self.distinct), bool)
         for bucket, at in self.dealt(self.distinct, buckets):
             if bucket in masks:
-                self.marked[at] |= np.unpackbits(np.frombuffer(masks[bucket], np.uint8), count=len(at), bitorder="little").astype(bool)
+                d = masks[bucket]
+                n = int.from_bytes(d[:4], "little")
+                self.hot[at[np.frombuffer(d, "<u4", n, 4)]] = True
+                self.marked[at] |= np.unpackbits(np.frombuffer(d, np.uint8, -1, 4 + 4 * n), count=len(at), bitorder="little").astype(bool)
 
-    def stretches(self) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Of marked anchors: the runs' places, distinct stretches (sorted), each run's stretch, and a run of each stretch."""
+    def stretches(self) -> Stretches:
+        """Of marked anchors, hot ones cut into parts."""
         runs_ = np.flatnonzero(self.marked[self.which])
+        hot = self.hot[self.which[runs_]]
+        cool = runs_[~hot]
+        first, last, at, hash_, doc = ([x[cool]] for x in (self.first, self.last, self.anchor, self.hash, self.doc))
+        size = [np.full(len(cool), GRAM)]
+        runs_ = runs_[hot]
+        for before in (range(0, LENGTH - GRAM + 1, 5) if len(runs_) else ()):
+            most = before + 4 if before + 9 <= LENGTH - GRAM else LENGTH - GRAM
+            f, z = np.maximum(self.first[runs_], self.anchor[runs_] - most), np.minimum(self.last[runs_], self.anchor[runs_] - before)
+            some = f <= z
+            g, n = (self.anchor[runs_] - before)[some], LENGTH - (most - before)
+            h = np.fromiter((xxhash.xxh64_intdigest(self.bytes[i : i + n]) for i in g.tolist()), np.uint64, len(g))
+            for x, v in ((first, f[some]), (last, z[some]), (at, g), (hash_, h), (doc, self.doc[runs_][some]), (size, np.full(len(g), n))):
+                x.append(v)
+            if most == LENGTH - GRAM:
+                break
+        first, last, at, hash_, doc, size = map(np.concatenate, (first, last, at, hash_, doc, size))
         data = self.bytes
-        each = [data[a : b + LENGTH] for a, b in zip(self.first[runs_].tolist(), self.last[runs_].tolist())]
+        each = [(data[a : b + LENGTH], g - a, n) for a, b, g, n in zip(first.tolist(), last.tolist(), at.tolist(), size.tolist())] if hot.any() else [data[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
         distinct = sorted(set(each))
-        number = {s: i for i, s in enumerate(distinct)}
+        number = {x: i for i, x in enumerate(distinct)}
         which = np.fromiter(map(number.__getitem__, each), np.int64, len(each))
         sample = np.zeros(len(distinct), np.int64)
-        sample[which] = runs_
-        return runs_, distinct, which, sample
-
-
-def settle_two(one: tuple[bytes, int, int], two: tuple[bytes, int, int]) -> list[list[int]]:
-    """What ``settle`` gives for a group of two stretches: they are compared outwards from the gram."""
-    (s, i, low), (t, j, other) = one, two
-    left = right = 0
-    for x, y in zip(reversed(s[:i]), reversed(t[:j])):
-        if x != y:
-            break
-        left += 1
-    for x, y in zip(s[i + GRAM :], t[j + GRAM :]):
-        if x != y:
-            break
-        right += 1
-    n, m = len(s) - LENGTH + 1, len(t) - LENGTH + 1
-    # windows that begin so many bytes before the gram are in both
-    least, most = max(0, LENGTH - GRAM - right, i - n + 1, j - m + 1), min(LENGTH - GRAM, left, i, j)
-    both = min(low, other)
-    return [[both if least <= i - a <= most else low for a in range(n)], [both if least <= j - a <= most else other for a in range(m)]]
-
-
-def settle(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np.ndarray]]:
-    """For groups of distinct stretches (text, place of the shared gram, smallest doc_id): for each window of each stretch the smallest doc_id that has it."""
+        sample[which] = np.arange(len(each))
+        texts = [x[0] for x in distinct] if hot.any() else distinct
+        return Stretches(first, doc, texts, which, (at - first)[sample], size[sample], hash_[sample])
+
+
+@dataclass
+class Stretches:
+    """Runs of windows (the first window, the document), and their distinct stretches (text, where the gram is, its size and hash)."""
+
+    first: np.ndarray
+    doc: np.ndarray
+    distinct: list[bytes]
+    which: np.ndarray  # each run's stretch
+    at: np.ndarray
+    size: np.ndarray
+    hash: np.ndarray
+
+
+def settled(groups: list[tuple[int, list[tuple[bytes, int, int]]]]) -> list[list[np.ndarray]]:
+    """``settle`` for groups with the size of their gram, large ones by parts."""
+    if len(groups) == 1 and sum(len(s) - groups[0][0] + 2 for s, _, _ in groups[0][1]) > MOST_SYMBOLS and groups[0][0] < LENGTH - 1:
+        gram, group = groups[0]
+        parts: dict[tuple[int, bytes], dict[tuple[bytes, int], int]] = {}
+        where = []  # of each stretch: (windows from, to, part, part's stretch)
+        for text, at, low in group:
+            pieces = []
+            for before in range(0, LENGTH - gram + 1, 2):
+                most = min(before + 1, LENGTH - gram)
+                f, z = max(0, at - most), min(len(text) - LENGTH, at - before)
+                if f <= z:
+                    n = LENGTH - (most - before)
+                    key, piece = (before, text[at - before : at - before + n]), (text[f : z + LENGTH], at - before - f)
+                    part = parts.setdefault(key, {})
+                    part[piece] = min(part.get(piece, low), low)
+                    pieces.append((f, z + 1, key, piece))
+            where.append(pieces)
+        found = {}
+        for key, part in parts.items():
+            entries = [(text, at, low) for (text, at), low in part.items()]
+            found[key] = dict(zip(part, settled([(len(key[1]), entries)])[0]))
+        out = []
+        for (text, _, _), pieces in zip(group, where):
+            least = np.empty(len(text) - LENGTH + 1, np.int64)
+            for f, z, key, piece in pieces:
+                least[f:z] = found[key][piece]
+            out.append(least)
+        return [out]
+    return settle(groups)
+
+
+def settle(groups: list[tuple[int, list[tuple[bytes, int, int]]]]) -> list[list[np.ndarray]]:
+    """For groups of distinct stretches (text, place of the shared gram, smallest doc_id), each with the size of its gram: for each window of each stretch the smallest doc_id that has it.
+
+    The gram, with what follows it in all of a group's stretches, is one symbol; windows begin at it or before it.
+    """
     symbols: list[int] = []
-    start, doc, sizes = [], [], []
+    start, doc, sizes, ats, folded = [], [], [], [], []
     between = 256 + len(groups)
-    for k, group in enumerate(groups):
+    for k, (gram, group) in enumerate(groups):
+        more = gram + len(commonprefix([text[at + gram :] for text, at, _ in group]))
         for text, at, low in group:
-            n = len(text) - LENGTH + 1
             start.append(len(symbols))
-            sizes.append(n)
+            sizes.append(len(text) - LENGTH + 1)
             doc.append(low)
+            ats.append(at)
+            folded.append(more)
             symbols += text[:at]
             symbols.append(256 + k)
-            symbols += text[at + GRAM :]
+            symbols += text[at + more :]
             symbols.append(between)
     symbols.append(-1)
     n = np.array(sizes)
-    starts = np.repeat(np.array(start) - np.cumsum(n) + n, n) + np.arange(n.sum())
-    width = LENGTH - GRAM + 1
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(np.array(start), n) + place
+    before = np.repeat(np.array(ats), n) - place
+    # symbols of a window: its bytes before the gram, the gram, and its bytes behind what all have
+    need = before + 1 + np.maximum(0, LENGTH - before - np.repeat(np.array(folded), n))
+    width = LENGTH - min(gram for gram, _ in groups) + 1
+    text = np.array(symbols, np.int64)
     valid = np.full(len(symbols), -1, np.int64)
     valid[starts] = np.arange(len(starts))
-    order = valid[np.array(suffix_array(symbols))]
+    order = valid[np.array(suffix_array(text))]
     order = order[order >= 0]
-    rows = np.lib.stride_tricks.sliding_window_view(np.array(symbols + [-1] * width, np.int32), width)[starts[order]]
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.full(width, -1)]).astype(np.int32), width)[starts[order]]
+    rows[np.arange(width) >= need[order, None]] = -2
     new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
     owner = np.repeat(np.array(doc, np.int64), n)
     least = np.minimum.reduceat(owner[order], np.flatnonzero(new))
@@ -230,7 +295,7 @@ def settle(groups: list[list[tuple[bytes, int, int]]]) -> list[list[np.ndarray]]
     out[order] = least[np.cumsum(new) - 1]
     each = np.split(out, np.cumsum(n)[:-1])
     answer, i = [], 0
-    for group in groups:
+    for _, group in groups:
         answer.append(each[i : i + len(group)])
         i += len(group)
     return answer
@@ -358,7 +423,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, messages in _by_bucket(batches):
             raw = np.frombuffer(b"".join(d for _, d in messages), np.uint8).reshape(-1, 5)
-            shared = np.zeros(len(raw), bool)
+            shared, hot = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
             # a large bucket by ranges of the highest byte
             step = max(1, 256 * RANGE_HASHES // max(1, len(raw)))
             for lo in range(0, 256, step):
@@ -372,9 +437,13 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 twice[1:] = same
                 twice[:-1] |= same
                 shared[at[order]] = twice
+                runs_ = np.flatnonzero(np.concatenate([[True], ~same, [True]])) if len(h) else np.zeros(1, np.int64)
+                many = np.diff(runs_)
+                hot[at[order]] = np.repeat(many > HOT_CHUNKS, many)
             at = 0
             for f, d in messages:
-                yield _rows([(f, b, np.packbits(shared[at : at + len(d) // 5], bitorder="little").tobytes())])
+                here = np.flatnonzero(hot[at : at + len(d) // 5]).astype("<u4")
+                yield _rows([(f, b, np.array([len(here)], "<u4").tobytes() + here.tobytes() + np.packbits(shared[at : at + len(d) // 5], bitorder="little").tobytes())])
                 at += len(d) // 5
 
     masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(tidy(send_hashes), MESSAGE_DDL).repartition(min(hash_buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(find_shared), MESSAGE_DDL), "masks")
@@ -382,77 +451,72 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for flush, c, (mask,) in _gathered(batches, 1):
             c.mark(hash_buckets, mask)
-            runs_, distinct, which, sample = c.stretches()
-            if not distinct:
+            x = c.stretches()
+            if not x.distinct:
                 continue
-            owner = c.ids[c.doc[runs_]]
-            low, high = np.full(len(distinct), NO_ID), np.full(len(distinct), np.iinfo(np.int64).min)
-            np.minimum.at(low, which, owner)
-            np.maximum.at(high, which, owner)
-            at = c.anchor[sample] - c.first[sample]
-            size = np.fromiter(map(len, distinct), np.int64, len(distinct))
-            for bucket, pick in c.dealt(c.hash[sample], stretch_buckets):
+            owner = c.ids[x.doc]
+            low, high = np.full(len(x.distinct), NO_ID), np.full(len(x.distinct), np.iinfo(np.int64).min)
+            np.minimum.at(low, x.which, owner)
+            np.maximum.at(high, x.which, owner)
+            size = np.fromiter(map(len, x.distinct), np.int64, len(x.distinct))
+            for bucket, pick in c.dealt(x.hash, stretch_buckets):
                 head = np.array([len(pick)], "<u4").tobytes()
-                yield _rows([(flush, bucket, _zip(head, size[pick].astype("<u2").tobytes(), at[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(distinct[i] for i in pick.tolist())))])
+                yield _rows([(flush, bucket, _zip(head, size[pick].astype("<u2").tobytes(), x.at[pick].astype("u1").tobytes(), x.size[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(x.distinct[i] for i in pick.tolist())))])
 
     def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, messages in _by_bucket(batches):
             yield from order_bucket(b, messages)
 
     def order_bucket(b: int, messages: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        groups: dict[bytes, dict[bytes, list]] = {}
+        groups: dict[bytes, dict[tuple[bytes, int], list]] = {}
         for f, d in messages:
             d = _unzip(d)
             n = int.from_bytes(d[:4], "little")
             size = np.frombuffer(d, "<u2", n, 4).tolist()
-            at = d[4 + 2 * n : 4 + 3 * n]
-            several = d[4 + 3 * n : 4 + 4 * n]
-            low = np.frombuffer(d, "<i8", n, 4 + 4 * n).tolist()
-            p = 4 + 12 * n
+            at, gram, several = (d[4 + k * n : 4 + (k + 1) * n] for k in (2, 3, 4))
+            low = np.frombuffer(d, "<i8", n, 4 + 5 * n).tolist()
+            p = 4 + 13 * n
             for i in range(n):
                 s = d[p : p + size[i]]
                 p += size[i]
-                g = groups.setdefault(s[at[i] : at[i] + GRAM], {})
-                e = g.get(s)
+                g = groups.setdefault(s[at[i] : at[i] + gram[i]], {})
+                e = g.get((s, at[i]))
                 if e is None:
-                    g[s] = [at[i], low[i], several[i], [(f, i)]]
+                    g[s, at[i]] = [low[i], several[i], [(f, i)]]
                 else:
-                    e[2] = e[2] or low[i] != e[1]
-                    e[1] = min(e[1], low[i])
-                    e[3].append((f, i))
+                    e[1] = e[1] or low[i] != e[0]
+                    e[0] = min(e[0], low[i])
+                    e[2].append((f, i))
         answers: dict[int, list] = {}
-        block, symbols = [], 0
-        several_texts = []
-        for g in groups.values():
-            if len(g) > 1:
-                several_texts.append(g)
-                continue
-            # a group of one stretch is in order already
-            (s, (_, low, several, refs)), = g.items()
-            if several:
-                for f, i in refs:
-                    answers.setdefault(f, []).append((i, 0, len(s) - LENGTH + 1, low))
-        groups.clear()
-        def answer(g: dict[bytes, list], found: list) -> None:
-            for (_, low, several, refs), least in zip(g.values(), found):
-                a = 0
-                for z in range(1, len(least) + 1):
-                    if z == len(least) or least[z] != least[a]:
-                        if several or least[a] < low:
+        block: list[tuple[int, dict]] = []
+        symbols = 0
+
+        def order_block() -> None:
+            for (_, g), found in zip(block, settled([(k, [(s, at, e[0]) for (s, at), e in g.items()]) for k, g in block])):
+                for (low, several, refs), least in zip(g.values(), found):
+                    cuts = [0, *(np.flatnonzero(least[1:] != least[:-1]) + 1).tolist(), len(least)]
+                    for a, z in zip(cuts, cuts[1:]):
+                        v = int(least[a])
+                        if several or v < low:
                             for f, i in refs:
-                                answers.setdefault(f, []).append((i, a, z, least[a]))
-                        a = z
-
-        for k, g in enumerate(several_texts):
-            if len(g) == 2:
-                answer(g, settle_two(*((s, e[0], e[1]) for s, e in g.items())))
-            else:
-                block.append(g)
-                symbols += sum(map(len, g)) - (GRAM - 2) * len(g)
-            if symbols >= BLOCK_SYMBOLS or block and k + 1 == len(several_texts):
-                for g, found in zip(block, settle([[(s, e[0], e[1]) for s, e in g.items()] for g in block])):
-                    answer(g, [x.tolist() for x in found])
+                                answers.setdefault(f, []).append((i, a, z, v))
+
+        for gram, g in groups.items():
+            if len(g) == 1:
+                # a group of one stretch is in order already
+                ((s, _), (low, several, refs)), = g.items()
+                if several:
+                    for f, i in refs:
+                        answers.setdefault(f, []).append((i, 0, len(s) - LENGTH + 1, low))
+                continue
+            more = sum(len(s) for s, _ in g) - (len(gram) - 2) * len(g)
+            if block and symbols + more > BLOCK_SYMBOLS:
+                order_block()
                 block, symbols = [], 0
+            block.append((len(gram), g))
+            symbols += more
+        if block:
+            order_block()
         for f, rows in answers.items():
             i, a, z, low = map(np.array, zip(*rows))
             yield _rows([(f, b, _zip(np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()))])
@@ -467,10 +531,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             c.mark(hash_buckets, mask)
             edge = np.zeros(len(c.text) + 1, np.int64)
             if answer:
-                runs_, distinct, which, sample = c.stretches()
-                by = np.argsort(which, kind="stable")
-                first = np.searchsorted(which[by], np.arange(len(distinct) + 1))
-                for bucket, pick in c.dealt(c.hash[sample], stretch_buckets):
+                x = c.stretches()
+                by = np.argsort(x.which, kind="stable")
+                first = np.searchsorted(x.which[by], np.arange(len(x.distinct) + 1))
+                for bucket, pick in c.dealt(x.hash, stretch_buckets):
                     d = answer.get(bucket)
                     if d is None:
                         continue
@@ -479,10 +543,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                     i, a, z, low = (np.frombuffer(d, t, n, 4 + o * n).astype(np.int64) for t, o in (("<u4", 0), ("<u1", 4), ("<u1", 5), ("<i8", 6)))
                     s = pick[i]
                     many = first[s + 1] - first[s]
-                    run = runs_[by[np.repeat(first[s] - np.cumsum(many) + many, many) + np.arange(many.sum())]]
+                    run = by[np.repeat(first[s] - np.cumsum(many) + many, many) + np.arange(many.sum())]
                     a, z, low = np.repeat(a, many), np.repeat(z, many), np.repeat(low, many)
-                    gone = low < c.ids[c.doc[run]]
-                    start = c.first[run][gone]
+                    gone = low < c.ids[x.doc[run]]
+                    start = x.first[run][gone]
                     np.add.at(edge, start + a[gone], 1)
                     np.add.at(edge, start + z[gone] - 1 + LENGTH, -1)
             out = np.cumsum(edge[:-1]) > 0

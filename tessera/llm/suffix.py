@@ -10,23 +10,26 @@ all that its pointers lead to at the front of their groups, which orders every g
 
 from __future__ import annotations
 
+import numpy as np
 
-def suffix_array(text: list[int]) -> list[int]:
+
+def suffix_array(text: np.ndarray | list[int]) -> list[int]:
     """Start positions of all suffixes in lexicographic order. The last symbol must be smaller than all others."""
+    text = np.asarray(text, np.int64)
     n = len(text)
     if n == 0:
         return []
-    order = sorted(range(n), key=text.__getitem__)
-    where = [0] * n
-    group = [0] * n  # where a suffix's group begins in the order
-    size = [0] * n
-    start, last = 0, None
-    for k, i in enumerate(order):
-        where[i] = k
-        if text[i] != last:
-            start, last = k, text[i]
-        group[i] = start
-        size[start] += 1
+    by = np.argsort(text, kind="stable")
+    new = np.concatenate([[True], text[by][1:] != text[by][:-1]])
+    begin = np.flatnonzero(new)
+    at, own = np.empty(n, np.int64), np.empty(n, np.int64)
+    at[by] = np.arange(n)
+    own[by] = begin[np.cumsum(new) - 1]
+    sizes = np.zeros(n, np.int64)
+    sizes[begin] = np.diff(np.append(begin, n))
+    order, where = by.tolist(), at.tolist()
+    group = own.tolist()  # where a suffix's group begins in the order
+    size = sizes.tolist()
 
     prev = [-1] * n
     end = n

@@ -87,9 +87,37 @@ def test_groups_against_plain_windows(left, right, data):
         for j in range(len(s) - 49):
             first[s[j : j + 50]] = min(first.get(s[j : j + 50], low), low)
     want = [[first[s[j : j + 50]] for j in range(len(s) - 49)] for s, _, _ in rows]
-    assert [x.tolist() for x in substrings.settle([rows])[0]] == want
-    if len(rows) == 2:
-        assert substrings.settle_two(*rows) == want
+    assert [x.tolist() for x in substrings.settle([(25, rows)])[0]] == want
+    before = substrings.MOST_SYMBOLS
+    substrings.MOST_SYMBOLS = 10  # by parts
+    try:
+        assert [x.tolist() for x in substrings.settled([(25, rows)])[0]] == want
+    finally:
+        substrings.MOST_SYMBOLS = before
+
+
+@pytest.mark.parametrize("most", (0, 2, 64))
+def test_a_gram_with_many_contexts_is_split(spark, monkeypatch, most):
+    """One line in most documents, also in many chunks, with other words around it."""
+    rng = random.Random(17)
+    line = "the very common line of words in all of them"
+    rows = [(i, f"{sentence(rng, 2)} {rng.choice('abc')}{line}{rng.choice('xyz')} {sentence(rng, 2)}") for i in range(200)]
+    rows += [(500 + i, line[k:] + line) for i, k in enumerate(range(0, 44, 4))] + [(600, rows[7][1]), (601, None)]
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substrings, "HOT_CHUNKS", most)
+    if most == 2:
+        monkeypatch.setattr(substrings, "MOST_SYMBOLS", 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert passages(df) == removed(rows)
+
+
+def test_every_group_of_two_texts_or_more_is_ordered_by_a_suffix_array(monkeypatch):
+    sizes = []
+    whole = substrings.suffix_array
+    monkeypatch.setattr(substrings, "suffix_array", lambda x: sizes.append(len(x)) or whole(x))
+    gram = b"g" * 25
+    assert [x.tolist() for x in substrings.settled([(25, [(b"a" * 25 + gram + b"b", 25, 1), (b"c" + b"a" * 24 + gram + b"b", 25, 2)])])[0]] == [[1, 1], [2, 1]]
+    assert sizes
 
 
 def test_passages_of_odd_tables(spark, odd, none):
