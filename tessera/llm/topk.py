@@ -136,13 +136,9 @@ def search(tree: BallTree, q: np.ndarray, q_ids: np.ndarray, best: Best) -> None
         visit(right, active, ur)
         visit(left, active[~first], ul[~first])
 
+    # bounds have a margin far beyond what floats lose; only a leaf's scores need be exact
     everyone = np.arange(len(q))
-    if safe:
-        visit(0, everyone, bound(0, everyone))
-    else:
-        for node, (left, _) in enumerate(tree.kids):
-            if left < 0:
-                score(node, everyone)
+    visit(0, everyone, bound(0, everyone))
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -191,41 +187,49 @@ def exact_top_k(vectors: DataFrame, k: int, *, is_query: Column, id_col: str = "
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards as rows of kind 0, queries of a shard as rows of kind 1."""
-        held: dict[tuple[int, int], list] = {}
+        held: dict[int, list] = {}
+        at = None
         for batch in batches:
             flat, dims = _rows(batch.column("vec"))
             ends = np.cumsum(dims)
             ids, shard, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "shard", "asks"))
-            for key in set(zip(shard.tolist(), dims.tolist())):
-                pick = np.flatnonzero((shard == key[0]) & (dims == key[1]))
-                at = (ends[pick] - key[1])[:, None] + np.arange(key[1])
-                held.setdefault(key, []).append((ids[pick], _small(flat[at]), asks[pick]))
-        for shard in sorted({s for s, _ in held}):
-            own = [(dim, *map(np.concatenate, zip(*held[s, dim]))) for s, dim in sorted(held) if s == shard]
-            seen: dict[int, tuple] = {}
-            if len({*(i for x in own for i in x[1].tolist())}) < sum(len(x[1]) for x in own):
-                for dim, ids, vecs, _ in own:  # repeated ids: the smallest vector stays
-                    for j, i in enumerate(ids.tolist()):
-                        v = tuple(vecs[j].tolist())
-                        seen[i] = min(seen.get(i, (v, dim)), (v, dim))
-            for dim, ids, vecs, asks in own:
-                if seen:
-                    keep, once = [], set()
-                    for j, i in enumerate(ids.tolist()):
-                        if i not in once and seen[i] == (tuple(vecs[j].tolist()), dim):
-                            keep.append(j)
-                            once.add(i)
-                    ids, vecs, asks = ids[keep], vecs[keep], asks[keep]
-                if not len(ids):
-                    continue
-                one = _small(vecs)
-                yield _send(PACKED, shard=[shard], kind=[0], dim=[dim], kth=[None], ids=[ids.tobytes()], bytes_=[one.itemsize], vecs=[one.tobytes()])
-                q = np.flatnonzero(asks)
-                for i in range(0, len(q), BLOCK_QUERIES):
-                    part = q[i : i + BLOCK_QUERIES]
-                    yield _send(PACKED, shard=[shard], kind=[1], dim=[dim], kth=[None], ids=[ids[part].tobytes()], bytes_=[one.itemsize], vecs=[one[part].tobytes()])
-
-    dealt = src.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).repartition(n_shards, "shard")
+            for part in np.split(np.arange(len(shard)), np.flatnonzero(np.diff(shard)) + 1) if len(shard) else ():
+                if at is not None and shard[part[0]] != at:  # sorted: one shard at a time
+                    yield from close(at, held)
+                    held = {}
+                at = int(shard[part[0]])
+                for dim in np.unique(dims[part]).tolist():
+                    pick = part[dims[part] == dim]
+                    held.setdefault(dim, []).append((ids[pick], _small(flat[(ends[pick] - dim)[:, None] + np.arange(dim)]), asks[pick]))
+        if at is not None:
+            yield from close(at, held)
+
+    def close(shard: int, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        own = [(dim, *map(np.concatenate, zip(*held[dim]))) for dim in sorted(held)]
+        seen: dict[int, tuple] = {}
+        if len({*(i for x in own for i in x[1].tolist())}) < sum(len(x[1]) for x in own):
+            for dim, ids, vecs, _ in own:  # repeated ids: the smallest vector stays
+                for j, i in enumerate(ids.tolist()):
+                    v = tuple(vecs[j].tolist())
+                    seen[i] = min(seen.get(i, (v, dim)), (v, dim))
+        for dim, ids, vecs, asks in own:
+            if seen:
+                keep, once = [], set()
+                for j, i in enumerate(ids.tolist()):
+                    if i not in once and seen[i] == (tuple(vecs[j].tolist()), dim):
+                        keep.append(j)
+                        once.add(i)
+                ids, vecs, asks = ids[keep], vecs[keep], asks[keep]
+            if not len(ids):
+                continue
+            one = _small(vecs)
+            yield _send(PACKED, shard=[shard], kind=[0], dim=[dim], kth=[None], ids=[ids.tobytes()], bytes_=[one.itemsize], vecs=[one.tobytes()])
+            q = np.flatnonzero(asks)
+            for i in range(0, len(q), BLOCK_QUERIES):
+                part = q[i : i + BLOCK_QUERIES]
+                yield _send(PACKED, shard=[shard], kind=[1], dim=[dim], kth=[None], ids=[ids[part].tobytes()], bytes_=[one.itemsize], vecs=[one[part].tobytes()])
+
+    dealt = src.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int")).repartition(n_shards, "shard").sortWithinPartitions("shard")
     packs = written(dealt.mapInArrow(tidy(index), PACKED_DDL), "vector-shards")
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
