@@ -32,8 +32,10 @@ PER_LANGUAGE = 800
 #: A sample of ids up to this many goes to all tasks, a larger one, of very many languages, is shuffled.
 MOST_BROADCAST = 200_000
 UNKNOWN = "und"
-#: Below this the pipeline's stage rejects a document.
-MIN_SCORE = 0.3
+#: The pipeline's stage rejects a document whose score is no further than this share of the way from chance, 1 / languages, to 1.
+MIN_MARGIN = 1 / 15
+#: It also rejects one of whose letters less than this share occurs in the sample that the model was fitted on.
+MIN_KNOWN = 0.5
 
 _LETTER = np.zeros(0x110000, bool)
 
@@ -81,6 +83,14 @@ class Model:
     idf: np.ndarray
     weights: np.ndarray  # features (the last is the bias) x languages
     temperature: float
+    letters: np.ndarray  # code points of the letters in the sample, sorted
+
+    def knows(self, text: str) -> float:
+        """The share of a text's letters that the sample has; 1 without letters."""
+        raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = raw[_letters()[raw]]
+        at = np.searchsorted(self.letters, raw)
+        return float((self.letters[np.minimum(at, len(self.letters) - 1)] == raw).mean()) if len(raw) and len(self.letters) else 1.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of rows of TF-IDF."""
@@ -151,7 +161,9 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     # candidates: a share of each language's documents by hash, then exactly the smallest hashes
     key = src.select("i", "y", F.xxhash64("i", F.lit(17)).alias("h"))
-    sizes = key.groupBy("y").agg(F.count("*").alias("all_"))
+    sizes = written(key.groupBy("y").agg(F.count("*").alias("all_")), "language-sizes")
+    if sizes.count() <= MOST_BROADCAST:  # a row for each language
+        sizes = F.broadcast(sizes)
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 200) / F.col("all_"))
     near = key.join(sizes, "y").filter(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).select("i", "y", "h")
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("h", F.lit(1 << 20)), "h", "i"))).filter(F.col("n") <= per_language).select("i", "y", "n")
@@ -167,11 +179,12 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
                     c = counts(t)
                     if c is not None:
                         f = np.flatnonzero(c)
-                        out.append((y, n, f.astype("<u2").tobytes(), np.minimum(c[f], 65535).astype("<u2").tobytes()))
+                        raw = np.unique(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32))
+                        out.append((y, n, f.astype("<u2").tobytes(), np.minimum(c[f], 65535).astype("<u2").tobytes(), raw[_letters()[raw]].astype("<u4").tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["y", "n", "f", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["y", "n", "f", "c", "l"])
 
-    got = chosen.mapInArrow(tidy(features), "y string, n long, f binary, c binary").collect()  # the bounded sample
+    got = chosen.mapInArrow(tidy(features), "y string, n long, f binary, c binary, l binary").collect()  # the bounded sample
     got.sort(key=lambda r: (r["y"], r["n"], r["f"]))
     languages = sorted({r["y"] for r in got})
     if not languages:
@@ -185,7 +198,8 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     back = np.array([r["n"] % 5 == 0 for r in got])
     weights = fit_ftrl([x for x, b in zip(rows, back) if not b], y[~back], len(languages))
     logits = np.array([x @ weights[f] + weights[-1] for (f, x), b in zip(rows, back) if b]).reshape(-1, len(languages))
-    return Model(languages, idf, weights, fit_temperature(logits, y[back]))
+    letters = np.unique(np.frombuffer(b"".join(r["l"] for r in got), "<u4"))
+    return Model(languages, idf, weights, fit_temperature(logits, y[back]), letters)
 
 
 def scored(texts: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
@@ -236,16 +250,20 @@ def trained_on(docs: DataFrame, **kw) -> Model | None:
     return train(docs.filter(~is_held_out() & F.col("doc_id").isNotNull()), **kw)
 
 
-def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is recognised with at least that score."""
+def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is recognised better than by chance, by that margin, and most of whose letters are known."""
     bounded_batches(docs.sparkSession)
+    n = len(model.languages) if model else 1
+    min_score = 1 / n + min_margin * (1 - 1 / n) - 1e-12
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for step in steps(batch, text_col):
                 lang, score = scored(step.column(text_col), held.value)
-                yield step.filter(pa.array((np.array(lang, object) != UNKNOWN) & (score >= min_score)))
+                ok = (np.array(lang, object) != UNKNOWN) & (score >= min_score)
+                known = [k and held.value.knows(t) >= MIN_KNOWN for t, k in zip(step.column(text_col).to_pylist(), ok.tolist())]
+                yield step.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(tidy(keep), docs.schema)
 
