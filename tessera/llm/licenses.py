@@ -2,8 +2,8 @@
 
 Lines with a word of license language, and the few lines between two such lines, are
 candidate blocks. A block is compressed alone and with each template as raw zstandard
-dictionary; templates are ranked by the bytes they save, also where a long block leaves none. The best
-ranked are then held against the block word by word, the others after them until one is confirmed: the stretch of the block with the fewest edits to the whole template is found, and
+dictionary; templates are ranked by the bytes they save, also where a long block leaves none. All are
+then held against the block word by word, unless the words alone that the block lacks are too many edits: the stretch of the block with the fewest edits to the whole template is found, and
 the winner has the smallest share of edits, at most ``MOST_EDITS`` and none at a word with a digit. A
 confirmed stretch is cut out and the rest of the block is searched again, so that a block can hold several licenses.
 
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from ._common import bounded_batches, steps, table, tidy
 
 MOST_EDITS = 0.15
-#: Templates that are held against a block at a time, best ranked first; the next follow if none of them is confirmed.
-CONFIRMED = 5
 #: Lines without license language that a block may hold in a row.
 GAP_LINES = 3
 #: A block's words are searched in windows of so many, with half of it as overlap.
@@ -59,6 +57,20 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."""),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor."""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("WTFPL", """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."""),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    # the beginnings by which whole license texts are named
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("EPL-2.0", """Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""),
 )
 
 _TRIGGER = re.compile(r"licen[sc]e|copyright|rights\s+reserved|hereby\s+granted|redistribut|public\s+domain|creative\s+commons|sublicen|warrant|free\s+software|\bcc0?[ -]by\b|\bcc0\b", re.I)
@@ -126,8 +138,6 @@ def best_license(words: list[str]) -> tuple[str, int, int, int, int, list[str]]
     held = Counter(words)
     best = None
     for rank, (saved, k) in enumerate(ranked):
-        if best and rank % CONFIRMED == 0:
-            break
         name, template, _ = _library()[-k]
         # each word of the template that the block lacks is an edit at least
         if (Counter(template) - held).total() > MOST_EDITS * len(template):

@@ -424,6 +424,46 @@ def test_temperature_and_ftrl():
     assert abs(p.mean() - 0.8) < 0.05
 
 
+def test_ftrl_against_a_plain_dense_version(monkeypatch):
+    monkeypatch.setattr(langid, "FEATURES", 6)
+    rng = np.random.default_rng(5)
+    rows, y = [], rng.integers(0, 3, 60)
+    for k in y:
+        x = np.where(rng.random(6) < 0.5, rng.random(6), 0.0)
+        x[k] += 1
+        rows.append((np.flatnonzero(x), x[x > 0]))
+    got = langid.fit_ftrl(rows, y, 3, alpha=0.3, beta=0.7, l1=0.4, l2=0.2, epochs=2, seed=4)
+    z, n = [[0.0] * 3 for _ in range(7)], [[0.0] * 3 for _ in range(7)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= 0.4:
+            return 0.0
+        return -(z[i][k] - (0.4 if z[i][k] > 0 else -0.4)) / ((0.7 + n[i][k] ** 0.5) / 0.3 + 0.2)
+
+    order = np.random.default_rng(4)
+    for _ in range(2):
+        for r in order.permutation(60):
+            x = dict(zip(rows[r][0].tolist(), rows[r][1].tolist())) | {6: 1.0}
+            w = {i: [weight(i, k) for k in range(3)] for i in x}
+            logit = [sum(v * w[i][k] for i, v in x.items()) for k in range(3)]
+            e = [np.exp(v - max(logit)) for v in logit]
+            for i, v in x.items():
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y[r]))
+                    z[i][k] += g - ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / 0.3 * w[i][k]
+                    n[i][k] += g * g
+    want = np.array([[weight(i, k) for k in range(3)] for i in range(7)])
+    assert np.allclose(got, want) and (want == 0).any() and (want != 0).any()
+
+
+def test_letters_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.trained_on(docs)
+    odd_ = spark.createDataFrame([(-1, "\u16a0\u16a2\u16a6 \u16a8\u16b1\u16b2", "en", None, None), (-2, "12 !", None, None, None)], DDL)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.unionByName(odd_), model).collect()}
+    assert not {-1, -2} & kept and len(kept) > 0.95 * docs.count()
+
+
 # -- pseudonyms ---------------------------------------------------------------------------------
 
 
@@ -818,6 +858,42 @@ def test_licenses_in_text():
     assert licenses.find_licenses("a license to drive is not a license here\n" + noise()) == []
 
 
+def test_every_template_is_found_whole_and_names_itself():
+    for name, text in licenses.TEMPLATES:
+        found = licenses.find_licenses(f"before it\n\n\n\n\n\n{text}\n\n\n\n\n\nafter it")
+        assert [f[0] for f in found] == [name], text[:40]
+
+
+def test_the_winner_against_all_templates_compared():
+    """Of all templates, whatever their rank, the one with the smallest share of edits wins, then the longer, then the better rank."""
+    import zstandard
+
+    rng = random.Random(14)
+    for _ in range(25):
+        words = []
+        for _ in range(rng.choice((1, 1, 2))):
+            w = [x.lower() for x in licenses._WORD.findall(rng.choice([t for _, t in licenses.TEMPLATES if len(t) < 400]))]
+            for _ in range(rng.choice((0, 0, 1, 3))):
+                w[rng.randrange(len(w))] = "other"
+            words += sentence(rng, rng.randrange(0, 10)).split() + w
+        data = (" ".join(words) + " ").encode()
+        size = lambda d: len(zstandard.ZstdCompressor(level=19, dict_data=d, write_checksum=False, write_content_size=False).compress(data))
+        alone = len(zstandard.ZstdCompressor(level=19, write_checksum=False, write_content_size=False).compress(data))
+        rows = []
+        for k, (name, text) in enumerate(licenses.TEMPLATES):
+            t = [x.lower() for x in licenses._WORD.findall(text)]
+            edits, a, b, diff = licenses.fewest_edits(t, words)
+            saved = alone - size(zstandard.ZstdCompressionDict((" ".join(t) + " ").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            rows.append((-saved, k, name, edits, a, b, len(t), any(c.isdigit() for d in diff for c in d)))
+        ok = [(r[3] / r[6], -r[6], rank, r) for rank, r in enumerate(sorted(rows)) if r[3] <= licenses.MOST_EDITS * r[6] and not r[7]]
+        got = licenses.best_license(words)
+        if not ok:
+            assert got is None
+        else:
+            r = min(ok)[3]
+            assert got[:5] == (r[2], -r[0], r[4], r[5], r[3])
+
+
 def test_a_short_notice_in_a_long_line_is_found():
     for notice, name in (("All rights reserved.", "all-rights-reserved"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the MIT License.", "MIT")):
         for seed in range(8):
