@@ -58,11 +58,24 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Runs of ``n`` words, joined by spaces. The words are bound once, not computed again for every run."""
+def bound(c: Column, body) -> Column:
+    """``body`` of a column whose value is computed once, not again for every use."""
+    return F.transform(F.array(c), body)[0]
+
 
+def _runs(words: Column, n: int, make, kind: str) -> Column:
     def runs(ws: Column) -> Column:
         last = F.size(ws) - n + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: make(F.slice(ws, i, n)))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return bound(words, runs)
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """Runs of ``n`` words, joined by spaces."""
+    return _runs(words, n, lambda r: F.array_join(r, " "), "string")
+
 
-    return F.transform(F.array(words), runs)[0]
+def ngram_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of the runs of ``n`` words."""
+    return _runs(words, n, lambda r: F.xxhash64(r), "bigint")

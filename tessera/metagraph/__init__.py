@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.measures import place_nearness, place_similarity, time_share
 from ..functions.text import normalized
 from ..operators.relational import frequent_values
+from ..sources import written
 
 MENTIONS = "entity_id string, modality_id string, modality_type string, mention_text string, row long, column string, area double, saliency double, confidence double, context string"
 #: The words of a text at which its mentions count in full.
@@ -142,24 +143,25 @@ def spatial_relations(modalities: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, start: str, hops: int) -> DataFrame:
-    """(node, distance): nodes at most ``hops`` undirected steps from ``start``, without it."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    seen = both.sparkSession.createDataFrame([(start, 0)], "node string, distance int")
+    """(node, distance): nodes at most ``hops`` undirected steps from ``start``, without it. Each step is written to the shared folder, so that the next reads only what is new."""
+    spark = edges.sparkSession
+    both = written(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "hops")
+    front = seen = spark.createDataFrame([(start, 0)], "node string, distance int")
     for d in range(1, hops + 1):
-        step = seen.filter(F.col("distance") == d - 1).join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(d).alias("distance")).distinct()
-        seen = seen.unionByName(step.join(seen, "node", "left_anti"))
+        step = front.join(both, F.col("node") == F.col("source")).select(F.col("target").alias("node"), F.lit(d).alias("distance")).distinct()
+        front = written(step.join(seen.select("node"), "node", "left_anti"), "hops")
+        seen = seen.unionByName(front)
     return seen.filter("distance > 0")
 
 
-def simple_paths(edges: DataFrame, start: str, end: str, most: int = 3) -> DataFrame:
-    """(path): directed paths without a repeated node, of at most ``most`` edges."""
-    e = edges.select("source", "target").distinct()
-    path = e.filter(F.col("source") == start).select(F.array("source", "target").alias("path"))
-    out = path.filter(F.element_at("path", -1) == end)
+def simple_paths(edges: DataFrame, start: str, end: str | Column, most: int = 3) -> DataFrame:
+    """(path): directed paths without a repeated node, of at most ``most`` edges, to ``end``: a node, or a condition on an edge's target."""
+    e = edges.select("source", "target").distinct().withColumn("ends", F.col("target") == end if isinstance(end, str) else end)
+    path = e.filter(F.col("source") == start).select(F.array("source", "target").alias("path"), "ends")
+    out = path.filter("ends").select("path")
     for _ in range(most - 1):
-        open_ = path.filter(F.element_at("path", -1) != end)
-        path = open_.join(e, F.element_at("path", -1) == F.col("source")).filter(~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"))
-        out = out.unionByName(path.filter(F.element_at("path", -1) == end))
+        path = path.filter(~F.col("ends")).select("path").join(e, F.element_at("path", -1) == F.col("source")).filter(~F.array_contains("path", F.col("target"))).select(F.concat("path", F.array("target")).alias("path"), "ends")
+        out = out.unionByName(path.filter("ends").select("path"))
     return out
 
 

@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import provider as P
 from ..functions.measures import cosine
-from ..functions.text import ngrams, tokens
+from ..functions.text import bound, ngram_hashes, ngrams, tokens
 
 #: Column names that hold the text of a row, the best first.
 TEXT_NAMES = ("reviewText", "text", "review", "content", "description", "body", "comment")
@@ -46,6 +48,9 @@ def all_words(text: Column, words: Sequence[str]) -> Column:
 def semantic_filter(df: DataFrame, column: str, condition: str, provider: P.Provider | None = None, votes: int = 1) -> DataFrame:
     """Rows of which the provider says, in more than half of its votes, that the condition holds."""
     provider = provider or P.OfflineProvider()
+    native = P.as_column(provider, F.col(column), condition)
+    if native is not None:  # all votes of a column are one vote
+        return df.filter(native)
     if votes == 1:
         return df.filter(P.holds(provider, F.col(column), condition))
     marks = [P.holds(provider, F.col(column), condition).cast("int") for _ in range(votes)]
@@ -97,20 +102,76 @@ def text_search(df: DataFrame, column: str, question: str, k: int | None = None,
     return out.orderBy(F.desc("relevance"), *([tie] if tie else [])).limit(k) if k is not None else out
 
 
-def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vec: str, threshold: float, same: bool = False, miss: float = 1e-4, bits: int = 6) -> DataFrame:
+#: Vectors in a block, and the bytes of blocks that are sent to all tasks at most.
+BLOCK_ROWS, MOST_BROADCAST = 2048, 64 << 20
+
+
+def _blocks(df: DataFrame, id_col: str, vec: str, n: int) -> DataFrame:
+    """(block, dim, ids, vecs): vectors in blocks of about ``BLOCK_ROWS``."""
+    many = max(1, math.ceil(n / BLOCK_ROWS))
+    rows = df.filter(F.col(vec).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(many)).cast("int").alias("block"), F.size("v").alias("dim")).agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return packed.select("block", "dim", F.col("r.id").alias("ids"), F.col("r.v").alias("vecs"))
+
+
+def _met(left: DataFrame, right: DataFrame, right_rows: int, dim: int, same: bool = False) -> DataFrame:
+    """Each pair of blocks with one dimension once: by an equality join, in which small right sides, by their size, are broadcast."""
+    many = max(1, math.ceil(right_rows / BLOCK_ROWS))
+    left.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    to = F.explode(F.sequence(F.col("block") if same else F.lit(0), F.lit(many - 1)))
+    a = left.select("block", "dim", F.col("ids").alias("ids_a"), F.col("vecs").alias("vecs_a"), to.alias("to"))
+    b = right.select(F.col("block").alias("to"), "dim", F.col("ids").alias("ids_b"), F.col("vecs").alias("vecs_b"))
+    small = right_rows * max(1, dim) * 8 <= MOST_BROADCAST
+    return a.join(F.broadcast(b) if small else b, ["to", "dim"]).select((F.col("block") == F.col("to")).alias("own"), "ids_a", "vecs_a", "ids_b", "vecs_b")
+
+
+def _unit(values: pa.ListScalar) -> np.ndarray:
+    """Vectors of length 1; without a length, or with nulls, not numbers."""
+    x = values.values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+    with np.errstate(all="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _dim(df: DataFrame, vec: str) -> int:
+    first = df.select(F.size(vec)).filter(F.col(vec).isNotNull()).first()
+    return first[0] if first else 1
+
+
+def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vec: str, threshold: float, same: bool = False, miss: float = 0.0) -> DataFrame:
     """(left_id, right_id, similarity) of pairs with at least that cosine; for ``same`` tables each pair once.
 
-    Signs of random projections make keys, in so many tables that a pair at the threshold meets in none of
-    them with a probability of ``miss``; only pairs that meet are compared, exactly. ``miss=0`` compares all pairs.
+    All pairs are compared, as products of blocks of vectors; only pairs that reach the threshold leave a task. With ``miss`` above 0 signs of random projections make
+    keys instead, in so many tables that a pair at the threshold meets in none of them with that probability; the number of signs follows the
+    rows, and where keys would make no fewer pairs than there are, blocks are compared after all.
     """
-    first = left.select(vec).filter(F.col(vec).isNotNull()).first()
-    dim = len(first[0]) if first else 1
+    n, m, dim = left.count(), right.count(), _dim(left, vec)
     if miss:
         angle = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-        tables = max(1, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - (1 - angle) ** bits))))
-        keys = projection_keys(dim, tables, bits)
-    else:
-        keys = lambda v: F.array(F.lit(0).cast("long"))
+        needed = lambda bits: max(1, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - (1 - angle) ** bits)))) if angle < 1 else 1 << 40
+        tables, bits = min(((needed(b), b) for b in range(2, 24) if needed(b) <= 256), key=lambda x: x[0] / 2.0 ** x[1], default=(1, 0))
+        if tables < 2 ** (bits - 2):
+            return _keyed_join(left, right, left_id, right_id, vec, threshold, same, projection_keys(dim, tables, bits))
+    kinds = [dict(d.dtypes)[i] for d, i in ((left, left_id), (right, right_id))]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own, ia, va, ib, vb in zip(*(batch.column(c) for c in ("own", "ids_a", "vecs_a", "ids_b", "vecs_b"))):
+                s = _unit(va) @ _unit(vb).T
+                r, c = np.nonzero(s >= threshold)
+                a, b, s = ia.values.take(pa.array(r)), ib.values.take(pa.array(c)), s[r, c]
+                if same:
+                    low, first = pc.less(a, b), pc.min_element_wise(a, b)
+                    a, b = first, pc.max_element_wise(a, b)
+                    keep = low if own.as_py() else pc.not_equal(a, b)
+                    a, b, s = a.filter(keep), b.filter(keep), s[keep.to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(s)], ["left_id", "right_id", "similarity"])
+
+    blocks = _blocks(left, left_id, vec, n)
+    met = _met(blocks, blocks if same else _blocks(right, right_id, vec, m), n if same else m, dim, same)
+    return met.mapInArrow(compare, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double")
+
+
+def _keyed_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, vec: str, threshold: float, same: bool, keys) -> DataFrame:
     a, b = (d.select(F.col(i).alias("id"), F.explode(keys(F.col(vec))).alias("key")) for d, i in ((left, left_id), (right, right_id)))
     met = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & ((F.col("a.id") < F.col("b.id")) if same else F.lit(True)))
     pairs = met.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()  # ids only; vectors come once a pair
@@ -134,17 +195,47 @@ def projection_keys(dim: int, tables: int, bits: int, seed: int = 7):
 
 
 def nearest(df: DataFrame, id_col: str, vec: str, k: int, queries: Column) -> DataFrame:
-    """(query_id, rank, id): the k rows most similar to each row of ``queries``, exactly. The stated set of queries is broadcast if small, else joined in blocks by Spark."""
-    q = df.filter(queries).select(F.col(id_col).alias("query_id"), F.col(vec).alias("q_"))
-    met = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v_")).join(q, F.col("id") != F.col("query_id"))
-    scored = met.withColumn("s_", cosine(F.col("v_"), F.col("q_")))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s_"), "id"))).filter(F.col("rank") <= k).select("query_id", "rank", "id")
+    """(query_id, rank, id): the k rows most similar to each row of ``queries``, exactly, ties (to twelve places) to the smaller id.
+
+    Blocks of rows meet blocks of queries; k rows of a block for each query leave a task.
+    """
+    asked = df.filter(queries)
+    n, m, kind = df.count(), asked.count(), dict(df.dtypes)[id_col]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ia, va, ib, vb in zip(*(batch.column(c) for c in ("ids_a", "vecs_a", "ids_b", "vecs_b"))):
+                ids, asks = ia.values.to_numpy(zero_copy_only=False), ib.values.to_numpy(zero_copy_only=False)
+                s = np.nan_to_num(np.round(_unit(vb) @ _unit(va).T, 12), nan=-2.0)
+                by_id = np.argsort(ids, kind="stable")
+                s, ids = s[:, by_id], ids[by_id]
+                s[asks[:, None] == ids[None, :]] = -3.0
+                # stable, so that equal ones stay in the order of ids
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(asks)), top.shape[1]), top.ravel()
+                ok = s[r, c] > -3.0
+                r, c = r[ok], c[ok]
+                yield pa.RecordBatch.from_arrays([ib.values.take(pa.array(r)), ia.values.take(pa.array(by_id[c])), pa.array(s[r, c])], ["query_id", "id", "s_"])
+
+    met = _met(_blocks(df, id_col, vec, n), _blocks(asked, id_col, vec, m), m, _dim(df, vec))
+    found = met.mapInArrow(best, f"query_id {kind}, id {kind}, s_ double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s_"), "id"))).filter(F.col("rank") <= k).select("query_id", "rank", "id")
 
 
 def shared_shingles(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str, words: int = 8) -> DataFrame:
-    """(left_id, right_id, shared): how many different runs of words two texts share, for pairs that share one."""
-    parts = [d.select(F.col(i).alias(n), F.explode(F.array_distinct(ngrams(tokens(F.col(t)), words))).alias("run")) for d, i, t, n in ((left, left_id, left_text, "left_id"), (right, right_id, right_text, "right_id"))]
-    return parts[0].join(parts[1], "run").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    """(left_id, right_id, shared): how many different runs of words two texts share, for pairs that share one.
+
+    Texts meet by the hashes of their runs; hashes of a small side, by their number, are broadcast, so that the other isn't shuffled. What meets
+    is compared by the runs themselves. A row's id stands for its text: rows with one id and one text are one.
+    """
+    hashes = [d.select(F.col(i).alias(n), F.explode(F.array_distinct(ngram_hashes(tokens(F.col(t)), words))).alias("run")) for d, i, t, n in ((left, left_id, left_text, "left_id"), (right, right_id, right_text, "right_id"))]
+    total = right.agg(F.sum(F.length(right_text))).first()[0] or 0  # about six signs a word, sixteen bytes a run
+    met = hashes[0].join(F.broadcast(hashes[1]) if total * 16 / 6 <= MOST_BROADCAST else hashes[1], "run").select("left_id", "right_id").distinct()
+    runs = lambda d, i, t, n: d.select(F.col(i).alias(f"{n}_id"), tokens(F.col(t)).alias(f"{n}_w"))
+    both = met.join(runs(left, left_id, left_text, "left"), "left_id").join(runs(right, right_id, right_text, "right"), "right_id")
+    pairs = both.groupBy("left_id", "right_id").agg(F.collect_set("left_w").alias("l"), F.collect_set("right_w").alias("r"))
+    all_runs = lambda c: F.flatten(F.transform(c, lambda w: ngrams(w, words)))
+    return pairs.select("left_id", "right_id", F.size(F.array_intersect(all_runs("l"), all_runs("r"))).cast("long").alias("shared")).filter("shared > 0")
 
 
 def sentiment_pairs(df: DataFrame, group: str, order: str, label: str, same: bool = True) -> DataFrame:
@@ -184,6 +275,13 @@ def entities(df: DataFrame, id_col: str, text: str, kinds: Sequence[str] = tuple
 
 
 def key_phrases(df: DataFrame, id_col: str, text: str, k: int = 3, n: int = 2) -> DataFrame:
-    """(id, phrase, n, rank): each text's most frequent runs of ``n`` words, ties to the smaller phrase."""
-    runs = df.select(F.col(id_col).alias("id"), F.explode(ngrams(tokens(F.col(text)), n)).alias("phrase")).groupBy("id", "phrase").agg(F.count("*").alias("n"))
-    return runs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "phrase"))).filter(F.col("rank") <= k)
+    """(id, phrase, n, rank): each row's most frequent runs of ``n`` words, ties to the smaller phrase. Counted inside the row; nothing is shuffled."""
+
+    def counted(runs: Column) -> Column:
+        # equal runs lie together; each begins where its predecessor differs
+        begins = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: (i == 0) | (F.get(runs, i) != F.get(runs, i - 1)))
+        sizes = lambda at: F.transform(at, lambda b, j: F.struct((b - F.coalesce(F.get(at, j + 1), F.size(runs))).alias("less"), F.get(runs, b).alias("phrase")))
+        return F.when(F.size(runs) > 0, F.slice(F.array_sort(bound(begins, sizes)), 1, k)).otherwise(F.array().cast("array<struct<less:int,phrase:string>>"))
+
+    top = bound(F.array_sort(ngrams(tokens(F.col(text)), n)), counted)
+    return df.select(F.col(id_col).alias("id"), F.posexplode(top).alias("p_", "x_")).select("id", F.col("x_.phrase").alias("phrase"), (-F.col("x_.less")).cast("long").alias("n"), (F.col("p_") + 1).alias("rank"))

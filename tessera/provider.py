@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions.text import bound
+
 
 class Provider(Protocol):
     def holds(self, texts: Sequence[str], condition: str) -> list[bool | None]: ...
@@ -45,6 +47,12 @@ class OfflineProvider:
         wanted = {w for w in words(condition) if w not in PLAIN}
         return [None if t is None else bool(wanted) and wanted <= set(words(t)) for t in texts]
 
+    def column(self, text: Column, condition: str) -> Column | None:
+        """The same as an expression."""
+        wanted = sorted({w for w in words(condition) if w not in PLAIN})
+        have = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+        return bound(have, lambda ws: F.forall(F.array(*map(F.lit, wanted)), lambda w: F.array_contains(ws, w))) if wanted else F.when(text.isNotNull(), F.lit(False))
+
     def label(self, texts: Sequence[str], labels: Sequence[str]) -> list[str | None]:
         """The label that occurs most, the first of equals; for positive, negative, neutral by praise and blame; None without any."""
         out: list[str | None] = []
@@ -74,6 +82,8 @@ class OfflineProvider:
 class CallableProvider(OfflineProvider):
     """A function from prompt to text as provider; each text is asked for alone and whole, a failure is None."""
 
+    column = None  # a model's answer is no expression
+
     def __init__(self, ask: Callable[[str], str], tries: int = 3):
         self.ask, self.tries = ask, tries
 
@@ -105,6 +115,12 @@ class CallableProvider(OfflineProvider):
         return self._each(texts, lambda t: f"How relevant is this to: {question}? Answer with a number from 0 to 1.\n{t}", lambda a: float(re.search(r"\d*\.?\d+", a)[0]))
 
 
+def as_column(provider: Provider, text: Column, condition: str) -> Column | None:
+    """The answer as an expression, where a provider has one for the condition (``column``); no row goes to Python then."""
+    make = getattr(provider, "column", None)
+    return make(text, condition) if make else None
+
+
 def holds(provider: Provider, text: Column, condition: str) -> Column:
     @F.pandas_udf("boolean")
     def run(s: pd.Series) -> pd.Series:

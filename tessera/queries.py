@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +39,7 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-scratch"
-    return f"{base}/{uuid.uuid4().hex}"
+    return S.work_path(spark, "query")
 
 
 LINKS = [
@@ -226,7 +224,7 @@ def join_modalities(spark, sf):
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id AS left_id, b.vec_id AS right_id FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.45")
 def similarity_join(spark, sf):
     e = t(spark, sf, "embeddings")
-    return O.similarity_join(e, e, "vec_id", "vec_id", "embedding", 0.45, same=True, miss=1e-7, bits=3).select("left_id", "right_id")
+    return O.similarity_join(e, e, "vec_id", "vec_id", "embedding", 0.45, same=True).select("left_id", "right_id")
 
 
 @query("""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), v AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -411,13 +409,11 @@ def top_per_group(spark, sf):
 # -- vectors and text -------------------------------------------------------------------
 
 
-def _query_vector(spark, sf):
-    return t(spark, sf, "embeddings").filter("vec_id = 3").first()["embedding"]
-
-
 @query("WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 3) SELECT vec_id FROM embeddings, q ORDER BY list_cosine_similarity(embedding::DOUBLE[], q.e) DESC, vec_id LIMIT 12")
 def vector_search(spark, sf):
-    return O.vector_search(t(spark, sf, "embeddings"), "embedding", _query_vector(spark, sf), 12, "vec_id").select("vec_id")
+    e = t(spark, sf, "embeddings")
+    asked = e.filter("vec_id = 3").first()["embedding"]  # the question's one vector
+    return O.vector_search(e, "embedding", asked, 12, "vec_id").select("vec_id")
 
 
 @query("WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), r AS (SELECT q.vec_id AS query_id, v.vec_id AS id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) AS INTEGER) AS \"rank\" FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) SELECT query_id, \"rank\", id FROM r WHERE \"rank\" <= 4")
@@ -621,13 +617,7 @@ def graph_hops(spark, sf):
 
 @query(f"WITH {EDGES} SELECT a.source || '>' || a.target || '>' || b.target AS path FROM e a JOIN e b ON a.target = b.source WHERE a.source LIKE 's%' AND a.source = 's1'")
 def graph_paths(spark, sf):
-    e = _edges(spark, sf)
-    ends = [r["target"] for r in e.filter(F.col("target").startswith("r")).select("target").distinct().collect()]  # regions
-    out = None
-    for end in ends:
-        part = G.simple_paths(e, "s1", end).select(F.array_join("path", ">").alias("path"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return G.simple_paths(_edges(spark, sf), "s1", F.col("target").startswith("r"), 2).select(F.array_join("path", ">").alias("path"))
 
 
 @query("SELECT DISTINCT source AS entity_id FROM documents WHERE n_chars % 7 = 1 INTERSECT SELECT source FROM documents WHERE n_chars % 7 = 4")

@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def work_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; unset, an own one where all run on one machine, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = getattr(spark, "_tessera_dir", None)
+        if base is None:
+            base = spark._tessera_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base}/tessera-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = work_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
