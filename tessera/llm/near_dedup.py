@@ -204,27 +204,31 @@ def _added(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
 def _possible(tried: DataFrame, held: DataFrame, sequences: DataFrame, min_similarity: float, s: Scratch) -> DataFrame:
     """Pairs (a, b) of different classes that share a leader and can be similar; ``tried``: leaders (a) and their members (b) as compared."""
     class_of = held.select("node", "class")
-    rows = tried.join(class_of.withColumnRenamed("node", "b"), "b", "left").withColumn("class", F.coalesce("class", "b"))
-    lead = rows.select("a").distinct().join(class_of.withColumnRenamed("node", "a").withColumnRenamed("class", "lead"), "a", "left").withColumn("lead", F.coalesce("lead", "a"))
+    sizes = s.written(tried.groupBy("a").agg(F.count("*").alias("size")), "sizes")
+    # two members of one leader of most members need only be looked at there: what rules them out with one leader rules them out
+    main = s.written(tried.join(sizes, "a").groupBy("b").agg(F.max(F.struct("size", "a"))["a"].alias("main")), "main")
+    rows = s.written(tried.join(class_of.withColumnRenamed("node", "b"), "b", "left").withColumn("class", F.coalesce("class", "b")).join(main, "b"), "rows")
+    lead = sizes.select("a").join(class_of.withColumnRenamed("node", "a").withColumnRenamed("class", "lead"), "a", "left").withColumn("lead", F.coalesce("lead", "a"))
     # leaders whose members are in several classes; its own class counts
-    mixed = rows.groupBy("a").agg(F.min("class").alias("least"), F.max("class").alias("most")).join(lead, "a").filter((F.col("least") < F.col("most")) | (F.col("least") != F.col("lead"))).select("a")
+    spread = s.written(rows.groupBy("a").agg(F.min("class").alias("least"), F.max("class").alias("most")), "spread")
+    mixed = s.written(spread.join(lead, "a").filter((F.col("least") < F.col("most")) | (F.col("least") != F.col("lead"))).select("a"), "mixed")
     ratio = (1 + min_similarity) / min_similarity
     # the most shingles that another can have which shares none with b but those in a
     longest = F.floor(F.col("shared") * ratio - F.col("n_b") + 1e-6)
-    open_ = s.written(rows.join(mixed, "a", "left_semi").select("a", "b", "class", "n_a", "n_b", "similar", longest.alias("longest")), "open")
+    open_ = s.written(rows.join(mixed, "a", "left_semi").select("a", "b", "class", "main", "n_a", "n_b", "similar", longest.alias("longest")), "open")
 
-    posts = s.written(_added(open_.select("a", "b"), sequences), "added").join(open_.select("a", "b", "class"), ["a", "b"])
-    shared = posts.groupBy("a", "shingle").agg(F.min("class").alias("least"), F.max("class").alias("most")).filter("least < most").select("a", "shingle")
+    posts = s.written(_added(open_.select("a", "b"), sequences), "added").join(open_.select("a", "b", "class", "main"), ["a", "b"])
+    shared = posts.groupBy("a", "shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("main").alias("low"), F.max("main").alias("high")).filter("least < most and (low < high or low = a)").select("a", "shingle")
     posts = s.written(posts.join(shared, ["a", "shingle"], "left_semi"), "posts")
-    mates = posts.select("a", "shingle", F.col("b").alias("mate"), F.col("class").alias("mate_class"))
-    meet = posts.join(mates, ["a", "shingle"]).filter("class < mate_class").select("b", "mate")
+    mates = posts.select("a", "shingle", F.col("b").alias("mate"), F.col("class").alias("mate_class"), F.col("main").alias("mate_main"))
+    meet = posts.join(mates, ["a", "shingle"]).filter("class < mate_class and (main <> mate_main or main = a)").select("b", "mate")
 
     # without such a shingle: one of the two is no link of a. Where it shares too little with a, the other is shorter than a; where it shares enough
     # but in another order, so does the other
-    strange = open_.filter("not similar").select("a", "b", "class", "n_b", "longest", (F.col("longest") >= F.col("n_a")).alias("alike"))
+    strange = open_.filter("not similar").select("a", "b", "class", "main", "n_b", "longest", (F.col("longest") >= F.col("n_a")).alias("alike"))
     low, high = open_.filter("n_b < n_a").withColumn("alike", F.lit(False)), open_.filter("longest >= n_a").withColumn("alike", F.lit(True))
-    others = low.unionByName(high).select("a", "alike", F.col("b").alias("mate"), F.col("class").alias("mate_class"), F.col("n_b").alias("mate_n"), F.col("longest").alias("mate_longest"))
-    short = strange.join(others, ["a", "alike"]).filter("class <> mate_class and mate_n <= longest and n_b <= mate_longest").select("b", "mate")
+    others = low.unionByName(high).select("a", "alike", F.col("b").alias("mate"), F.col("class").alias("mate_class"), F.col("main").alias("mate_main"), F.col("n_b").alias("mate_n"), F.col("longest").alias("mate_longest"))
+    short = strange.join(others, ["a", "alike"]).filter("class <> mate_class and mate_n <= longest and n_b <= mate_longest and (main <> mate_main or main = a)").select("b", "mate")
     return meet.unionByName(short).select(F.least("b", "mate").alias("a"), F.greatest("b", "mate").alias("b")).distinct()
 
 
