@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.measures import place_nearness, place_similarity, time_share
-from ..functions.text import normalized
+from ..functions.text import normalized, paragraphs, word_count
 from ..operators.relational import frequent_values
+from ..operators.semantic import ENTITY_RULES, sentiment, top_phrases, topic_words
 from ..sources import written
 
 MENTIONS = "entity_id string, modality_id string, modality_type string, mention_text string, row long, column string, area double, saliency double, confidence double, context string"
@@ -70,6 +72,123 @@ def concepts(tables: Mapping[str, DataFrame], most: int = 6) -> DataFrame:
     return out
 
 
+#: Entity types of what the patterns find.
+RULE_TYPES = {"EMAIL": "OBJECT", "URL": "OBJECT", "MONEY": "QUANTITY", "QUANTITY": "QUANTITY", "DATE": "TIME"}
+#: How sure a pattern in a text is, and a stored value.
+TEXT_CONFIDENCE, VALUE_CONFIDENCE = 0.85, 1.0
+#: Characters of context on either side of a mention.
+CONTEXT = 40
+
+MODALITIES = "modality_id string, modality_type string, source_path string, columns array<string>, n_rows long, key_columns array<string>, words long, n_docs long, n_paragraphs long, top_topics array<string>, sentiment string, start_time timestamp, end_time timestamp, lat double, lon double, locations array<string>"
+ENTITIES = "entity_id string, entity_type string, canonical_name string, modality_id string, modality_type string, column string"
+
+
+def _as(df: DataFrame, ddl: str) -> DataFrame:
+    """The columns of a schema, null where ``df`` lacks them."""
+    fields = T.StructType.fromDDL(ddl).fields
+    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+
+
+def _paragraphs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(words, paragraph): the joined texts of each row by paragraphs; words of the whole text at its first one."""
+    text = F.trim(F.concat_ws(" ", *(F.col(f"`{c}`") for c in columns)))
+    rows = df.select(text.alias("text")).filter("text <> ''")
+    return rows.select(word_count(F.col("text")).alias("all_"), F.posexplode(paragraphs(F.col("text"))).alias("p_", "paragraph")).select(F.when(F.col("p_") == 0, F.col("all_")).otherwise(0).alias("words"), (F.col("p_") == 0).cast("long").alias("docs"), "paragraph")
+
+
+def text_modality(name: str, df: DataFrame, columns: Sequence[str], topics: int = 5) -> DataFrame:
+    """One row of MODALITIES for a table's texts: words, rows with text, paragraphs, the most frequent topics of the paragraphs and their most frequent sentiment. All texts count."""
+    p = _paragraphs(df, columns).withColumn("sentiment", sentiment(F.col("paragraph")))
+    one = p.agg(F.sum("words").alias("words"), F.sum("docs").alias("n_docs"), F.count("*").alias("n_paragraphs"), *(F.sum((F.col("sentiment") == s).cast("long")).alias(s) for s in ("negative", "neutral", "positive")))
+    top = p.select(F.explode(top_phrases(topic_words(F.col("paragraph")), 3, [1, 2])).alias("t")).groupBy(F.col("t.phrase").alias("phrase")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "phrase").limit(topics)
+    top = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "phrase"))).alias("t"))  # ``topics`` rows
+    most = F.greatest("negative", "neutral", "positive")
+    kind = F.when(most == F.col("positive"), "positive").when(most == F.col("neutral"), "neutral").otherwise("negative")
+    return _as(one.crossJoin(top).select(F.lit(f"{name}_text").alias("modality_id"), F.lit("TEXT").alias("modality_type"), F.lit(name).alias("source_path"), F.lit(list(columns)).alias("columns"), F.coalesce("words", F.lit(0)).alias("words"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_paragraphs", F.col("t.phrase").alias("top_topics"), F.when(F.col("n_paragraphs") > 0, kind).alias("sentiment")), MODALITIES)  # two single rows
+
+
+def text_mentions(name: str, df: DataFrame, columns: Sequence[str], kinds: Sequence[str] = tuple(ENTITY_RULES)) -> DataFrame:
+    """MENTIONS of what the patterns find in the paragraphs of a table's texts, with ``entity_type``. An entity is a normal form."""
+    part = F.col("paragraph")
+
+    def of(kind: str) -> Column:
+        found = F.regexp_extract_all(part, F.lit(ENTITY_RULES[kind]), 0)
+        return F.transform(found, lambda e: F.struct(F.lit(RULE_TYPES[kind]).alias("entity_type"), e.alias("mention_text"), F.substr(part, F.greatest(F.lit(1), F.call_function("instr", part, e) - CONTEXT), F.length(e) + 2 * CONTEXT).alias("context")))
+
+    rows = _paragraphs(df, columns).select(F.explode(F.flatten(F.array(*map(of, kinds)))).alias("e")).select("e.*").withColumn("norm", normalized(F.col("mention_text"))).filter("norm <> ''")
+    out = rows.select(F.concat(F.lit(f"{name}:text:"), "norm").alias("entity_id"), F.lit(f"{name}_text").alias("modality_id"), F.lit("TEXT").alias("modality_type"), "mention_text", F.lit(TEXT_CONFIDENCE).alias("confidence"), "context", "entity_type")
+    return _as(out, MENTIONS + ", entity_type string")
+
+
+def value_mentions(name: str, df: DataFrame, representatives: DataFrame, row: str | None = None) -> DataFrame:
+    """MENTIONS of a table's representative values (column, value), one for each row that has one; ``row``: the column that numbers rows."""
+    simple = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.IntegralType, T.BooleanType))]
+    number = F.col(f"`{row}`").cast("long") if row else F.lit(None).cast("long")
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in simple)))
+    rows = df.select(number.alias("row"), cells.alias("c")).select("row", "c.*").join(F.broadcast(representatives.select("column", "value")), ["column", "value"])  # six values of a column at most
+    out = rows.select(F.concat_ws(":", F.lit(name), "column", "value").alias("entity_id"), F.lit(f"{name}_table").alias("modality_id"), F.lit("TABLE").alias("modality_type"), F.col("value").alias("mention_text"), "row", "column", F.lit(VALUE_CONFIDENCE).alias("confidence"), F.col("column").alias("context"), F.lit("CONCEPT").alias("entity_type"))
+    return _as(out, MENTIONS + ", entity_type string")
+
+
+def image_mentions(name: str, detections: DataFrame) -> DataFrame:
+    """MENTIONS of detected objects (label, area, score): an area is a share of the image, saliency four times that, both at most 1."""
+    area = F.least(F.lit(1.0), F.col("area"))
+    rows = detections.withColumn("norm", normalized(F.col("label"))).filter("norm <> ''")
+    out = rows.select(F.concat(F.lit(f"{name}:image:"), "norm").alias("entity_id"), F.lit(f"{name}_image").alias("modality_id"), F.lit("IMAGE").alias("modality_type"), F.col("label").alias("mention_text"), area.alias("area"), F.least(F.lit(1.0), 4 * area).alias("saliency"), F.col("score").alias("confidence"), F.lit("OBJECT").alias("entity_type"))
+    return _as(out, MENTIONS + ", entity_type string")
+
+
+def table_modality(name: str, df: DataFrame) -> DataFrame:
+    """One row of MODALITIES for a table: columns, rows, keys and the range of its times, in one aggregation."""
+    fields = [f for f in df.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
+    times = [f.name for f in fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    keys = [f.name for f in fields if isinstance(f.dataType, (T.IntegralType, T.StringType))]
+    one = df.agg(F.count("*").alias("n_rows"), *(F.struct(F.approx_count_distinct(f"`{c}`", 0.01).alias("d"), F.count(f"`{c}`").alias("n")).alias(f"k{i}") for i, c in enumerate(keys)), *(f(F.col(f"`{c}`").cast("timestamp")).alias(f"{w}{i}") for i, c in enumerate(times) for w, f in (("a", F.min), ("z", F.max))))
+    # a candidate key has about as many values as rows
+    is_key = F.filter(F.array(*(F.when((F.col(f"k{i}.n") == F.col("n_rows")) & (F.col(f"k{i}.d") >= 0.97 * F.col("n_rows")), F.lit(c)) for i, c in enumerate(keys))), lambda c: c.isNotNull()) if keys else F.array().cast("array<string>")
+    ends = [F.least(*x) if len(x) > 1 else x[0] if x else F.lit(None) for x in ([F.col(f"a{i}") for i in range(len(times))],)] + [F.greatest(*x) if len(x) > 1 else x[0] if x else F.lit(None) for x in ([F.col(f"z{i}") for i in range(len(times))],)]
+    return _as(one.select(F.lit(f"{name}_table").alias("modality_id"), F.lit("TABLE").alias("modality_type"), F.lit(name).alias("source_path"), F.lit(df.columns).alias("columns"), "n_rows", is_key.alias("key_columns"), ends[0].alias("start_time"), ends[1].alias("end_time")), MODALITIES)
+
+
+def build(tables: Mapping[str, DataFrame], texts: Mapping[str, Sequence[str]] | None = None, detections: Mapping[str, DataFrame] | None = None, rows: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+    """The graph's tables (modalities, entities, mentions) of a catalog; with ``relations`` of ``build_relations`` they are all four.
+
+    ``texts``: the text columns of tables; ``detections``: objects found in a table's images; ``rows``: the column that numbers a table's rows.
+    Every row counts, none is sampled.
+    """
+    texts, detections, rows = texts or {}, detections or {}, rows or {}
+    modalities, mentions = [], []
+    for name, df in tables.items():
+        structured = df.select(*(f"`{c}`" for c in df.columns if c not in texts.get(name, ())))
+        modalities.append(table_modality(name, df))
+        simple = [f.name for f in structured.schema if isinstance(f.dataType, (T.StringType, T.IntegralType, T.BooleanType))]
+        if simple:
+            mentions.append(value_mentions(name, structured, written(frequent_values(structured, simple), "representatives"), rows.get(name)))
+        if texts.get(name):
+            modalities.append(text_modality(name, df, texts[name]))
+            mentions.append(text_mentions(name, df, texts[name]))
+        if name in detections:
+            modalities.append(_as(df.sparkSession.createDataFrame([(f"{name}_image", "IMAGE", name)], "modality_id string, modality_type string, source_path string"), MODALITIES))
+            mentions.append(image_mentions(name, detections[name]))
+    union = lambda parts: reduce(lambda x, y: x.unionByName(y), parts)
+    found = written(union(mentions), "mentions")
+    one = found.groupBy("entity_id").agg(F.min("entity_type").alias("entity_type"), F.min("mention_text").alias("canonical_name"), F.min("modality_id").alias("modality_id"), F.min("modality_type").alias("modality_type"), F.min("column").alias("column"))
+    return {"modalities": written(union(modalities), "modalities"), "entities": _as(one, ENTITIES), "mentions": found.drop("entity_type")}
+
+
+RELATIONS = "relation_id string, relation_type string, source string, target string, confidence double, weight double"
+
+
+def build_relations(graph: Mapping[str, DataFrame], least: float = 0.3, least_jw: float = 0.1, most: int | None = None) -> DataFrame:
+    """RELATIONS of a graph: modalities that overlap in time or lie near each other, entities that occur together."""
+    m = graph["modalities"]
+    between = temporal_relations(m, least).withColumn("relation_type", F.lit("temporal_overlap")).unionByName(spatial_relations(m, least).withColumn("relation_type", F.lit("spatial_proximity")))
+    f = written(frequencies(graph["mentions"], m.select("modality_id", "words", "n_rows", "key_columns")), "frequencies")
+    typed = relation_types(cooccurrence(f, least_jw), most=most)
+    rows = between.select("relation_type", "source", "target", F.col("score").alias("confidence"), F.col("score").alias("weight")).unionByName(typed.select("relation_type", F.col("a").alias("source"), F.col("b").alias("target"), "confidence", "weight"))
+    return _as(rows.withColumn("relation_id", F.concat_ws("|", "relation_type", "source", "target")), RELATIONS)
+
+
 def merge_entities(entities: DataFrame) -> DataFrame:
     """(norm, entity_id, members, modality_types): entities with one normal name in at least two kinds of modality; the smallest id stands for all."""
     e = entities.withColumn("norm", normalized(F.col("canonical_name"))).filter("norm <> ''")

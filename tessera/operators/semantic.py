@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 from .. import provider as P
 from ..functions.measures import cosine
 from ..functions.text import bound, ngram_hashes, ngrams, tokens
+from ..sources import written
 
 #: Column names that hold the text of a row, the best first.
 TEXT_NAMES = ("reviewText", "text", "review", "content", "description", "body", "comment")
@@ -63,12 +65,74 @@ def labelled(df: DataFrame, column: str, labels: Sequence[str], name: str = "cat
     return out if keep_unknown else out.filter(F.col(name).isNotNull())
 
 
+def compound(text: Column) -> Column:
+    """How positive a text is, from -1 to 1: s / sqrt(s * s + 15) of the words of praise less those of blame."""
+    value = F.create_map(*(F.lit(x) for w in P.PRAISE for x in (w, 1)), *(F.lit(x) for w in P.BLAME for x in (w, -1)))
+    s = F.aggregate(tokens(text), F.lit(0), lambda a, w: a + F.coalesce(value[w], F.lit(0)))
+    return bound(s, lambda v: v / F.sqrt(v * v + F.lit(15.0)))
+
+
 def sentiment(text: Column) -> Column:
-    """positive, negative or neutral by words of praise and blame."""
-    ws = tokens(text)
-    count = lambda words: F.size(F.filter(ws, lambda w: w.isin(*words)))
-    s = count(P.PRAISE) - count(P.BLAME)
-    return F.when(text.isNull(), None).when(s > 0, "positive").when(s < 0, "negative").otherwise("neutral")
+    """positive from a compound score of 0.05 on, negative down from -0.05, else neutral."""
+    return bound(compound(text), lambda s: F.when(s >= 0.05, "positive").when(s <= -0.05, "negative").when(s.isNotNull(), "neutral"))
+
+
+#: Rows of one call of a provider that aggregates, and partial results of one call that unites them.
+ROWS_A_CALL, PARTS_A_CALL = 200, 50
+
+
+def model_aggregate(df: DataFrame, question: str, provider: P.Provider, plain: DataFrame) -> DataFrame:
+    """A table that a provider makes of all rows; ``plain`` where a call fails or gives no JSON array of objects.
+
+    Each call sees ``ROWS_A_CALL`` rows and answers with an array of partial results; up to ``PARTS_A_CALL`` of these are united by a call,
+    and so on in rounds until there is one. Rows leave their task as partial results only. Columns are strings, numbers or booleans as in the answer.
+    """
+    spark = df.sparkSession
+    json_rows = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("row"))
+
+    def ask(what: str, size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[str] = []
+
+            def call() -> pa.RecordBatch:
+                try:
+                    got = P.read_json(provider.complete(f"{what}\nQuestion: {question}\nAnswer with a JSON array of objects only.\n[{','.join(held)}]"))
+                    got = json.dumps(got) if isinstance(got, list) and all(isinstance(x, dict) for x in got) else None
+                except Exception:  # noqa: BLE001  a call that fails makes the whole result the plain one
+                    got = None
+                held.clear()
+                return pa.RecordBatch.from_arrays([pa.array([got], pa.string())], ["row"])
+
+            for batch in batches:
+                for row in batch.column("row").to_pylist():
+                    held.append(row)
+                    if len(held) == size:
+                        yield call()
+            if held:
+                yield call()
+
+        return run
+
+    parts = written(json_rows.mapInArrow(ask("Aggregate these rows so that parts can be united.", ROWS_A_CALL), "row string"), "parts")
+    while True:
+        state = parts.agg(F.count("*").alias("n"), F.sum(F.col("row").isNull().cast("int")).alias("bad")).first()
+        if not state["n"] or state["bad"]:
+            return plain
+        if state["n"] == 1:
+            break
+        parts = written(parts.repartition(max(1, state["n"] // PARTS_A_CALL)).mapInArrow(ask("Unite these partial results of one aggregation.", PARTS_A_CALL), "row string"), "parts")
+    rows = json.loads(parts.first()["row"])
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    if not names:
+        return plain
+
+    def kind(name: str) -> str:
+        seen = {type(r[name]) for r in rows if r.get(name) is not None}
+        return "boolean" if seen == {bool} else "long" if seen == {int} else "double" if seen and seen <= {int, float} else "string"
+
+    kinds = {n: kind(n) for n in names}
+    make = {"boolean": bool, "long": int, "double": float, "string": lambda v: v if isinstance(v, str) else json.dumps(v)}
+    return spark.createDataFrame([tuple(None if r.get(n) is None else make[kinds[n]](r[n]) for n in names) for r in rows], ", ".join(f"`{n}` {kinds[n]}" for n in names))
 
 
 def rated(df: DataFrame, column: str, question: str, name: str = "score", provider: P.Provider | None = None) -> DataFrame:
@@ -274,8 +338,8 @@ def entities(df: DataFrame, id_col: str, text: str, kinds: Sequence[str] = tuple
     return df.select(F.col(id_col).alias("id"), F.explode(found).alias("e")).groupBy("id", "e.kind", "e.entity").agg(F.count("*").alias("n"))
 
 
-def key_phrases(df: DataFrame, id_col: str, text: str, k: int = 3, n: int = 2) -> DataFrame:
-    """(id, phrase, n, rank): each row's most frequent runs of ``n`` words, ties to the smaller phrase. Counted inside the row; nothing is shuffled."""
+def top_phrases(words: Column, k: int, sizes: Sequence[int]) -> Column:
+    """(less, phrase): the ``k`` most frequent runs of so many words, ``less`` minus their number, ties to the smaller phrase."""
 
     def counted(runs: Column) -> Column:
         # equal runs lie together; each begins where its predecessor differs
@@ -283,5 +347,22 @@ def key_phrases(df: DataFrame, id_col: str, text: str, k: int = 3, n: int = 2) -
         sizes = lambda at: F.transform(at, lambda b, j: F.struct((b - F.coalesce(F.get(at, j + 1), F.size(runs))).alias("less"), F.get(runs, b).alias("phrase")))
         return F.when(F.size(runs) > 0, F.slice(F.array_sort(bound(begins, sizes)), 1, k)).otherwise(F.array().cast("array<struct<less:int,phrase:string>>"))
 
-    top = bound(F.array_sort(ngrams(tokens(F.col(text)), n)), counted)
+    return bound(words, lambda ws: bound(F.array_sort(F.concat(*(ngrams(ws, n) for n in sizes))), counted))
+
+
+def key_phrases(df: DataFrame, id_col: str, text: str, k: int = 3, n: int = 2) -> DataFrame:
+    """(id, phrase, n, rank): each row's most frequent runs of ``n`` words. Counted inside the row; nothing is shuffled."""
+    top = top_phrases(tokens(F.col(text)), k, [n])
     return df.select(F.col(id_col).alias("id"), F.posexplode(top).alias("p_", "x_")).select("id", F.col("x_.phrase").alias("phrase"), (-F.col("x_.less")).cast("long").alias("n"), (F.col("p_") + 1).alias("rank"))
+
+
+def topic_words(text: Column) -> Column:
+    """Words that say something: not those of ``provider.PLAIN``."""
+    return F.filter(tokens(text), lambda w: ~w.isin(*sorted(P.PLAIN)))
+
+
+def topics(df: DataFrame, id_col: str, text: str, k: int = 3) -> DataFrame:
+    """(id, topic, score, rank): each row's most frequent words and pairs of words, without those that say nothing, and their share of the row's words."""
+    both = df.select(F.col(id_col).alias("id"), topic_words(F.col(text)).alias("w_"))
+    out = both.select("id", F.size("w_").alias("all_"), F.posexplode(top_phrases(F.col("w_"), k, [1, 2])).alias("p_", "x_"))
+    return out.select("id", F.col("x_.phrase").alias("topic"), F.round(-F.col("x_.less") / F.col("all_"), 4).alias("score"), (F.col("p_") + 1).alias("rank"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as O
 from ..provider import OfflineProvider, Provider
-from ..sources import Catalog
+from ..sources import Catalog, work_path, write
 from .physical import JOIN_HINTS
 from .tree import PlanNode
 
@@ -24,6 +24,8 @@ class Run:
     choice: Mapping[str, str] = field(default_factory=dict)
     observe: bool = False
     observations: list[tuple[PlanNode, Observation]] = field(default_factory=list)
+    #: Of each EXPORT, where it was written, and its manifest.
+    exports: list[tuple[str, DataFrame]] = field(default_factory=list)
 
 
 def _vector(df: DataFrame) -> str | None:
@@ -76,19 +78,49 @@ def _similar(node: PlanNode, ins: list[DataFrame], run: Run) -> DataFrame:
     return O.similarity_join(a, b, _id(a), _id(b), v, node.params.get("threshold", 0.9), same=node.children[0] == node.children[1])
 
 
+def _scan(node: PlanNode, ins: list[DataFrame], run: Run) -> DataFrame:
+    """The table; where the question quotes one of its ids, that entity's rows."""
+    df = run.catalog[node.params["table"]]
+    quoted = node.params.get("entities")
+    if not quoted or "id" not in df.columns:
+        return df
+    key = F.col("id").cast("string")
+    known = {r[0] for r in df.filter(key.isin(*quoted)).select(key.alias("id")).distinct().collect()}  # no more than are quoted
+    named = next((q for q in quoted if q in known), None)
+    return df if named is None else df.filter(key == named)
+
+
+def _aggregate(node: PlanNode, ins: list[DataFrame], run: Run) -> DataFrame:
+    measures = node.params.get("measures", (("count", None),))
+    plain = O.aggregate(ins[0], measures, node.params.get("by", ()))
+    if node.params.get("question") and type(run.provider) is not OfflineProvider:
+        return O.model_aggregate(ins[0], node.params["question"], run.provider, plain)
+    return plain
+
+
+def _export(node: PlanNode, ins: list[DataFrame], run: Run) -> DataFrame:
+    """Written where the plan says, or to the shared folder; the result is what was written."""
+    kind = node.params.get("format") or {"CSV_EXPORT": "csv", "JSON_EXPORT": "json"}[run.choice.get(node.op, "CSV_EXPORT")]
+    df = ins[0]
+    path = node.params.get("path") or work_path(df.sparkSession, "export")
+    write(df, path, kind)
+    run.exports.append((path, O.manifest(df, kind)))
+    return df
+
+
 def _distinct(node: PlanNode, ins: list[DataFrame], run: Run) -> DataFrame:
     return O.distinct(O.project(ins[0], node.params.get("columns")))
 
 
 COMPILERS: dict[str, Callable[[PlanNode, list[DataFrame], Run], DataFrame]] = {
-    "SCAN": lambda n, _, r: r.catalog[n.params["table"]],
+    "SCAN": _scan,
     "FILTER": _filter,
     "PROJECT": lambda n, i, _: O.project(i[0], n.params.get("columns")),
-    "AGGREGATE": lambda n, i, _: O.aggregate(i[0], n.params.get("measures", (("count", None),)), n.params.get("by", ())),
+    "AGGREGATE": _aggregate,
     "SORT": lambda n, i, _: O.order(i[0], n.params["keys"], [c for c, t in i[0].dtypes if not t.startswith(("map", "variant")) and c not in [k for k, _ in n.params["keys"]]][:1]),
     "LIMIT": lambda n, i, _: i[0].limit(n.params.get("n", 5)),
     "DISTINCT": _distinct,
-    "JOIN": lambda n, i, r: O.join(i[0], i[1], n.params.get("keys"), JOIN_HINTS.get(n.params.get("impl") or "")),
+    "JOIN": lambda n, i, r: O.join(i[0], i[1], n.params.get("keys"), JOIN_HINTS.get(n.params.get("impl") or r.choice.get(n.op, ""))),
     "UNION": lambda n, i, _: O.union(*i),
     "SEMANTIC_SEARCH": _search,
     "CROSS_MODAL_MATCH": _match,
@@ -96,7 +128,7 @@ COMPILERS: dict[str, Callable[[PlanNode, list[DataFrame], Run], DataFrame]] = {
     "SIMILARITY_JOIN": _similar,
     "FEATURE_TRANSFORM": lambda n, i, _: O.normalize(i[0], n.params.get("columns")),
     "VISUALIZE": lambda n, i, _: O.column_stats(i[0], n.params.get("columns")),
-    "EXPORT": lambda n, i, _: i[0],
+    "EXPORT": _export,
 }
 
 

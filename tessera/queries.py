@@ -650,3 +650,98 @@ def history_calibration(spark, sf):
     h = t(spark, sf, "events").select(F.col("event_type").alias("operator_type"), F.lit(40).alias("estimated_cardinality"), F.floor("value").cast("int").alias("actual_cardinality"), F.lit(True).alias("success"), F.col("event_id").alias("seq"))
     priors = h.select("operator_type").distinct().withColumn("prior", F.lit(0.9))
     return calibrated_confidence(h, priors).withColumn("confidence", F.round("confidence", 9))
+
+
+# -- building the graph ---------------------------------------------------------------------
+
+PRAISED = "('good','great','excellent','love','best','happy','positive','wonderful','enjoy')"
+BLAMED = "('bad','terrible','awful','hate','worst','sad','negative','poor','stupid','loser','pathetic','scum')"
+PARAGRAPHS = "SELECT doc_id, unnest(list_filter(list_transform(string_split(trim(text, ' '), chr(10)), lambda p: trim(p, ' ')), lambda p: p <> '')) AS p FROM documents WHERE trim(text, ' ') <> ''"
+
+
+@query(f"""WITH p AS ({PARAGRAPHS}), w AS (SELECT regexp_split_to_array(lower(p), '[^\\p{{L}}\\p{{N}}]+') AS w FROM p), s AS (SELECT len(list_filter(w, lambda x: x IN {PRAISED})) - len(list_filter(w, lambda x: x IN {BLAMED})) AS s FROM w),
+c AS (SELECT sum((s > 0)::INT) AS pos, sum((s = 0)::INT) AS neu, sum((s < 0)::INT) AS neg, count(*) AS n FROM s)
+SELECT (SELECT sum(len(regexp_split_to_array(trim(text, ' '), '\\s+'))) FROM documents WHERE trim(text, ' ') <> '')::BIGINT AS words, (SELECT count(*) FROM documents WHERE trim(text, ' ') <> '') AS n_docs, n AS n_paragraphs, CASE WHEN pos >= neu AND pos >= neg THEN 'positive' WHEN neu >= neg THEN 'neutral' ELSE 'negative' END AS sentiment FROM c""")
+def text_modality(spark, sf):
+    return G.text_modality("documents", t(spark, sf, "documents"), ["text"]).select("words", "n_docs", "n_paragraphs", "sentiment")
+
+
+@query(f"""WITH p AS ({PARAGRAPHS}), e AS (SELECT 'OBJECT' AS entity_type, unnest(regexp_extract_all(p, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+')) AS e FROM p UNION ALL SELECT 'TIME', unnest(regexp_extract_all(p, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) FROM p UNION ALL SELECT 'QUANTITY', unnest(regexp_extract_all(p, '[0-9]+(?:\\.[0-9]+)?')) FROM p)
+SELECT 'documents:text:' || norm AS entity_id, entity_type, count(*) AS n, min(e) AS canonical_name FROM (SELECT *, regexp_replace(lower(e), '[^a-z0-9]', '', 'g') AS norm FROM e) WHERE norm <> '' GROUP BY 1, 2""")
+def text_mentions(spark, sf):
+    m = G.text_mentions("documents", t(spark, sf, "documents"), ["text"], ["EMAIL", "DATE", "QUANTITY"])
+    return m.groupBy("entity_id", "entity_type").agg(F.count("*").alias("n"), F.min("mention_text").alias("canonical_name"))
+
+
+def _built(spark, sf):
+    return G.build({"orders": t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate"), "events": t(spark, sf, "events").select("event_id", "event_type", "ts"), "documents": t(spark, sf, "documents").select("doc_id", "lang", "text")}, texts={"documents": ["text"]}, rows={"orders": "o_orderkey", "events": "event_id", "documents": "doc_id"})
+
+
+VALUE_MENTIONS = " UNION ALL ".join(f"SELECT '{t_}:{c}:' || {c} AS entity_id, '{t_}_table' AS modality_id, {k} AS r FROM {t_} WHERE {c} IS NOT NULL" for t_, c, k in (("orders", "o_orderstatus", "o_orderkey"), ("orders", "o_orderpriority", "o_orderkey"), ("events", "event_type", "event_id"), ("documents", "lang", "doc_id")))
+
+
+@query(f"SELECT entity_id, modality_id, count(*) AS n, count(DISTINCT r) AS rows FROM ({VALUE_MENTIONS}) GROUP BY 1, 2")
+def graph_mentions(spark, sf):
+    m = _built(spark, sf)["mentions"].filter("modality_type = 'TABLE'")
+    return m.groupBy("entity_id", "modality_id").agg(F.count("*").alias("n"), F.count_distinct("row").alias("rows"))
+
+
+@query("SELECT 'orders_table' AS modality_id, count(*) AS n_rows, 'o_orderkey' AS key_columns, min(o_orderdate) AS start_time, max(o_orderdate) AS end_time FROM orders UNION ALL SELECT 'events_table', count(*), 'event_id', min(ts), max(ts) FROM events UNION ALL SELECT 'documents_table', count(*), 'doc_id', NULL, NULL FROM documents")
+def graph_modalities(spark, sf):
+    m = _built(spark, sf)["modalities"].filter("modality_type = 'TABLE'")
+    return m.select("modality_id", "n_rows", F.array_join(F.filter("key_columns", lambda c: c != "text"), ",").alias("key_columns"), "start_time", "end_time")
+
+
+@query(f"""WITH v AS ({VALUE_MENTIONS}), n AS (SELECT 'orders_table' AS m, count(*) AS r FROM orders UNION ALL SELECT 'events_table', count(*) FROM events UNION ALL SELECT 'documents_table', count(*) FROM documents),
+f AS (SELECT entity_id, modality_id, least(1.0, 0.6 * (count(DISTINCT v.r) / max(n.r)::DOUBLE) + 0.4 * 0.5)::DOUBLE AS f FROM v JOIN n ON n.m = modality_id GROUP BY 1, 2), s AS (SELECT entity_id, sum(f) AS t FROM f GROUP BY 1),
+j AS (SELECT a.entity_id AS a, b.entity_id AS b, sum(sqrt(a.f * b.f)) / (max(x.t) + max(y.t) - sum(least(a.f, b.f))) AS jw FROM f a JOIN f b ON a.modality_id = b.modality_id AND a.entity_id < b.entity_id JOIN s x ON x.entity_id = a.entity_id JOIN s y ON y.entity_id = b.entity_id GROUP BY 1, 2)
+SELECT 'associated_with' AS relation_type, a AS source, b AS target, round(least(1.0, jw), 6) AS confidence FROM j WHERE least(1.0, jw) >= 0.5""")
+def graph_relations(spark, sf):
+    g = _built(spark, sf)
+    g["mentions"] = g["mentions"].filter("modality_type = 'TABLE'")
+    return G.build_relations(g).filter("relation_type = 'associated_with'").select("relation_type", "source", "target", F.round("confidence", 6).alias("confidence"))
+
+
+# -- more measures -------------------------------------------------------------------------
+
+
+@query("SELECT round(2 / 3.0::DOUBLE, 9) AS column_validity, round((SELECT count(*) FROM (VALUES ('FRANCE'), ('germany'), ('land'), ('nowhere')) v(x) WHERE lower(x) IN (SELECT lower(n_name) FROM nation)) / 4.0::DOUBLE, 9) AS value_exact, round((SELECT count(*) FROM (VALUES ('france'), ('germany'), ('land'), ('nowhere')) v(x) WHERE EXISTS (SELECT 1 FROM nation WHERE contains(lower(n_name), x))) / 4.0::DOUBLE, 9) AS value_partial")
+def plan_grounding(spark, sf):
+    columns = spark.createDataFrame([("n_name",), ("N_REGIONKEY",), ("absent",)], "column string")
+    literals = spark.createDataFrame([("FRANCE",), ("germany",), ("land",), ("nowhere",)], "value string")
+    n = t(spark, sf, "nation")
+    got = M.grounding_score(columns, literals, spark.createDataFrame([(c,) for c in n.columns], "column string"), n.select(F.col("n_name").alias("value")))
+    return got.select(*(F.round(c, 9).alias(c) for c in got.columns))
+
+
+@query("SELECT 1.0::DOUBLE AS score")
+def plan_resolution(spark, sf):
+    c = t(spark, sf, "customer")
+    got = c.filter("c_acctbal > 0")
+    return spark.createDataFrame([(M.resolution(got, c.filter("c_acctbal > 1"), c.filter("c_acctbal < 0"), "c_custkey"),)], "score double")
+
+
+@query(f"SELECT conv_id, turn, round(s / sqrt(s * s + 15), 9) AS compound FROM {SENTIMENT_SQL}")
+def sentiment_compound(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", F.round(O.compound(F.col("text")), 9).alias("compound"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND NOT list_contains(string_split('a an and are as at be by for from has have in is it its mention mentions about of on or rows row text texts that the their them to was were which with where who find show keep all', ' '), x)) AS w FROM conversations),
+g AS (SELECT conv_id, turn, len(w) AS a, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS topic FROM w), c AS (SELECT conv_id, turn, topic, count(*) AS n, max(a) AS a FROM g GROUP BY 1, 2, 3),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, topic) AS INTEGER) AS "rank" FROM c) SELECT conv_id * 100 + turn AS id, topic, round(n / a::DOUBLE, 4) AS score, "rank" FROM r WHERE "rank" <= 3""")
+def topics(spark, sf):
+    return O.topics(t(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn")), "id", "text")
+
+
+@query("SELECT * FROM customer WHERE c_name = 'Customer#000000042'")
+def entity_question(spark, sf):
+    c = t(spark, sf, "customer")
+    got = Planner(S.Catalog(spark, {"customer": c.withColumnRenamed("c_name", "id")})).data("customer 'Customer#000000042'")
+    return got.withColumnRenamed("id", "c_name")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def question_export(spark, sf):
+    planner = Planner(S.Catalog(spark, {"region": t(spark, sf, "region").select("r_regionkey", "r_name")}))
+    asked = planner.ask("Export region as json")
+    return S.json(spark, asked.exports[0][0], "r_regionkey int, r_name string")
