@@ -292,3 +292,110 @@ def test_more_metrics(spark):
     runs = spark.createDataFrame([("m", "d", True, 1.0, 5), ("m", "e", False, 3.0, 5)], "method string, data string, validated boolean, seconds double, tokens int")
     assert M.method_summary(runs, ["method", "data"]).filter("method is null").first()["per_minute"] == 30.0
     assert spark.range(1).select(M.failure_class(F.lit(True), F.lit(False), F.lit(True), F.lit(True))).first()[0] == "plan"
+
+
+# -- plans do what they say ---
+
+SF = "/root/testdata/sf0.001"
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chosen_join_is_in_the_plan(spark):
+    from tessera.plans.compile import Run, compile_plan
+    from tessera.plans.tree import PlanNode
+    from tessera.sources import Catalog
+
+    catalog = Catalog.of_folder(spark, SF, ["orders", "customer"])
+    plan = PlanNode("JOIN", {"keys": [("o_custkey", "c_custkey")]}, (PlanNode("SCAN", {"table": "orders"}), PlanNode("SCAN", {"table": "customer"})))
+    assert "ShuffledHashJoin" in _physical(compile_plan(plan, Run(catalog, choice={"JOIN": "HASH_JOIN"})))
+    nested = compile_plan(plan, Run(catalog, choice={"JOIN": "NESTED_LOOP_JOIN"}))
+    assert "CartesianProduct" in _physical(nested) or "NestedLoop" in _physical(nested)
+    assert nested.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_export_writes_and_has_a_manifest(spark, tmp_path):
+    from tessera.plans.compile import Run, compile_plan
+    from tessera.plans.tree import PlanNode
+    from tessera.sources import Catalog
+
+    path = f"file://{tmp_path}/out"
+    run = Run(Catalog.of_folder(spark, SF, ["region"]), choice={"EXPORT": "JSON_EXPORT"})
+    compile_plan(PlanNode("EXPORT", {"path": path}, (PlanNode("SCAN", {"table": "region"}),)), run)
+    (where, manifest), = run.exports
+    n = spark.read.parquet(f"{SF}/region.parquet").count()
+    assert where == path and spark.read.json(path).count() == n
+    assert manifest.first()["format"] == "json" and manifest.first()["rows"] == n
+
+
+def test_a_model_aggregates_in_rounds(spark):
+    import json
+
+    from tessera.operators import aggregate, model_aggregate
+    from tessera.provider import CallableProvider
+
+    def count(prompt):
+        rows = json.loads(prompt[prompt.index("\n[") + 1 :])
+        flat = [x for r in rows for x in (r if isinstance(r, list) else [r])]
+        total = {}
+        for r in flat:
+            total[r["c_mktsegment"]] = total.get(r["c_mktsegment"], 0) + r.get("n", 1)
+        return "Sure: " + json.dumps([{"c_mktsegment": k, "n": v} for k, v in total.items()])
+
+    c = spark.read.parquet(f"{SF}/customer.parquet").select("c_mktsegment")
+    big = c.crossJoin(spark.range(100)).drop("id").repartition(3)
+    plain = aggregate(big, [("count", None)])
+    got = {r["c_mktsegment"]: r["n"] for r in model_aggregate(big, "how many of each", CallableProvider(count), plain).collect()}
+    assert got == {r["c_mktsegment"]: r["count"] for r in big.groupBy("c_mktsegment").count().collect()}
+    for bad in (lambda p: "no", lambda p: 1 / 0, lambda p: "[1]"):
+        assert model_aggregate(big, "q", CallableProvider(bad, tries=1), plain).collect() == plain.collect()
+    assert model_aggregate(big.limit(0), "q", CallableProvider(count), plain.limit(0)).collect() == []
+
+
+def test_plans_of_vector_and_text_operators(spark):
+    from pyspark.sql import functions as F
+
+    from tessera import operators as O
+
+    e, d = spark.read.parquet(f"{SF}/embeddings.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    for df in (O.nearest(e, "vec_id", "embedding", 3, F.col("vec_id") % 50 == 0), O.similarity_join(e, e, "vec_id", "vec_id", "embedding", 0.5, same=True)):
+        assert "NestedLoop" not in _physical(df) and "CartesianProduct" not in _physical(df)
+    assert "Exchange" not in _physical(O.key_phrases(d, "doc_id", "text"))
+    filtered = _physical(O.semantic_filter(d, "text", "mentions a license").select("doc_id"))
+    assert "Python" not in filtered
+
+
+def test_similarity_join_modes_agree(spark):
+    import numpy as np
+
+    from tessera import operators as O
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    x[100:150] = x[:50] + 0.01 * rng.standard_normal((50, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 8), (302, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if x[i] @ x[j] >= 0.98 * np.linalg.norm(x[i]) * np.linalg.norm(x[j])}
+    for miss in (0.0, 1e-6):
+        assert {tuple(r)[:2] for r in O.similarity_join(df, df, "id", "id", "v", 0.98, same=True, miss=miss).collect()} == want
+    both = {tuple(r)[:2] for r in O.similarity_join(df, df, "id", "id", "v", 0.98).collect()}
+    assert both == want | {(j, i) for i, j in want} | {(i, i) for i in (*range(300), 302)}
+
+
+def test_graph_of_texts_images_and_values(spark):
+    from tessera import metagraph as G
+
+    docs = spark.createDataFrame([(1, "It is a great day 2020-01-02.\nGreat joy", "a"), (2, "mail x@y.org about 12", "a"), (3, None, "b"), (4, "", "b"), (5, "  ", None)], "id long, body string, kind string")
+    found = spark.createDataFrame([("Cat", 0.5, 0.9), ("cat", 2.0, 0.7), ("!", 0.1, 0.5)], "label string, area double, score double")
+    g = G.build({"notes": docs}, texts={"notes": ["body"]}, detections={"notes": found}, rows={"notes": "id"})
+    text = g["modalities"].filter("modality_type = 'TEXT'").first()
+    assert (text["words"], text["n_docs"], text["n_paragraphs"], text["top_topics"][0]) == (12, 2, 3, "01")
+    names = {(r["entity_id"], r["entity_type"]) for r in g["entities"].collect()}
+    assert {("notes:text:20200102", "TIME"), ("notes:text:xyorg", "OBJECT"), ("notes:text:12", "QUANTITY"), ("notes:image:cat", "OBJECT"), ("notes:kind:a", "CONCEPT")} <= names
+    image = {(r["area"], r["saliency"]) for r in g["mentions"].filter("modality_type = 'IMAGE'").collect()}
+    assert image == {(0.5, 1.0), (1.0, 1.0)}
+    relations = G.build_relations(g)
+    assert relations.columns == ["relation_id", "relation_type", "source", "target", "confidence", "weight"] and relations.count() > 0
+    assert G.build({"notes": docs.limit(0)}, texts={"notes": ["body"]})["entities"].collect() == []
