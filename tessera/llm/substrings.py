@@ -48,7 +48,7 @@ CHUNK_BYTES = 8 << 20
 #: Hashes that are sorted at once.
 RANGE_HASHES = 1 << 22
 #: Symbols that one suffix array orders, about; a group of more than the second is cut.
-BLOCK_SYMBOLS, MOST_SYMBOLS = 8_000, 1 << 18
+BLOCK_SYMBOLS, MOST_SYMBOLS = 4_000, 1 << 18
 #: A gram in more chunks than this is dealt by longer strings.
 HOT_CHUNKS = 64
 #: Hashes and stretches are dealt to one bucket for each CHUNK_BYTES of text, but no more than this: a chunk's message to a
