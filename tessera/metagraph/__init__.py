@@ -49,15 +49,19 @@ def values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]
 def foreign_keys(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]], keys: Mapping[str, Sequence[str]] | None = None, least: float = 0.8) -> DataFrame:
     """(table, column, ref_table, ref_column, coverage): columns of which that share of the distinct values occurs in another table's column.
 
-    ``columns`` may refer, ``keys`` may be referred to (all columns without it). Values meet by an equal join; a column pair's
-    matches are counted before the next shuffle.
+    ``columns`` may refer, ``keys`` may be referred to (all columns without it). Each value is reduced to the set of columns that have it, of which there are few
+    different ones; only these are taken apart into pairs of columns.
     """
-    v = values(tables, columns)
-    k = values(tables, keys) if keys is not None else v
-    size = v.groupBy("table", "column").agg(F.count("*").alias("size"))
-    met = v.join(k.select(F.col("table").alias("ref_table"), F.col("column").alias("ref_column"), "value"), "value").filter(F.col("table") != F.col("ref_table"))
-    hits = met.groupBy("table", "column", "ref_table", "ref_column").agg(F.count("*").alias("hits"))
-    return hits.join(F.broadcast(size), ["table", "column"]).withColumn("coverage", F.round(F.col("hits") / F.col("size"), 3)).filter(F.col("hits") / F.col("size") >= least).select("table", "column", "ref_table", "ref_column", "coverage")
+    side = lambda df, name: df.select("value", F.struct(F.lit(name).alias("side"), "table", "column").alias("c"))
+    v = side(values(tables, columns), "from")
+    both = v.unionByName(side(values(tables, keys if keys is not None else columns), "to"))
+    sets = both.groupBy("value").agg(F.array_sort(F.collect_set("c")).alias("set")).groupBy("set").agg(F.count("*").alias("n"))
+    of = lambda name: F.filter("set", lambda c: c["side"] == name)
+    sets = sets.select("n", of("from").alias("from"), of("to").alias("to"))
+    size = sets.select("n", F.explode("from").alias("c")).groupBy("c.table", "c.column").agg(F.sum("n").alias("size"))
+    pairs = sets.select("n", F.explode("from").alias("c"), "to").select("n", "c", F.explode("to").alias("r")).filter(F.col("c.table") != F.col("r.table"))
+    hits = pairs.groupBy("c.table", "c.column", F.col("r.table").alias("ref_table"), F.col("r.column").alias("ref_column")).agg(F.sum("n").alias("hits"))
+    return hits.join(F.broadcast(size), ["table", "column"]).withColumn("coverage", F.round(F.col("hits") / F.col("size"), 3)).filter(F.col("hits") / F.col("size") >= least).select("table", "column", "ref_table", "ref_column", "coverage")  # a row for each column
 
 
 def concepts(tables: Mapping[str, DataFrame], most: int = 6) -> DataFrame:

@@ -521,18 +521,19 @@ def profile_tables(spark, sf):
     return G.profile({"nation": t(spark, sf, "nation")}, exact=True)
 
 
-FK_COLUMNS = {"nation": ["n_regionkey"], "customer": ["c_nationkey"], "supplier": ["s_nationkey"], "orders": ["o_custkey"]}
-FK_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"]}
-FK_SQL = """WITH v AS (SELECT DISTINCT 'nation' AS t, 'n_regionkey' AS c, n_regionkey::VARCHAR AS v FROM nation UNION SELECT 'customer', 'c_nationkey', c_nationkey::VARCHAR FROM customer UNION SELECT 'supplier', 's_nationkey', s_nationkey::VARCHAR FROM supplier UNION SELECT 'orders', 'o_custkey', o_custkey::VARCHAR FROM orders),
-k AS (SELECT DISTINCT 'region' AS t, 'r_regionkey' AS c, r_regionkey::VARCHAR AS v FROM region UNION SELECT 'nation', 'n_nationkey', n_nationkey::VARCHAR FROM nation UNION SELECT 'customer', 'c_custkey', c_custkey::VARCHAR FROM customer UNION SELECT 'supplier', 's_suppkey', s_suppkey::VARCHAR FROM supplier),
-s AS (SELECT t, c, count(*) AS n FROM v GROUP BY 1, 2), h AS (SELECT v.t, v.c, k.t AS rt, k.c AS rc, count(*) AS h FROM v JOIN k ON v.v = k.v AND v.t <> k.t GROUP BY 1, 2, 3, 4)
+#: Columns of all tables that are named as keys or numbers of something.
+FK_COLUMNS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["event_id", "user_id"], "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"], "conversations": ["conv_id"],
+}
+FK_SQL = "WITH v AS (" + " UNION ALL ".join(f"SELECT DISTINCT '{n}' AS t, '{c}' AS c, {c}::VARCHAR AS v FROM {n} WHERE {c} IS NOT NULL" for n, cs in FK_COLUMNS.items() for c in cs) + """),
+s AS (SELECT t, c, count(*) AS n FROM v GROUP BY 1, 2), h AS (SELECT v.t, v.c, k.t AS rt, k.c AS rc, count(*) AS h FROM v JOIN v k ON v.v = k.v AND v.t <> k.t GROUP BY 1, 2, 3, 4)
 SELECT h.t AS "table", h.c AS "column", rt AS ref_table, rc AS ref_column, round(h.h / s.n::DOUBLE, 3) AS coverage FROM h JOIN s ON h.t = s.t AND h.c = s.c WHERE h.h / s.n::DOUBLE >= 0.8"""
 
 
 @query(FK_SQL)
 def fk_discovery(spark, sf):
-    names = {*FK_COLUMNS, *FK_KEYS}
-    return G.foreign_keys({n: t(spark, sf, n) for n in names}, FK_COLUMNS, FK_KEYS)
+    return G.foreign_keys({n: t(spark, sf, n) for n in FK_COLUMNS}, FK_COLUMNS)
 
 
 def _value_entities(spark, sf):
