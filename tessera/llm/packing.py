@@ -61,7 +61,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, *, seq_len: int = 4096, end
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]), pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return written(src.mapInArrow(tidy(encode), PIECES + ", ids array<int>" * keep_ids), "pieces")
 
 

@@ -145,7 +145,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, *, id_co
         if held:
             yield close()
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # the hash splits a doc_id that many rows share
     tie = F.xxhash64("text")
     ordered = src.withColumn("tie_", tie).repartitionByRange("doc_id", "tie_").sortWithinPartitions("doc_id", "tie_", "text").drop("tie_")
