@@ -152,6 +152,18 @@ def top_per_group(df: DataFrame, by: Sequence[str], keys: Sequence[Column], k: i
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys))).filter(F.col("rank") <= k)
 
 
+def most_frequent(df: DataFrame, by: Sequence[str], column: str, name: str = "mode") -> DataFrame:
+    """Each group's most frequent value, the smallest of equals; counts leave a task, not rows."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n_"))
+    return counts.groupBy(*by).agg(F.min(F.struct((-F.col("n_")).alias("less"), F.col(column).alias("v")))["v"].alias(name))
+
+
+def mean_rating(df: DataFrame, by: Sequence[str], rating: Column, name: str = "score") -> DataFrame:
+    """The mean of a rating from 1 to 5 for each entity; others don't count."""
+    r = rating.cast("double")
+    return df.groupBy(*by).agg(F.avg(F.when(r.between(1, 5), r)).alias(name))
+
+
 def normalize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``x_normalized`` beside each numeric column: x / max(|x|, 1), four places."""
     return df.withColumns({f"{c}_normalized": bounded(F.col(c)) for c in columns or numeric_columns(df)})

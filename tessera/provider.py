@@ -7,7 +7,12 @@ no row needs them, and give None where they fail.
 
 from __future__ import annotations
 
+import json
+import os
+import queue
 import re
+import threading
+import urllib.request
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -115,6 +120,47 @@ class CallableProvider(OfflineProvider):
         return self._each(texts, lambda t: f"How relevant is this to: {question}? Answer with a number from 0 to 1.\n{t}", lambda a: float(re.search(r"\d*\.?\d+", a)[0]))
 
 
+class HttpProvider(CallableProvider):
+    """A chat model behind a URL that takes ``model`` and ``messages`` and answers with ``choices`` and ``usage``.
+
+    ``seconds`` bounds a question with all its tries; ``used`` sums the tokens that this process's calls report. The key is read
+    from the environment variable ``key_name`` where a call is made, so that it is never part of a plan.
+    """
+
+    def __init__(self, url: str, model: str, key_name: str = "MODEL_API_KEY", seconds: float = 100.0, tries: int = 3):
+        super().__init__(self._post, tries)
+        self.url, self.model, self.key_name, self.seconds = url, model, key_name, seconds
+        self.used = {"prompt_tokens": 0, "completion_tokens": 0}
+
+    def _post(self, prompt: str) -> str:
+        body = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}]}).encode()
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {os.environ[self.key_name]}"} if self.key_name in os.environ else {})
+        with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.seconds) as answer:
+            got = json.load(answer)
+        for name in self.used:
+            self.used[name] += int((got.get("usage") or {}).get(name, 0))
+        return got["choices"][0]["message"]["content"]
+
+    def complete(self, prompt: str) -> str:
+        """The answer; TimeoutError when the time is up, however the server trickles."""
+        got: queue.Queue = queue.Queue()
+
+        def work() -> None:
+            try:
+                got.put((CallableProvider.complete(self, prompt), None))
+            except Exception as e:  # noqa: BLE001  raised again by the caller
+                got.put((None, e))
+
+        threading.Thread(target=work, daemon=True).start()
+        try:
+            text, error = got.get(timeout=self.seconds)
+        except queue.Empty:
+            raise TimeoutError(f"no answer in {self.seconds} s") from None
+        if error:
+            raise error
+        return text
+
+
 def as_column(provider: Provider, text: Column, condition: str) -> Column | None:
     """The answer as an expression, where a provider has one for the condition (``column``); no row goes to Python then."""
     make = getattr(provider, "column", None)
@@ -147,8 +193,6 @@ def score(provider: Provider, text: Column, question: str) -> Column:
 
 def read_json(text: str) -> object:
     """The first JSON value in a model's answer, fences and words around it aside; ValueError without one."""
-    import json
-
     text = re.sub(r"```\w*", "", text)
     for m in re.finditer(r"[\[{]", text):
         try:

@@ -292,7 +292,7 @@ def aggregate_groups(spark, sf):
 
 @query("SELECT o_custkey, round(avg(CAST(substring(o_orderpriority, 1, 1) AS INTEGER)), 6) AS score FROM orders GROUP BY 1")
 def mean_rating(spark, sf):
-    return t(spark, sf, "orders").groupBy("o_custkey").agg(F.round(F.avg(F.substring("o_orderpriority", 1, 1).cast("int")), 6).alias("score"))
+    return O.mean_rating(t(spark, sf, "orders"), ["o_custkey"], F.substring("o_orderpriority", 1, 1)).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH p AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders), c AS (SELECT "column", value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, count(*) OVER (PARTITION BY "column") AS d, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS INTEGER) AS "rank" FROM c) SELECT "column", value, n, "rank" FROM r WHERE d BETWEEN 2 AND 40 AND "rank" <= 6""")
@@ -300,10 +300,9 @@ def representative_values(spark, sf):
     return O.frequent_values(t(spark, sf, "orders"), ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("SELECT user_id, max_by(event_type, n) AS mode FROM (SELECT user_id, event_type, count(*) * 1000 - ascii(event_type) * 1.0 AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT user_id, event_type AS mode FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2) WHERE r = 1")
 def mode_per_group(spark, sf):
-    c = t(spark, sf, "events").groupBy("user_id", "event_type").agg((F.count("*") * 1000 - F.ascii("event_type") * 1.0).alias("n"))
-    return c.groupBy("user_id").agg(F.max_by("event_type", "n").alias("mode"))
+    return O.most_frequent(t(spark, sf, "events"), ["user_id"], "event_type")
 
 
 def _judged(spark, sf):

@@ -399,3 +399,35 @@ def test_graph_of_texts_images_and_values(spark):
     relations = G.build_relations(g)
     assert relations.columns == ["relation_id", "relation_type", "source", "target", "confidence", "weight"] and relations.count() > 0
     assert G.build({"notes": docs.limit(0)}, texts={"notes": ["body"]})["entities"].collect() == []
+
+
+def test_http_provider_counts_tokens_and_keeps_its_time():
+    import http.server
+    import json
+    import threading
+    import time
+
+    from tessera.provider import HttpProvider
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+            if "slow" in asked:
+                time.sleep(3)
+            body = json.dumps({"choices": [{"message": {"content": "YES" if "good" in asked else "NO"}}], "usage": {"prompt_tokens": 7, "completion_tokens": 1}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        p = HttpProvider(f"http://127.0.0.1:{server.server_port}/", "m", seconds=1)
+        assert p.holds(["good one", "bad", None], "x") == [True, False, None] and p.used == {"prompt_tokens": 14, "completion_tokens": 2}
+        begin = time.time()
+        assert p.holds(["slow good"], "x") == [None] and time.time() - begin < 2.5
+    finally:
+        server.shutdown()
