@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,3 +82,20 @@ def ngrams(words: Column, n: int) -> Column:
 def ngram_hashes(words: Column, n: int) -> Column:
     """64-bit hashes of the runs of ``n`` words."""
     return _runs(words, n, lambda r: F.xxhash64(r), "bigint")
+
+
+def with_typos(text: str, share: float = 0.1, seed: int = 0) -> str:
+    """A question with neighbouring letters of so many of its words of four letters or more swapped inside; the same for the same seed."""
+    rng = random.Random(f"{seed}:{text}")
+
+    def swap(m: re.Match) -> str:
+        w = m[0]
+        if rng.random() >= share:
+            return w
+        at = [i for i in range(1, len(w) - 2) if w[i] != w[i + 1]]
+        if not at:
+            return w
+        i = rng.choice(at)
+        return w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+
+    return re.sub(r"[^\W\d_]{4,}", swap, text)

@@ -57,7 +57,7 @@ def foreign_keys(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence
     both = v.unionByName(side(values(tables, keys if keys is not None else columns), "to"))
     sets = both.groupBy("value").agg(F.array_sort(F.collect_set("c")).alias("set")).groupBy("set").agg(F.count("*").alias("n"))
     of = lambda name: F.filter("set", lambda c: c["side"] == name)
-    sets = sets.select("n", of("from").alias("from"), of("to").alias("to"))
+    sets = written(sets.select("n", of("from").alias("from"), of("to").alias("to")), "column-sets")
     size = sets.select("n", F.explode("from").alias("c")).groupBy("c.table", "c.column").agg(F.sum("n").alias("size"))
     pairs = sets.select("n", F.explode("from").alias("c"), "to").select("n", "c", F.explode("to").alias("r")).filter(F.col("c.table") != F.col("r.table"))
     hits = pairs.groupBy("c.table", "c.column", F.col("r.table").alias("ref_table"), F.col("r.column").alias("ref_column")).agg(F.sum("n").alias("hits"))

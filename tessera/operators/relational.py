@@ -158,6 +158,12 @@ def most_frequent(df: DataFrame, by: Sequence[str], column: str, name: str = "mo
     return counts.groupBy(*by).agg(F.min(F.struct((-F.col("n_")).alias("less"), F.col(column).alias("v")))["v"].alias(name))
 
 
+def value_counts(df: DataFrame, by: Sequence[str], column: str, name: str = "counts") -> DataFrame:
+    """Each group's values with their numbers as one map; of a column with few values."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n_"))
+    return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).alias("k"), F.col("n_").alias("v"))))).alias(name))
+
+
 def mean_rating(df: DataFrame, by: Sequence[str], rating: Column, name: str = "score") -> DataFrame:
     """The mean of a rating from 1 to 5 for each entity; others don't count."""
     r = rating.cast("double")

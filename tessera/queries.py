@@ -290,6 +290,12 @@ def aggregate_groups(spark, sf):
     return O.aggregate(t(spark, sf, "events"), [("count", None), ("avg", "value"), ("count_distinct", "user_id")], ["event_type"]).withColumn("avg_value", F.round("avg_value", 6))
 
 
+@query("SELECT o_orderstatus, string_agg(o_orderpriority || '=' || n, ',' ORDER BY o_orderpriority) AS counts FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def value_maps(spark, sf):
+    pairs = F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return O.value_counts(t(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority").select("o_orderstatus", F.array_join(pairs, ",").alias("counts"))
+
+
 @query("SELECT o_custkey, round(avg(CAST(substring(o_orderpriority, 1, 1) AS INTEGER)), 6) AS score FROM orders GROUP BY 1")
 def mean_rating(spark, sf):
     return O.mean_rating(t(spark, sf, "orders"), ["o_custkey"], F.substring("o_orderpriority", 1, 1)).withColumn("score", F.round("score", 6))
