@@ -129,20 +129,24 @@ class Encoder:
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks: letters apart from the ASCII signs after them, where the library cuts anyway; all else whole."""
         code = self.code
-        stems = [c if c.isalpha() else c.rstrip(SIGNS) for c in chunks]
-        bad = self._unsafe(set("".join(s for s in stems if s.isalpha())))
-        words, odd, both = {}, {}, []
-        for c, stem in zip(chunks, stems):
-            if not stem.isalpha() or bad and not bad.isdisjoint(stem):
-                odd[c] = None
-                continue
+        plain = [c for c in chunks if c.isalpha()]
+        other = [c for c in chunks if not c.isalpha()] if len(plain) < len(chunks) else []
+        signed = [(c, stem) for c, stem in zip(other, [c.rstrip(SIGNS) for c in other]) if stem.isalpha()]
+        bad = self._unsafe(set("".join(plain)).union(*(stem for _, stem in signed)))
+        odd = dict.fromkeys(other)
+        if bad:
+            odd |= dict.fromkeys(c for c in plain if not bad.isdisjoint(c))
+            plain = [c for c in plain if bad.isdisjoint(c)]
+            signed = [x for x in signed if bad.isdisjoint(x[1])]
+        words = dict.fromkeys(plain)
+        both = [(c, stem, c[len(stem) :]) for c, stem in signed]
+        for c, stem, rest in both:
+            del odd[c]
             if stem not in code:
                 words[stem] = None
-            if len(stem) < len(c):
-                rest = c[len(stem) :]
-                both.append((c, stem, rest))
-                if rest not in code:
-                    odd[rest] = None
+        for _, _, rest in both:
+            if rest not in code:
+                odd[rest] = None
         new = list(odd)
         self._keep(new, *self._encode(new))
         new = list(words)
