@@ -10,7 +10,8 @@ and documents that agree in one of ``BANDS`` bands share a bucket.
   others over all bands. What the links so far hold together needs no other link. Of the members x, y of one leader L that
   are still in different classes, a pair can only be similar if min(|x & L|, |y & L|) shingles would do for
   its lengths, or if x and y share a shingle that L lacks. Both kinds of pairs are found by equality joins, for each leader, and compared; all
-  others can't be links, so that none is lost, no cap decides, and a group of thousands of copies isn't paired with itself.
+  others can't be links, so that none is lost, no cap decides, and a group of thousands of copies isn't paired with itself. Of the shingles
+  that L lacks only a member's rarest meet, as many as leave fewer than it must share.
 - Similarity: aligned equal shingles m of the two sequences, m / (|a| + |b| - m), shingles by 64-bit hashes. The longest
   common subsequence is found within the band of diagonals that the threshold allows; labelled shingles occur
   once, so that it is a longest increasing run of places, in memory linear in the texts.
@@ -215,11 +216,16 @@ def _possible(tried: DataFrame, held: DataFrame, sequences: DataFrame, min_simil
     ratio = (1 + min_similarity) / min_similarity
     # the most shingles that another can have which shares none with b but those in a
     longest = F.floor(F.col("shared") * ratio - F.col("n_b") + 1e-6)
-    open_ = s.written(rows.join(mixed, "a", "left_semi").select("a", "b", "class", "main", "n_a", "n_b", "similar", longest.alias("longest")), "open")
-
-    posts = s.written(_added(open_.select("a", "b"), sequences), "added").join(open_.select("a", "b", "class", "main"), ["a", "b"])
-    shared = posts.groupBy("a", "shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("main").alias("low"), F.max("main").alias("high")).filter("least < most and (low < high or low = a)").select("a", "shingle")
-    posts = s.written(posts.join(shared, ["a", "shingle"], "left_semi"), "posts")
+    # and the fewest that it must share beside those in a: all of its own share of the threshold that a hasn't
+    least = F.greatest(F.lit(1), F.ceil(F.lit(min_similarity) * F.col("n_b") - F.col("shared") - 1e-6))
+    open_ = s.written(rows.join(mixed, "a", "left_semi").select("a", "b", "class", "main", "n_a", "n_b", "similar", longest.alias("longest"), least.alias("need")), "open")
+
+    posts = s.written(_added(open_.select("a", "b"), sequences), "added").join(open_.select("a", "b", "class", "main", "need"), ["a", "b"])
+    shared = posts.groupBy("a", "shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min("main").alias("low"), F.max("main").alias("high"), F.count("*").alias("n")).filter("least < most and (low < high or low = a)").select("a", "shingle", "n")
+    # of k shingles of which need must be shared, one of the k - need + 1 rarest is; a member's are no more than its text has
+    own = Window.partitionBy("a", "b")
+    posts = posts.join(shared, ["a", "shingle"]).withColumn("k", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("n", "shingle")))
+    posts = s.written(posts.filter("at <= k - need + 1").select("a", "b", "shingle", "class", "main"), "posts")
     mates = posts.select("a", "shingle", F.col("b").alias("mate"), F.col("class").alias("mate_class"), F.col("main").alias("mate_main"))
     meet = posts.join(mates, ["a", "shingle"]).filter("class < mate_class and (main <> mate_main or main = a)").select("b", "mate")
 
