@@ -77,6 +77,11 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tag: st
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
+def _let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, not again at each of its uses."""
+    return F.transform(F.array(c), body)[0]
+
+
 def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
@@ -108,7 +113,7 @@ def feistel_chars(s: Column, key: str, tag: str, letters: Column | None = None)
         return turn.otherwise(F.struct(x["l"].alias("l"), _shifted(x["r"], _digest(key, tag, i, x["l"]), letters).alias("r")))
 
     done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
-    return F.concat(done["l"], done["r"])
+    return _let(done, lambda x: F.concat(x["l"], x["r"]))
 
 
 def _digits(m: Column) -> Column:
@@ -142,7 +147,7 @@ def _halves(s: Column, key: str, tag: str) -> Column:
     u = F.floor(n / 2).cast("int")
     ten = F.lit(10.0)
     done = feistel(_part(s, 1, u), _part(s, u + 1, n - u), F.pow(ten, u).cast("long"), F.pow(ten, n - u).cast("long"), key, tag)
-    return F.concat(F.when(u > 0, _padded(done["l"], u)).otherwise(""), _padded(done["r"], n - u))
+    return _let(done, lambda x: F.concat(F.when(u > 0, _padded(x["l"], u)).otherwise(""), _padded(x["r"], n - u)))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -159,7 +164,7 @@ def _phone(m: Column, key: str) -> Column:
     area, exchange, line = _part(ten, 1, 3).cast("long"), _part(ten, 4, 3).cast("long"), _part(ten, 7, 4).cast("long")
     low, base = (F.when(x < 200, F.lit(0)).otherwise(F.lit(200)) for x in (area, exchange))
     done = feistel(area - low, (exchange - base) * 10_000 + line, F.when(area < 200, F.lit(200)).otherwise(F.lit(800)), F.when(exchange < 200, F.lit(2_000_000)).otherwise(F.lit(8_000_000)), key, "phone")
-    new = F.concat(_padded(done["l"] + low, 3), _padded(done["r"] + base * 10_000, 7))
+    new = _let(done, lambda x: F.concat(_padded(x["l"] + low, 3), _padded(x["r"] + base * 10_000, 7)))
     plan = _into(m, F.concat(F.when(F.length(d) > 10, F.lit("1")).otherwise(""), new))
     abroad = _into(m, F.concat(_part(d, 1, 2), _halves(F.substr(d, F.lit(3)), key, "abroad")))
     return F.when(d.rlike("^1?[0-9]{10}$") & ~m.rlike(r"^\+(?!1)"), plan).when(F.length(d).between(8, 15), abroad)
@@ -169,8 +174,8 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.split(m, "-")[i].cast("long") for i in range(3))
     ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     done = feistel(F.when(area < 666, area - 1).otherwise(area - 2), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
-    new = F.when(done["l"] < 665, done["l"] + 1).otherwise(done["l"] + 2)
-    return F.when(ok, F.concat_ws("-", _padded(new, 3), _padded(F.floor(done["r"] / 9999) + 1, 2), _padded(done["r"] % 9999 + 1, 4)))
+    back = lambda x: F.concat_ws("-", _padded(F.when(x["l"] < 665, x["l"] + 1).otherwise(x["l"] + 2), 3), _padded(F.floor(x["r"] / 9999) + 1, 2), _padded(x["r"] % 9999 + 1, 4))
+    return F.when(ok, _let(done, back))
 
 
 def _mod97(s: Column) -> Column:
@@ -198,11 +203,14 @@ def _moved(year: Column, month: Column, day: Column, key: str) -> Column:
     n = F.when(early & short, F.lit(81)).when(short, F.lit(27)).when(early, F.lit(192)).otherwise(F.lit(65))
     base, least = F.when(early, F.lit(1)).otherwise(F.lit(10)), F.when(short, F.lit(1)).otherwise(F.lit(10))
     done = feistel(year - 1900, F.element_at(begins, (month - base + 1).cast("int")) + day - least, F.lit(200), n, key, "date")
-    k = F.size(F.filter(begins, lambda x: x <= done["r"]))
-    new = F.struct((done["l"] + 1900).alias("y"), (base + k - 1).cast("long").alias("m"), (done["r"] - F.element_at(begins, k) + least).cast("long").alias("d"))
+
+    def back(x: Column) -> Column:
+        return _let(F.size(F.filter(begins, lambda b: b <= x["r"])), lambda k: F.struct((x["l"] + 1900).alias("y"), (base + k - 1).cast("long").alias("m"), (x["r"] - F.element_at(begins, k) + least).cast("long").alias("d")))
+
     i = F.floor((year - 1904) / 4)
     leap = feistel(F.floor(i / 7), i % 7, F.lit(7), F.lit(7), key, "leap day")
-    return F.when(ok & (month == 2) & (day == 29), F.struct((leap["l"] * 28 + leap["r"] * 4 + 1904).alias("y"), F.lit(2).cast("long").alias("m"), F.lit(29).cast("long").alias("d"))).when(ok, new)
+    leap_day = _let(leap, lambda x: F.struct((x["l"] * 28 + x["r"] * 4 + 1904).alias("y"), F.lit(2).cast("long").alias("m"), F.lit(29).cast("long").alias("d")))
+    return F.when(ok & (month == 2) & (day == 29), leap_day).when(ok, _let(done, back))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -211,10 +219,12 @@ def _date(m: Column, key: str) -> Column:
     ordered, dots = m.rlike("^[0-9]{4}"), m.contains(".")
     us = ~ordered & ~dots & (parts[0].cast("int") <= 12)
     places = F.when(ordered, F.array(*map(F.lit, (0, 1, 2)))).when(us, F.array(*map(F.lit, (2, 0, 1)))).otherwise(F.array(*map(F.lit, (2, 1, 0))))  # of year, month, day
-    new = _moved(*(F.get(parts, places[i]).cast("long") for i in range(3)), key)
-    values = F.array(new["y"], new["m"], new["d"])
-    text = F.call_function("array_join", F.transform(parts, lambda p, i: _padded(F.get(values, (F.array_position(places, i) - 1).cast("int")), F.length(p))), sign)
-    return F.when(new.isNotNull(), text)
+
+    def back(new: Column) -> Column:
+        values = F.array(new["y"], new["m"], new["d"])
+        return F.when(new.isNotNull(), F.call_function("array_join", F.transform(parts, lambda p, i: _padded(F.get(values, (F.array_position(places, i) - 1).cast("int")), F.length(p))), sign))
+
+    return _let(_moved(*(F.get(parts, places[i]).cast("long") for i in range(3)), key), back)
 
 
 def _named_date(m: Column, key: str) -> Column:
@@ -222,16 +232,21 @@ def _named_date(m: Column, key: str) -> Column:
     name, first = F.regexp_extract(m, "([A-Z][a-z]+)", 1), m.rlike("^[A-Z]")
     day = F.regexp_extract(m, r"(?:^|[a-z] )([0-9]{1,2})(?:,| )", 1)
     new = _moved(F.substr(m, F.length(m) - 3).cast("long"), F.array_position(brief, F.substr(name, F.lit(1), F.lit(3))), day.cast("long"), key)
-    to = F.element_at(F.when(F.length(name) > 3, names).otherwise(brief), new["m"].cast("int"))
-    d, y = _padded(new["d"], F.length(day)), new["y"].cast("string")
-    return F.when(new.isNotNull(), F.when(first, F.concat(to, F.lit(" "), d, F.lit(", "), y)).otherwise(F.concat_ws(" ", d, to, y)))
+
+    def back(x: Column) -> Column:
+        to = F.element_at(F.when(F.length(name) > 3, names).otherwise(brief), x["m"].cast("int"))
+        d, y = _padded(x["d"], F.length(day)), x["y"].cast("string")
+        return F.when(x.isNotNull(), F.when(first, F.concat(to, F.lit(" "), d, F.lit(", "), y)).otherwise(F.concat_ws(" ", d, to, y)))
+
+    return _let(new, back)
 
 
 def _ip(m: Column, key: str) -> Column:
     o = [F.split(m, r"\.")[i].cast("long") for i in range(4)]
     done = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
     ok = (o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256)
-    return F.when(ok, F.concat_ws(".", F.floor(done["l"] / 256).cast("string"), (done["l"] % 256).cast("string"), F.floor(done["r"] / 256).cast("string"), (done["r"] % 256).cast("string")))
+    back = lambda x: F.concat_ws(".", *(v.cast("string") for h in ("l", "r") for v in (F.floor(x[h] / 256), x[h] % 256)))
+    return F.when(ok, _let(done, back))
 
 
 def _email(m: Column, key: str) -> Column:
