@@ -235,7 +235,8 @@ def _possible(tried: DataFrame, held: DataFrame, sequences: DataFrame, min_simil
     low, high = open_.filter("n_b < n_a").withColumn("alike", F.lit(False)), open_.filter("longest >= n_a").withColumn("alike", F.lit(True))
     others = low.unionByName(high).select("a", "alike", F.col("b").alias("mate"), F.col("class").alias("mate_class"), F.col("main").alias("mate_main"), F.col("n_b").alias("mate_n"), F.col("longest").alias("mate_longest"))
     short = strange.join(others, ["a", "alike"]).filter("class <> mate_class and mate_n <= longest and n_b <= mate_longest and (main <> mate_main or main = a)").select("b", "mate")
-    return meet.unionByName(short).select(F.least("b", "mate").alias("a"), F.greatest("b", "mate").alias("b")).distinct()
+    # written: what follows must see each pair once, however many shingles it shares
+    return s.written(meet.unionByName(short).select(F.least("b", "mate").alias("a"), F.greatest("b", "mate").alias("b")).distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
