@@ -17,6 +17,10 @@ hashes of the ``GRAM``-byte grams in it; equal windows select equal grams at equ
    way into parts whose windows agree in all bytes but one at the first or the last place.
 5. The answers go back to the chunks, where windows of larger doc_ids are covered.
 
+Messages go from every chunk to every bucket, so that their number grows with the square of the chunks'. A bucket therefore
+stands for several chunks' worth of text where there are many chunks; one of stretches is ordered by parts, and messages travel
+many to a batch.
+
 A passage that a third of all documents share is one stretch per chunk, not one per document. Hashes only select what
 is looked at; strings are compared as bytes.
 
@@ -28,8 +32,9 @@ shorter than ``LENGTH`` bytes lose nothing. Columns other than id and text are n
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from os.path import commonprefix
 
 import numpy as np
@@ -46,15 +51,18 @@ LENGTH = 50
 GRAM = 25
 CHUNK_BYTES = 8 << 20
 #: Hashes that are sorted at once.
-RANGE_HASHES = 1 << 22
+RANGE_HASHES = 1 << 20
 #: Symbols that one suffix array orders, about; a group of more than the second is cut.
 BLOCK_SYMBOLS, MOST_SYMBOLS = 4_000, 1 << 18
 #: A gram in more chunks than this is dealt by longer strings.
 HOT_CHUNKS = 64
-#: Hashes and stretches are dealt to one bucket for each CHUNK_BYTES of text, but no more than this: a chunk's message to a
-#: bucket then holds about 32 hashes or more. A bucket of stretches is read by itself, in order, so that there can be more of them.
-MOST_HASH_BUCKETS = 1 << 14
-MOST_STRETCH_BUCKETS = 1 << 20
+#: Hashes and stretches are dealt to one bucket for each CHUNK_BYTES of text up to the first number, beyond it to one for each PARTS
+#: chunks, so that a chunk's messages stay few and large. A bucket of stretches has a part for each CHUNK_BYTES, which is ordered by
+#: itself. No more buckets than the second number.
+FEW_BUCKETS, MOST_BUCKETS = 128, 1 << 14
+PARTS = 8
+#: Messages are sent in batches of about so many bytes.
+BATCH_BYTES = 1 << 20
 #: Partitions of any shuffle; each reads its chunks and buckets one after the other.
 MOST_PARTITIONS = 20_000
 #: Bytes whose windows are found at once, so that arrays stay in the cache; a longer document is taken whole.
@@ -162,16 +170,17 @@ class Chunk:
         np.maximum.at(high, self.which, owner)
         self.marked = low < high
 
-    def dealt(self, hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-        """(bucket, places) of hashes, places in their order."""
-        b = (hashes & np.uint64(0xFFFFFF)).astype(np.int64) % buckets
+    def dealt(self, hashes: np.ndarray, buckets: int, parts: int = 1) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(bucket, places, where each part begins in them and the end) of hashes, the places of a part in their order."""
+        b = (hashes & np.uint64(0xFFFFFF)).astype(np.int64) % (buckets * parts)
         order = np.argsort(b, kind="stable")
-        cuts = np.flatnonzero(np.diff(b[order])) + 1
-        return [(int(b[x[0]]), x) for x in np.split(order, cuts) if len(x)]
+        cuts = np.searchsorted(b[order], np.arange(buckets * parts + 1))
+        ends = cuts[::parts].tolist()
+        return [(k, order[lo:hi], cuts[k * parts : (k + 1) * parts + 1] - lo) for k, (lo, hi) in enumerate(zip(ends, ends[1:])) if lo < hi]
 
     def mark(self, buckets: int, masks: dict[int, bytes]) -> None:
         self.hot = np.zeros(len(self.distinct), bool)
-        for bucket, at in self.dealt(self.distinct, buckets):
+        for bucket, at, _ in self.dealt(self.distinct, buckets):
             if bucket in masks:
                 d = masks[bucket]
                 n = int.from_bytes(d[:4], "little")
@@ -182,30 +191,34 @@ class Chunk:
         """Of marked anchors, hot ones cut into parts."""
         runs_ = np.flatnonzero(self.marked[self.which])
         hot = self.hot[self.which[runs_]]
-        cool = runs_[~hot]
-        first, last, at, hash_, doc = ([x[cool]] for x in (self.first, self.last, self.anchor, self.hash, self.doc))
+        cool, runs_ = runs_[~hot], runs_[hot]
+        data = self.bytes
+        first, last, at, doc = ([x[cool]] for x in (self.first, self.last, self.anchor, self.doc))
         size = [np.full(len(cool), GRAM)]
-        runs_ = runs_[hot]
         for before in (range(0, LENGTH - GRAM + 1, 5) if len(runs_) else ()):
             most = before + 4 if before + 9 <= LENGTH - GRAM else LENGTH - GRAM
             f, z = np.maximum(self.first[runs_], self.anchor[runs_] - most), np.minimum(self.last[runs_], self.anchor[runs_] - before)
             some = f <= z
             g, n = (self.anchor[runs_] - before)[some], LENGTH - (most - before)
-            h = np.fromiter((xxhash.xxh64_intdigest(self.bytes[i : i + n]) for i in g.tolist()), np.uint64, len(g))
-            for x, v in ((first, f[some]), (last, z[some]), (at, g), (hash_, h), (doc, self.doc[runs_][some]), (size, np.full(len(g), n))):
+            for x, v in ((first, f[some]), (last, z[some]), (at, g), (doc, self.doc[runs_][some]), (size, np.full(len(g), n))):
                 x.append(v)
             if most == LENGTH - GRAM:
                 break
-        first, last, at, hash_, doc, size = map(np.concatenate, (first, last, at, hash_, doc, size))
-        data = self.bytes
-        each = [(data[a : b + LENGTH], g - a, n) for a, b, g, n in zip(first.tolist(), last.tolist(), at.tolist(), size.tolist())] if hot.any() else [data[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist())]
-        distinct = sorted(set(each))
-        number = {x: i for i, x in enumerate(distinct)}
-        which = np.fromiter(map(number.__getitem__, each), np.int64, len(each))
-        sample = np.zeros(len(distinct), np.int64)
+        first, last, at, doc, size = map(np.concatenate, (first, last, at, doc, size))
+        place = at - first
+        each = [data[a:b] for a, b in zip(first.tolist(), (last + LENGTH).tolist())]
+        # a part of a hot gram's stretch is told apart by where its gram is and how long
+        tail = {(p, n): bytes((p, n)) for p in range(LENGTH) for n in range(GRAM, LENGTH + 1)} if hot.any() else {}
+        each[len(cool) :] = [x + tail[k] for x, k in zip(each[len(cool) :], zip(place[len(cool) :].tolist(), size[len(cool) :].tolist()))]
+        texts, parts = sorted(set(each[: len(cool)])), sorted(set(each[len(cool) :]))
+        number = dict(zip(texts, range(len(texts)))), dict(zip(parts, range(len(texts), len(texts) + len(parts))))
+        which = np.concatenate([np.fromiter(map(n.__getitem__, x), np.int64, len(x)) for n, x in zip(number, (each[: len(cool)], each[len(cool) :]))])
+        hash_ = np.empty(len(texts) + len(parts), np.uint64)
+        hash_[which[: len(cool)]] = self.hash[cool]
+        hash_[len(texts) :] = [xxhash.xxh64_intdigest(x[x[-2] : x[-2] + x[-1]]) for x in parts]
+        sample = np.empty(len(hash_), np.int64)
         sample[which] = np.arange(len(each))
-        texts = [x[0] for x in distinct] if hot.any() else distinct
-        return Stretches(first, doc, texts, which, (at - first)[sample], size[sample], hash_[sample])
+        return Stretches(first, doc, texts + [x[:-2] for x in parts], which, place[sample], size[sample], hash_)
 
 
 @dataclass
@@ -306,20 +319,40 @@ MESSAGE = [("flush", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())]
 MESSAGE_DDL = "flush long, bucket int, data binary"
 
 
-def _zip(*parts: bytes) -> bytes:
+@cache
+def _zstd() -> tuple:
+    """This worker's compressor and decompressor."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _zip(*parts: bytes) -> bytes:
+    return _zstd()[0].compress(b"".join(parts))
 
 
 def _unzip(data: bytes) -> bytes:
-    import zstandard
+    return _zstd()[1].decompress(data)
+
 
-    return zstandard.ZstdDecompressor().decompress(data)
+def _sent(work: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, int, bytes]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: ``work``'s messages (flush, bucket, data) in batches of about BATCH_BYTES."""
 
+    def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), MESSAGE)], schema=pa.schema(MESSAGE))
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), MESSAGE)], schema=pa.schema(MESSAGE))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, n = [], 0
+        for row in work(batches):
+            rows.append(row)
+            n += len(row[2])
+            if n >= BATCH_BYTES:
+                yield batch(rows)
+                rows, n = [], 0
+        if rows:
+            yield batch(rows)
+
+    return tidy(run)
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -386,15 +419,14 @@ def _gathered(batches: Iterator[pa.RecordBatch], kinds: int) -> Iterator[tuple[i
     """(flush, chunk, messages by bucket for each kind) from rows sorted by flush and kind."""
     flush, head, got = None, None, None
     for batch in batches:
-        col = {n: batch.column(n) for n in batch.schema.names}
-        for r in range(batch.num_rows):
-            f, kind = col["flush"][r].as_py(), col["kind"][r].as_py()
+        data = batch.column("data")
+        for r, (f, kind, bucket) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("flush", "kind", "bucket")))):
             if kind == 0:
                 if flush is not None:
                     yield flush, Chunk(*head), got
-                flush, head, got = f, tuple(col[c][r].as_py() for c in ("data", "sizes", "ids")), [{} for _ in range(kinds)]
+                flush, head, got = f, tuple(batch.column(c)[r].as_py() for c in ("data", "sizes", "ids")), [{} for _ in range(kinds)]
             else:
-                got[kind - 1][col["bucket"][r].as_py()] = col["data"][r].as_py()
+                got[kind - 1][bucket] = data[r].as_py()
     if flush is not None:
         yield flush, Chunk(*head), got
 
@@ -407,20 +439,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     total = chunks.agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n")).first()
     parts = max(1, min(total["n"], MOST_PARTITIONS))
     many = max(8, int((total["b"] or 0) // CHUNK_BYTES) + 1)
-    hash_buckets, stretch_buckets = min(many, MOST_HASH_BUCKETS), min(many, MOST_STRETCH_BUCKETS)
+    buckets = min(many, max(FEW_BUCKETS, many // PARTS), MOST_BUCKETS)
+    bucket_parts = -(-many // buckets)
 
-    def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for batch in batches:
             for r in range(batch.num_rows):
                 c = Chunk(*(batch.column(n)[r].as_py() for n in ("data", "sizes", "ids")))
-                rows = []
-                for bucket, at in c.dealt(c.distinct, hash_buckets):
+                flush = batch.column("flush")[r].as_py()
+                for bucket, at, _ in c.dealt(c.distinct, buckets):
                     h = (c.distinct[at] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-                    rows.append((batch.column("flush")[r].as_py(), bucket, h.tobytes()))
-                if rows:
-                    yield _rows(rows)
+                    yield flush, bucket, h.tobytes()
 
-    def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for b, messages in _by_bucket(batches):
             raw = np.frombuffer(b"".join(d for _, d in messages), np.uint8).reshape(-1, 5)
             shared, hot = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
@@ -443,14 +474,14 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             at = 0
             for f, d in messages:
                 here = np.flatnonzero(hot[at : at + len(d) // 5]).astype("<u4")
-                yield _rows([(f, b, np.array([len(here)], "<u4").tobytes() + here.tobytes() + np.packbits(shared[at : at + len(d) // 5], bitorder="little").tobytes())])
+                yield f, b, np.array([len(here)], "<u4").tobytes() + here.tobytes() + np.packbits(shared[at : at + len(d) // 5], bitorder="little").tobytes()
                 at += len(d) // 5
 
-    masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(tidy(send_hashes), MESSAGE_DDL).repartition(min(hash_buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(find_shared), MESSAGE_DDL), "masks")
+    masks = written(chunks.select("flush", "sizes", "ids", "data").mapInArrow(_sent(send_hashes), MESSAGE_DDL).repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_sent(find_shared), MESSAGE_DDL), "masks")
 
-    def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for flush, c, (mask,) in _gathered(batches, 1):
-            c.mark(hash_buckets, mask)
+            c.mark(buckets, mask)
             x = c.stretches()
             if not x.distinct:
                 continue
@@ -459,19 +490,36 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             np.minimum.at(low, x.which, owner)
             np.maximum.at(high, x.which, owner)
             size = np.fromiter(map(len, x.distinct), np.int64, len(x.distinct))
-            for bucket, pick in c.dealt(x.hash, stretch_buckets):
-                head = np.array([len(pick)], "<u4").tobytes()
-                yield _rows([(flush, bucket, _zip(head, size[pick].astype("<u2").tobytes(), x.at[pick].astype("u1").tobytes(), x.size[pick].astype("u1").tobytes(), (low < high)[pick].astype("u1").tobytes(), low[pick].astype("<i8").tobytes(), *(x.distinct[i] for i in pick.tolist())))])
-
-    def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            several = low < high
+            for bucket, picks, cuts in c.dealt(x.hash, buckets, bucket_parts):
+                parts_ = []
+                for a, z in zip(cuts.tolist(), cuts[1:].tolist()):
+                    pick = picks[a:z]
+                    parts_.append(_zip(np.array([z - a], "<u4").tobytes(), size[pick].astype("<u2").tobytes(), x.at[pick].astype("u1").tobytes(), x.size[pick].astype("u1").tobytes(), several[pick].tobytes(), low[pick].astype("<i8").tobytes(), *map(x.distinct.__getitem__, pick.tolist())) if a < z else b"")
+                yield flush, bucket, np.array([*map(len, parts_)], "<u4").tobytes() + b"".join(parts_)
+
+    def order_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
         for b, messages in _by_bucket(batches):
-            yield from order_bucket(b, messages)
-
-    def order_bucket(b: int, messages: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+            ends = [4 * bucket_parts + np.cumsum(np.frombuffer(d, "<u4", bucket_parts), dtype=np.int64) for _, d in messages]
+            before = dict.fromkeys((f for f, _ in messages), 0)  # stretches in the parts before
+            found: list[np.ndarray] = []
+            for k in range(bucket_parts):
+                part = [(f, d[(e[k - 1] if k else 4 * bucket_parts) : e[k]]) for (f, d), e in zip(messages, ends)]
+                found += order_part([x for x in part if x[1]], before)
+            if found:
+                flush, *cols = map(np.concatenate, zip(*found))
+                by = np.argsort(flush, kind="stable")
+                for at in np.split(by, np.flatnonzero(np.diff(flush[by])) + 1):
+                    yield int(flush[at[0]]), b, _zip(np.array([len(at)], "<u4").tobytes(), *(x[at].tobytes() for x in cols))
+
+    def order_part(messages: list[tuple[int, bytes]], before: dict[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(flush, stretch, first window, end, smallest doc_id), and the stretches of each message are added to ``before``."""
         groups: dict[bytes, dict[tuple[bytes, int], list]] = {}
         for f, d in messages:
             d = _unzip(d)
             n = int.from_bytes(d[:4], "little")
+            base = before[f]
+            before[f] += n
             size = np.frombuffer(d, "<u2", n, 4).tolist()
             at, gram, several = (d[4 + k * n : 4 + (k + 1) * n] for k in (2, 3, 4))
             low = np.frombuffer(d, "<i8", n, 4 + 5 * n).tolist()
@@ -482,12 +530,12 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 g = groups.setdefault(s[at[i] : at[i] + gram[i]], {})
                 e = g.get((s, at[i]))
                 if e is None:
-                    g[s, at[i]] = [low[i], several[i], [(f, i)]]
+                    g[s, at[i]] = [low[i], several[i], [(f, base + i)]]
                 else:
                     e[1] = e[1] or low[i] != e[0]
                     e[0] = min(e[0], low[i])
-                    e[2].append((f, i))
-        answers: dict[int, list] = {}
+                    e[2].append((f, base + i))
+        answers: list[tuple[int, int, int, int, int]] = []
         block: list[tuple[int, dict]] = []
         symbols = 0
 
@@ -499,7 +547,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                         v = int(least[a])
                         if several or v < low:
                             for f, i in refs:
-                                answers.setdefault(f, []).append((i, a, z, v))
+                                answers.append((f, i, a, z, v))
 
         for gram, g in groups.items():
             if len(g) == 1:
@@ -507,7 +555,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                 ((s, _), (low, several, refs)), = g.items()
                 if several:
                     for f, i in refs:
-                        answers.setdefault(f, []).append((i, 0, len(s) - LENGTH + 1, low))
+                        answers.append((f, i, 0, len(s) - LENGTH + 1, low))
                 continue
             more = sum(len(s) for s, _ in g) - (len(gram) - 2) * len(g)
             if block and symbols + more > BLOCK_SYMBOLS:
@@ -517,24 +565,23 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             symbols += more
         if block:
             order_block()
-        for f, rows in answers.items():
-            i, a, z, low = map(np.array, zip(*rows))
-            yield _rows([(f, b, _zip(np.array([len(rows)], "<u4").tobytes(), i.astype("<u4").tobytes(), a.astype("<u1").tobytes(), z.astype("<u1").tobytes(), low.astype("<i8").tobytes()))])
+        if answers:
+            yield tuple(np.array(x, t) for x, t in zip(zip(*answers), ("<i8", "<u4", "<u1", "<u1", "<i8")))
 
     marked = _met(chunks, masks).repartition(parts, "flush").sortWithinPartitions("flush", "kind")
-    answers = marked.mapInArrow(tidy(send_stretches), MESSAGE_DDL).repartition(min(stretch_buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(order_groups), MESSAGE_DDL)
+    answers = marked.mapInArrow(_sent(send_stretches), MESSAGE_DDL).repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_sent(order_groups), MESSAGE_DDL)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))] + [("kept", pa.binary())] * keep_text
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, c, (mask, answer) in _gathered(batches, 2):
-            c.mark(hash_buckets, mask)
+            c.mark(buckets, mask)
             edge = np.zeros(len(c.text) + 1, np.int64)
             if answer:
                 x = c.stretches()
                 by = np.argsort(x.which, kind="stable")
                 first = np.searchsorted(x.which[by], np.arange(len(x.distinct) + 1))
-                for bucket, pick in c.dealt(x.hash, stretch_buckets):
+                for bucket, pick, _ in c.dealt(x.hash, buckets, bucket_parts):
                     d = answer.get(bucket)
                     if d is None:
                         continue

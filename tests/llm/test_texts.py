@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, html_text, langid, licenses, near_dedup, pii, substrings
+from tessera.llm._common import written
 from tessera.llm.suffix import suffix_array
 
 from .conftest import DDL, sentence
@@ -111,6 +112,21 @@ def test_a_gram_with_many_contexts_is_split(spark, monkeypatch, most):
     assert passages(df) == removed(rows)
 
 
+def test_messages_stay_few_where_chunks_are_many(spark, monkeypatch):
+    """A bucket stands for several chunks' worth of text, ordered by parts, and the results are the same."""
+    rng = random.Random(23)
+    shared = [sentence(rng, 12) for _ in range(8)]
+    line = "the very common line of words in all of them"
+    rows = [(i, f"{sentence(rng, 12)} {rng.choice(shared)[rng.randrange(20):]} {rng.choice('abc')}{line}{rng.choice('xyz')}") for i in range(300)]
+    tables = {}
+    monkeypatch.setattr(substrings, "written", lambda df, what: tables.setdefault(what, written(df, what)))
+    for name, value in (("CHUNK_BYTES", 400), ("HOT_CHUNKS", 4), ("FEW_BUCKETS", 4)):
+        monkeypatch.setattr(substrings, name, value, raising=False)
+    assert passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == removed(rows)
+    chunks = tables["chunks"].count()
+    assert chunks > 100 and tables["masks"].count() <= chunks * (chunks // 8 + 1)
+
+
 def test_every_group_of_two_texts_or_more_is_ordered_by_a_suffix_array(monkeypatch):
     sizes = []
     whole = substrings.suffix_array
