@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,7 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.at, self.size, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), 0
         self.seen = np.zeros(1 << 18, np.int32)  # in how many steps
+        self.safe = np.zeros(1 << 18, bool)  # whether it is letters that the library cuts from the signs behind them
 
     def _prune(self) -> None:
         """Forget the chunks seen in the fewest steps, half of them or more."""
@@ -71,10 +73,10 @@ class Encoder:
         kept = {w: c for w, c in self.code.items() if seen[c] >= least}
         codes = np.fromiter(kept.values(), np.int64, len(kept))
         ids, sizes = self._gather(codes)
-        counts = seen[codes] // 2
+        counts, safe = seen[codes] // 2, self.safe[codes]
         self._clear()
         self._keep(list(kept), ids, sizes)
-        self.seen[: self.count] = counts
+        self.seen[: self.count], self.safe[: self.count] = counts, safe
 
     def _keep(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Remember chunks whose ids are given in a row."""
@@ -85,22 +87,25 @@ class Encoder:
             more = np.zeros(2 * n - self.count, np.int64)
             self.at, self.size = (np.concatenate([x[: self.count], more]) for x in (self.at, self.size))
             self.seen = np.concatenate([self.seen[: self.count], more.astype(np.int32)])
+            self.safe = np.concatenate([self.safe[: self.count], more.astype(bool)])
         self.flat[self.used : m] = ids
         self.size[self.count : n] = sizes
         self.at[self.count : n] = self.used + np.cumsum(sizes) - sizes
         self.code.update(zip(chunks, range(self.count, n)))
         self.count, self.used = n, m
 
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of remembered chunks in a row, and each one's number."""
-        n = self.size[codes]
+    def _gather(self, codes: np.ndarray, flat: np.ndarray | None = None, at: np.ndarray | None = None, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of remembered chunks in a row, and each one's number; of other chunks, where ``flat``, ``at`` and ``size`` are given."""
+        if flat is None:
+            flat, at, size = self.flat, self.at, self.size
+        n = size[codes]
         ends = np.cumsum(n)
-        where = np.repeat(self.at[codes] - ends + n, n)
+        where = np.repeat(at[codes] - ends + n, n)
         where += np.arange(len(where))
-        return self.flat[where], n
+        return flat[where], n
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [e.ids for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        each = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([i for x in each for i in x], np.uint32), np.fromiter(map(len, each), np.int64, len(each))
 
     def _splits(self, c: str) -> bool:
@@ -122,40 +127,48 @@ class Encoder:
 
     def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of safe letters only, each one piece, encoded as one text and cut after each word's last token."""
-        ids = np.array(self.lib.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends_word[ids]) + 1
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(words) else self._encode(words)
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: letters apart from the ASCII signs after them, where the library cuts anyway; all else whole."""
-        code = self.code
+    def _learn(self, chunks: list[str], stems: list[str]) -> None:
+        """Encode new chunks, and new stems that are letters which the library cuts from the signs behind them."""
+        stems = [c for c in dict.fromkeys(stems) if c.isalpha()]
         plain = [c for c in chunks if c.isalpha()]
-        other = [c for c in chunks if not c.isalpha()] if len(plain) < len(chunks) else []
-        signed = [(c, stem) for c, stem in zip(other, [c.rstrip(SIGNS) for c in other]) if stem.isalpha()]
-        bad = self._unsafe(set("".join(plain)).union(*(stem for _, stem in signed)))
-        odd = dict.fromkeys(other)
+        odd = [c for c in chunks if not c.isalpha()] if len(plain) < len(chunks) else []
+        bad = self._unsafe(set("".join(plain)).union(*stems))
         if bad:
-            odd |= dict.fromkeys(c for c in plain if not bad.isdisjoint(c))
-            plain = [c for c in plain if bad.isdisjoint(c)]
-            signed = [x for x in signed if bad.isdisjoint(x[1])]
-        words = dict.fromkeys(plain)
-        both = [(c, stem, c[len(stem) :]) for c, stem in signed]
-        for c, stem, rest in both:
-            del odd[c]
-            if stem not in code:
-                words[stem] = None
-        for _, _, rest in both:
-            if rest not in code:
-                odd[rest] = None
-        new = list(odd)
-        self._keep(new, *self._encode(new))
-        new = list(words)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+            odd += [c for c in plain if not bad.isdisjoint(c)]
+            plain, stems = ([c for c in x if bad.isdisjoint(c)] for x in (plain, stems))
+        self._keep(odd, *self._encode(odd))
+        words = list(dict.fromkeys(plain + stems))
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
             self._keep(part, *self._encode_letters(part))
-        if both:
-            ids, n = self._gather(np.array([code[x] for _, stem, rest in both for x in (stem, rest)]))
-            self._keep([c for c, _, _ in both], ids, n.reshape(-1, 2).sum(axis=1))
+            self.safe[self.count - len(part) : self.count] = True
+
+    def _known(self, chunks: list[str]) -> np.ndarray:
+        """Codes of chunks, -1 where a chunk is new."""
+        return np.fromiter(map(self.code.get, chunks, repeat(-1)), np.int64, len(chunks))
+
+    def _codes(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the two pieces of each distinct word: letters and the ASCII signs behind them where the library cuts there, else the whole and -1."""
+        stems = pc.utf8_rtrim(words, SIGNS)
+        kept = pc.binary_length(stems).to_numpy(zero_copy_only=False)
+        signed = (kept > 0) & (kept < pc.binary_length(words).to_numpy(zero_copy_only=False))
+        bare, both, stem = (x.filter(pa.array(m)).to_numpy(zero_copy_only=False).tolist() for x, m in ((words, ~signed), (words, signed), (stems, signed)))
+        whole, one = self._known(bare), self._known(stem)
+        new, unknown = np.flatnonzero(whole < 0).tolist(), np.flatnonzero(one < 0).tolist()
+        self._learn([bare[i] for i in new], [stem[i] for i in unknown])
+        whole[new], one[unknown] = self._known([bare[i] for i in new]), self._known([stem[i] for i in unknown])
+        first, second = np.empty(len(words), np.int64), np.full(len(words), -1)
+        first[~signed] = whole
+        cut = (one >= 0) & self.safe[one]
+        rest = [w[len(c) :] if x else w for w, c, x in zip(both, stem, cut.tolist())]
+        self._learn([w for w in dict.fromkeys(rest) if w not in self.code], [])
+        two = self._known(rest)
+        first[signed], second[signed] = np.where(cut, one, two), np.where(cut, two, -1)
+        return first, second
 
     def encode(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin (one more entry than texts). Null is an empty text."""
@@ -168,12 +181,18 @@ class Encoder:
         words = lists.flatten().dictionary_encode()
         if len(self.code) > MOST_WORDS:
             self._prune()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        code = self.code
-        self._learn([w for w in distinct if w not in code])
-        codes = np.fromiter(map(code.__getitem__, distinct), np.int64, len(distinct))
-        self.seen[codes] += 1
-        ids, n = self._gather(codes[words.indices.to_numpy(zero_copy_only=False)])
+        first, second = self._codes(words.dictionary)
+        two = second >= 0
+        pieces = np.stack([first, second], axis=1)
+        pieces = pieces[pieces >= 0]
+        self.seen[pieces] += 1
+        # ids of the distinct words in a row, then of all words
+        flat, size = self._gather(pieces)
+        begin = np.cumsum(two + 1) - two - 1
+        size = np.add.reduceat(size, begin) if len(begin) else size
+        at = np.cumsum(size) - size
+        index = words.indices.to_numpy(zero_copy_only=False)
+        ids, n = self._gather(index, flat, at, size)
         ends = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 

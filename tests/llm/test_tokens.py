@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import packing, token_files
+from tessera.llm import packing, token_files, tokens
 from tessera.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,17 @@ def test_letters_that_become_marks_stay_with_the_signs_behind_them():
         assert FAST.encode(pa.array([text]))[0].tolist() == WHOLE.encode(pa.array([text]))[0].tolist(), text
 
 
+def test_signs_behind_letters_are_no_words_of_their_own(monkeypatch):
+    """Letters are remembered once for all signs behind them, also after others were forgotten."""
+    monkeypatch.setattr(tokens, "MOST_WORDS", 6)
+    enc = Encoder(PATH)
+    for k in "abcdefgh":
+        texts = [f"lantern lantern, lantern... {k * 3}forge!) {k}e\u0301, \u0130{{ \u0130, 53.1. {k}.{k}, ...", f"{k * 3}forge (lantern) lantern!", "", None, ".", f" {k}"]
+        a, b = enc.encode(pa.array(texts)), WHOLE.encode(pa.array(texts))
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+        assert "lantern" in enc.code and not {"lantern,", "lantern...", "lantern!", f"{k * 3}forge!)"} & set(enc.code)
+
+
 def test_special_tokens_and_odd_spaces():
     texts = ["x\x1cy z\u0085w <|endoftext|>a b<|endoftext|> \t  q\r\nk", "é ́a Σας it's 'S don't12", "", None]
     assert FAST.by_word and FAST.encode(pa.array(texts))[0].tolist() == WHOLE.encode(pa.array(texts))[0].tolist()
