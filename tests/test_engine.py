@@ -431,3 +431,8 @@ def test_http_provider_counts_tokens_and_keeps_its_time():
         assert p.holds(["slow good"], "x") == [None] and time.time() - begin < 2.5
     finally:
         server.shutdown()
+
+
+def test_paragraphs_keep_their_digits(spark):
+    d = spark.createDataFrame([("0997 a\n1 b 1\n  \n3\n 44 c ",), ("",), (None,)], "text string")
+    assert [r["p"] for r in d.select(X.paragraphs(F.col("text")).alias("p")).collect()] == [["0997 a", "1 b 1", "3", "44 c"], [], None]
