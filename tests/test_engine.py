@@ -436,3 +436,27 @@ def test_http_provider_counts_tokens_and_keeps_its_time():
 def test_paragraphs_keep_their_digits(spark):
     d = spark.createDataFrame([("0997 a\n1 b 1\n  \n3\n 44 c ",), ("",), (None,)], "text string")
     assert [r["p"] for r in d.select(X.paragraphs(F.col("text")).alias("p")).collect()] == [["0997 a", "1 b 1", "3", "44 c"], [], None]
+
+
+def test_text_modality_deals_rows_out_and_keeps_long_texts_whole(spark, tmp_path):
+    lines = [f"good Wort {i} wort" for i in range(300)] + ["bad"]
+    d = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n"), (3, "bad bad\n\n good\n"), (4, " "), (5, None)], "id long, text string").coalesce(1)
+    d.write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))  # one row group, so one task reads it
+    m = G.text_modality("d", one, ["text"])
+    got = m.first()
+    # white space that isn't spaces is a text without paragraphs: between its ends split() sees two empty words
+    assert (got["words"], got["n_docs"], got["n_paragraphs"], got["sentiment"]) == (1201 + 2 + 4, 3, 303, "positive")
+    assert got["top_topics"] == ["wort", "bad", "0", "0 wort", "1"]
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and "posexplode" not in plan
+
+
+def test_top_phrases_order_and_nulls(spark):
+    from tessera.operators.semantic import rule_matches, top_phrases
+
+    d = spark.createDataFrame([(["b", "a", "b", "a", "c"],), (["z"],), ([],), (None,)], "w array<string>")
+    got = [[(x["less"], x["phrase"]) for x in r["t"]] for r in d.select(top_phrases(F.col("w"), 4, [1, 2]).alias("t")).collect()]
+    assert got == [[(-2, "a"), (-2, "b"), (-2, "b a"), (-1, "a b")], [(-1, "z")], [], []]
+    e = spark.createDataFrame([("x@y.org z",), ("none",), (None,)], "t string").select(rule_matches(F.col("t"), "EMAIL").alias("m"))
+    assert [r["m"] for r in e.collect()] == [["x@y.org"], [], None]
