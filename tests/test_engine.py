@@ -460,3 +460,12 @@ def test_top_phrases_order_and_nulls(spark):
     assert got == [[(-2, "a"), (-2, "b"), (-2, "b a"), (-1, "a b")], [(-1, "z")], [], []]
     e = spark.createDataFrame([("x@y.org z",), ("none",), (None,)], "t string").select(rule_matches(F.col("t"), "EMAIL").alias("m"))
     assert [r["m"] for r in e.collect()] == [["x@y.org"], [], None]
+
+
+def test_value_mentions_make_no_cells_of_keys(spark):
+    d = spark.createDataFrame([(i, "ab"[i % 2], None) for i in range(6)], "id long, kind string, none string")
+    reps = spark.createDataFrame([("kind", "a", 3), ("kind", "b", 3)], "column string, value string, n long")
+    m = G.value_mentions("d", d, reps, "id")
+    assert sorted((r["entity_id"], r["row"]) for r in m.collect()) == sorted((f"d:kind:{'ab'[i % 2]}", i) for i in range(6))
+    assert "struct(column, id" not in m._jdf.queryExecution().executedPlan().toString()
+    assert G.value_mentions("d", d, reps.limit(0)).collect() == []
